@@ -1 +1,4 @@
 """Registered queries of the library's own operators, each with its SQL."""
+
+from . import files, geometry  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
