@@ -1,4 +1,4 @@
 """Registered queries of the library's own operators, each with its SQL."""
 
-from . import files, geometry, layout  # noqa: F401
+from . import aggregates, files, geometry, layout, processors, text  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
