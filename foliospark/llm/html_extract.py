@@ -15,7 +15,7 @@ import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 # Element names of HTML.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -189,7 +189,7 @@ def main_text(html: str | None) -> str:
     return "\n".join(kept)
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def main_text_col(htmls: pa.Array) -> pa.Array:
     return pa.array([main_text(h.as_py()) for h in htmls], pa.string())
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import stored
 from .components import components
@@ -44,7 +44,7 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int(((2 * counts > n).astype(np.uint64) << _SHIFTS).sum())
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(T.LongType())
 def fingerprint_col(texts: pa.Array) -> pa.Array:
     return pa.array(np.array([fingerprint(t.as_py()) for t in texts], np.uint64).view(np.int64))
 
