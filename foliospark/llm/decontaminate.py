@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 Q, SEGMENT, EDITS, SHORTEST, BLOCK = 8, 80, 6, 40, 4_000_000
 OUT = "item_id long, start long, n_segments long, edits long"
@@ -160,13 +160,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     return out
 
 
+def _leaks(index: Index):
+    @F.arrow_udf(T.BooleanType())
+    def leaks(texts: pa.Array) -> pa.Array:
+        return pa.array([bool(index.search(t.as_py())) for t in texts], pa.bool_())
+
+    return leaks
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs that hold no benchmark segment; all columns stay, nothing is shuffled."""
     for index in indexes(benchmark):
-
-        @F.arrow_udf("boolean")
-        def leaks(texts: pa.Array, index=index) -> pa.Array:
-            return pa.array([bool(index.search(t.as_py())) for t in texts], pa.bool_())
-
-        docs = docs.where(~leaks(F.coalesce(F.col(text_col), F.lit(""))))
+        docs = docs.where(~_leaks(index)(F.coalesce(F.col(text_col), F.lit(""))))
     return docs
