@@ -36,11 +36,14 @@ def budget(m: int) -> int:
 
 
 def align(a: np.ndarray, b: np.ndarray, edits: int, slack: int) -> int:
-    """Least edits to turn a into a piece of b, where a starts in b's first 2 * slack + 1 places and stays within the band; edits + 1 if more."""
+    """Least edits to turn a into a piece of b that starts in b's first 2 * slack + 1 places; edits + 1 if more.
+
+    The band holds the diagonals of those starts, and `edits` more on both sides.
+    """
     width = 2 * slack + 2 * edits + 1
-    b = np.concatenate([b, np.full(max(0, len(a) + width - len(b)), 256, b.dtype)])
+    b = np.concatenate([np.full(edits, 256, b.dtype), b, np.full(max(0, len(a) + width - len(b)), 256, b.dtype)])
     ramp = np.arange(width)
-    row = np.where(ramp <= 2 * slack, 0, ramp - 2 * slack)
+    row = np.maximum(0, ramp - 2 * slack - edits)
     for i, c in enumerate(a):
         down = np.append(row[1:], edits + 1) + 1  # a's character left out of b
         row = np.minimum(row + (b[i : i + width] != c), down)

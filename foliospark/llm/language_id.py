@@ -6,7 +6,8 @@ is the bit's margin. Loss-weighted decoding sums the logistic losses of a codewo
 the bit separates the languages; the least loss wins, and a small lead over the next is flagged `ambiguous`.
 
 Counts are gathered over a bounded hash sample of the labelled documents, as partial sums in Spark. Texts that
-are null or without a letter are `und` with score 0. With no labelled document everything is `und`.
+are null or without a letter are `und` with score 0. With no labelled document everything is `und`; with one
+learned language every text with a letter is in it.
 """
 
 from __future__ import annotations
@@ -78,7 +79,10 @@ def _count(batches):
 class Model:
     def __init__(self, langs: list[str], counts: np.ndarray):
         """counts: (languages, lengths * BINS)."""
-        self.langs, self.code = langs, codewords(len(langs))
+        self.langs = langs
+        if len(langs) < 2:
+            return
+        self.code = codewords(len(langs))
         p = (counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True)
         w = np.zeros((p.shape[1], self.code.shape[1]))
         for b in range(self.code.shape[1]):
@@ -93,11 +97,11 @@ class Model:
         self.table = w.reshape(len(LENGTHS), BINS, -1).astype(np.float32)
 
     def __call__(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-        n, bits = len(texts), self.code.shape[1]
-        margin, grams = np.zeros((n, bits)), np.zeros(n)
+        n = len(texts)
         letters = pc.match_substring_regex(texts, r"\pL").fill_null(False).to_numpy(zero_copy_only=False)
         if len(self.langs) < 2:
             return [self.langs[0] if self.langs and x else "und" for x in letters], letters.astype(float) * bool(self.langs), np.zeros(n, bool)
+        margin, grams = np.zeros((n, self.code.shape[1])), np.zeros(n)
         for a, own, hashes in bins(texts):
             full = np.flatnonzero(np.diff(own))
             if not len(full):
