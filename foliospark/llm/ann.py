@@ -5,6 +5,9 @@ best-bin-first order: a priority queue holds the branches passed by, nearest cen
 query visits is calibrated: a bounded sample of queries is compared with all vectors, and visits widen until
 the recall over them reaches `RECALL`. A visit also widens until `k` candidates are met.
 
+Each query first measures its k nearest vectors of the fitting sample: the last of them bounds the distance of
+its true k-th neighbour, so leaves return only what is not farther, a few rows for each query.
+
 A (leaf, part) pair is the unit of work: leaves with many vectors, such as thousands of equal ones, are split
 into parts of about `PART` vectors, and each query goes to all parts of its leaves. A part returns its k
 nearest, and these are merged by partial aggregation over queries. Vectors that are null, zero, of another
@@ -23,7 +26,7 @@ from .common import stored
 
 #: Bound of the fitting sample in vectors and of the calibration sample in queries; calibrated recall;
 #: branches of a node; vectors in a usual leaf; vectors in a part.
-SAMPLE, TRIALS, RECALL, BRANCH, LEAF, PART = 20000, 200, 0.97, 8, 400, 4096
+SAMPLE, TRIALS, RECALL, BRANCH, LEAF, PART = 20000, 200, 0.97, 8, 800, 4096
 
 
 def vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -126,8 +129,10 @@ def _search(size: int, k: int):
         if q.num_rows and x.num_rows:
             qv, xv = (_matrix(t.column("v").combine_chunks(), size) for t in (q, x))
             qi, xi = q.column("query_id").to_numpy(), x.column("vec_id").to_numpy()
+            bound = q.column("bound").to_numpy()
             for a in range(0, len(qv), 256):
                 for i, at, d in top(qv[a : a + 256], xv, xi, qi[a : a + 256], k):
+                    at, d = at[d <= bound[a + i]], d[d <= bound[a + i]]
                     rows[0] += [int(qi[a + i])] * len(at)
                     rows[1] += xi[at].tolist()
                     rows[2] += d.tolist()
@@ -165,7 +170,8 @@ def search(df: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id",
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rate = lambda n, of: int(min(1.0, n / max(1, of)) * (1 << 20))
     chosen = lambda n, of: F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < rate(n, of)
-    sample = np.array([r.v for r in base.where(chosen(SAMPLE, total)).orderBy("vec_id").select("v").collect()] or [base.first().v])
+    rows = base.where(chosen(SAMPLE, total)).orderBy("vec_id").select("vec_id", "v").collect() or base.limit(1).collect()
+    sample, sample_ids = np.array([r.v for r in rows]), np.array([r.vec_id for r in rows])
     size = sample.shape[1]
     tree = Tree(sample, max(2, round(LEAF * len(sample) / total)))
 
@@ -183,8 +189,12 @@ def search(df: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id",
 
     def visit(batches):
         for b in batches:
-            ids, v = b.column("vec_id").to_pylist(), _matrix(b.column("v"), size)
-            for i, q in zip(ids, v, strict=True):
+            ids, v = b.column("vec_id").to_numpy(), _matrix(b.column("v"), size)
+            bound = np.full(len(ids), np.inf)
+            for a in range(0, len(ids), 64):
+                for i, _, d in top(v[a : a + 64], sample, sample_ids, ids[a : a + 64], k):
+                    bound[a + i] = d[-1] if len(d) == k else np.inf
+            for i, q, most in zip(ids.tolist(), v, bound.tolist(), strict=True):
                 leaves, met = [], 0
                 for at in tree.visits(q, tree.leaves):
                     if len(leaves) >= want and met > k:
@@ -192,12 +202,12 @@ def search(df: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id",
                     leaves.append(at)
                     met += full.get(at, 0)
                 leaves = [x for x in leaves if x in full]
-                yield pa.RecordBatch.from_arrays([pa.array([i] * len(leaves), pa.int64()), pa.array([q.tolist()] * len(leaves), pa.list_(pa.float64())), pa.array(leaves, pa.int64())], ["query_id", "v", "leaf"])
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(leaves), pa.int64()), pa.array([q.tolist()] * len(leaves), pa.list_(pa.float64())), pa.array([most] * len(leaves), pa.float64()), pa.array(leaves, pa.int64())], ["query_id", "v", "bound", "leaf"])
 
-    asked = queries.select("vec_id", "v").mapInArrow(visit, "query_id long, v array<double>, leaf long")
+    asked = queries.select("vec_id", "v").mapInArrow(visit, "query_id long, v array<double>, bound double, leaf long")
     asked = asked.join(sizes.select("leaf", "parts"), "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     held = placed.join(sizes.select("leaf", "parts"), "leaf").withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts").cast("int"))
-    found = asked.select("leaf", "part", "query_id", "v").groupBy("leaf", "part").cogroup(held.select("leaf", "part", "vec_id", "v").groupBy("leaf", "part")).applyInArrow(_search(size, k), "query_id long, vec_id long, score double")
+    found = asked.select("leaf", "part", "query_id", "v", "bound").groupBy("leaf", "part").cogroup(held.select("leaf", "part", "vec_id", "v").groupBy("leaf", "part")).applyInArrow(_search(size, k), "query_id long, vec_id long, score double")
     return _merge(found, k)
 
 
