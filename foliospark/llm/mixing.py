@@ -95,7 +95,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     upto = Window.partitionBy("source", "shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumns({"start": F.expr("block * words div n"), "end": F.expr("(block + 1) * words div n")})
     blocks = blocks.withColumn("before", F.coalesce(F.sum((F.col("end") - F.col("start")) * F.col("copies")).over(upto), F.lit(0)))
-    blocks = blocks.select(F.col("source").alias("bs"), F.col("shard").alias("bh"), "block", "start", "copies", "before")
+    # a merge join: before the explode this table is small, and would be taken for small after it
+    blocks = blocks.hint("merge").select(F.col("source").alias("bs"), F.col("shard").alias("bh"), "block", "start", "copies", "before")
     sized = shards.select(F.col("source").alias("ss"), F.col("shard").alias("sh"), "words", "n")
     d = d.join(sized, d["source"].eqNullSafe(sized["ss"]) & (d["shard"] == sized["sh"]), "left")
     # each document needs the blocks at its two ends only: taken up to its stop, less taken up to its start
