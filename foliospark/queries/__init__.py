@@ -1,4 +1,4 @@
 """Registered queries of the library's own operators, each with its SQL."""
 
-from . import aggregates, files, geometry, layout, notes, pipelines, processors, render, responses, structure, tables, text  # noqa: F401
+from . import aggregates, files, geometry, layout, markup, notes, pipelines, processors, render, responses, structure, tables, text  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
