@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.geometry import Box, center_distance, intersection_area, intersection_pct, tl_distance
+from ..functions.geometry import Box, bbox_gap, center_distance, intersection_area, intersection_pct
 
 PAGE = ["doc_id", "page_id"]
 
@@ -158,8 +158,6 @@ def place_missing(new: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def expand_layout(blocks: DataFrame, pages: DataFrame, frac: float = 0.05) -> DataFrame:
     """Pictures, figures and complex regions grow by `frac`, less when a neighbour is near; clipped to the page."""
-    from ..functions.geometry import bbox_gap
-
     grown = ["Picture", "Figure", "ComplexRegion"]
     b = blocks.select(*PAGE, "block_id", "block_type", "x0", "y0", "x1", "y1")
     pairs = renamed(b.where(F.col("block_type").isin(grown)), "a_").join(renamed(b, "b_"), PAGE).where("a_block_id <> b_block_id")
@@ -173,10 +171,6 @@ def expand_layout(blocks: DataFrame, pages: DataFrame, frac: float = 0.05) -> Da
     return x.select(*PAGE, "block_id", "block_type", side("x0", box.x0 - dx, F.lit(0.0), F.col("width")), side("y0", box.y0 - dy, F.lit(0.0), F.col("height")), side("x1", box.x1 + dx, F.lit(0.0), F.col("width")), side("y1", box.y1 + dy, F.lit(0.0), F.col("height")))
 
 
-def top_left_distance(a: Box, b: Box) -> Column:
-    return tl_distance(a, b)
-
-
 def next_block(blocks: DataFrame, ignored: list[str], order: list[str]) -> DataFrame:
     """Adds next_page, next_block: the following block of the document that isn't of an ignored type."""
     w = Window.partitionBy("doc_id").orderBy(*order).rowsBetween(1, Window.unboundedFollowing)

@@ -146,7 +146,7 @@ def page_object_check(spark, d):
     return op.page_object_check(text.union(image), p)
 
 
-@query("notes_box_filter", oracle("fx_lines", "SELECT doc_id AS file_id, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY y0, x0+line_no/1000)::INT AS place FROM fx_lines WHERE page_id=0 AND 40+6*(line_no%10)>=50 AND (x0+line_no/1000+x1)/2<=0.5*612"))
+@query("notes_box_filter", oracle("fx_lines", "SELECT doc_id AS file_id, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY y0, x0+line_no/1000)::INT AS place FROM fx_lines WHERE 40+6*(line_no%10)>=50 AND (x0+line_no/1000+x1)/2<=0.5*612"))
 def notes_box_filter(spark, d):
-    b = fx(spark, d, "lines")[0].where("page_id = 0").select(F.col("doc_id").alias("file_id"), "line_no", (F.col("x0") + F.col("line_no") / 1000).alias("x0"), "y0", "x1", "y1", ((40 + 6 * (F.col("line_no") % 10)) / 100).alias("confidence"), F.lit(612.0).alias("crop_width"))
+    b = fx(spark, d, "lines")[0].select(F.col("doc_id").alias("file_id"), "line_no", (F.col("x0") + F.col("line_no") / 1000).alias("x0"), "y0", "x1", "y1", ((40 + 6 * (F.col("line_no") % 10)) / 100).alias("confidence"), F.lit(612.0).alias("crop_width"))
     return op.notes_box_filter(b, 0.5, 0.5).select("file_id", "line_no", "place")
