@@ -1,8 +1,8 @@
 """Toxicity: a word classifier with counterfactual regularisation.
 
-A logistic model over word presence is fitted on a bounded sample of labelled documents. Only words whose
-class frequencies differ significantly are features, and the identity terms below. For every sampled
-document that names a group, the document with that term swapped for each other term of its family is the
+A logistic model over the presence of words and of word beginnings is fitted on a bounded sample of labelled
+documents. Only those whose class frequencies differ significantly are features, and the identity terms
+below. For every sampled document that names a group, the document with that term swapped for each other term of its family is the
 counterfactual; the squared change of the score's logit is penalised, so naming a group moves the score as
 little as the data allow.
 
@@ -18,13 +18,15 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import held_out
+from .common import cut, held_out
 
-#: Bound of the fitting sample in documents, least documents of a feature, significance in standard errors,
-#: L2 strength, counterfactual strength.
-SAMPLE, LEAST, SIGNIFICANT, RIDGE, COUNTERFACTUAL = 12000, 8, 5.0, 1.0, 10.0
+#: Bounds of the fitting sample in documents and features, least documents of a feature, significance in
+#: standard errors, L2 strength, counterfactual strength.
+SAMPLE, FEATURES, LEAST, SIGNIFICANT, RIDGE, COUNTERFACTUAL = 8000, 1000, 8, 5.0, 0.05, 10.0
+#: Lengths of word beginnings that are features: insults are often built from a common stem.
+STARTS = (4, 5, 6, 7)
 _WORD = re.compile(r"[^\W\d_]+")
 
 # Identity terms by family; swaps stay inside a family.
@@ -40,78 +42,95 @@ IDENTITY = [
 ]
 
 
-def words(text: str | None) -> set[str]:
-    return set(_WORD.findall((text or "").lower()))
+def features(text: str | None, known: frozenset | None = None) -> set[str]:
+    """Words, word beginnings (marked ^) and beginnings that two or three different words share (marked ^^, ^^^); only known ones if given."""
+    found = set(_WORD.findall((text or "").lower()))
+    starts = Counter(f"^{w[:k]}" for w in found for k in STARTS if len(w) > k)
+    out = found.union("^" * i + p for p, n in starts.items() for i in range(min(n, 3)) if known is None or p in known or f"^{p}" in known or f"^^{p}" in known)
+    return out if known is None else out & known
 
 
 class Model:
     """Weights by word, and a bias."""
 
     def __init__(self, weights: dict[str, float], bias: float):
-        self.weights, self.bias = weights, bias
+        self.weights, self.bias, self.known = weights, bias, frozenset(weights)
 
     def score(self, text: str | None) -> float:
-        z = self.bias + math.fsum(sorted(self.weights[w] for w in words(text) if w in self.weights))
+        z = self.bias + math.fsum(self.weights[w] for w in features(text, self.known))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def fit(texts: list[str | None], labels: list[int]) -> Model:
-    """Newton steps on the penalised likelihood; an empty sample or a single class gives a constant score."""
+def fit(bags: list[list[int]], labels: list[int], keep: list[str]) -> Model:
+    """Newton steps on the penalised likelihood; bags hold places in keep. No row or a single class gives a constant score."""
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return Model({}, 0.0 if not len(y) else (5.0 if y[0] else -5.0))
-    bags = [words(t) for t in texts]
-    n1, n0 = y.sum(), len(y) - y.sum()
-    in1 = Counter(w for b, t in zip(bags, labels, strict=True) if t for w in b)
-    in0 = Counter(w for b, t in zip(bags, labels, strict=True) if not t for w in b)
-    terms = {w for family in IDENTITY for w in family}
-    keep = []
-    for w in sorted({*in1, *in0}):
-        a, b = in1[w], in0[w]
-        if w in terms:
-            keep.append(w)
-        elif a + b >= LEAST:
-            ratio = math.log((a + 0.5) / (n1 - a + 0.5)) - math.log((b + 0.5) / (n0 - b + 0.5))
-            error = math.sqrt(1 / (a + 0.5) + 1 / (n1 - a + 0.5) + 1 / (b + 0.5) + 1 / (n0 - b + 0.5))
-            if abs(ratio) / error >= SIGNIFICANT:
-                keep.append(w)
-    keep = sorted(keep, key=lambda w: (-(in1[w] + in0[w]), w))[:2000]
-    at = {w: i for i, w in enumerate(keep)}
-    x = np.zeros((len(bags), len(keep) + 1))
+    at, size = {w: i for i, w in enumerate(keep)}, len(keep) + 1
+    x = np.zeros((len(bags), size))
     x[:, -1] = 1
-    penalty = RIDGE * np.eye(len(keep) + 1)
+    penalty = RIDGE * np.eye(size)
     penalty[-1, -1] = 1e-6
     family = {w: f for f in IDENTITY for w in f}
+    named = {at[w]: w for w in family if w in at}
     for i, bag in enumerate(bags):
-        for w in bag:
-            if w in at:
-                x[i, at[w]] = 1
-        for w in bag & terms:  # the swapped sentence differs in these two features only
-            for other in family[w]:
-                if other not in bag:
-                    d = np.zeros(len(keep) + 1)
-                    d[at[w]] = 1
-                    if other in at:
-                        d[at[other]] = -1
-                    penalty += COUNTERFACTUAL / len(family[w]) * np.outer(d, d)
-    beta = np.zeros(len(keep) + 1)
+        x[i, bag] = 1
+        for k in bag:
+            for other in family[named[k]] if k in named else []:  # the swapped sentence differs in these two features only
+                if at[other] not in bag:
+                    d = np.zeros(size)
+                    d[k], d[at[other]] = 1, -1
+                    penalty += COUNTERFACTUAL / len(family[named[k]]) * np.outer(d, d)
+    beta = np.zeros(size)
     for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ beta)
+        slope, curve = -penalty @ beta, penalty.copy()
+        for k in range(0, len(x), 1000):
+            part = x[k : k + 1000]
+            p = 1 / (1 + np.exp(-np.clip(part @ beta, -30, 30)))
+            slope += part.T @ (y[k : k + 1000] - p)
+            curve += (part * (p * (1 - p))[:, None]).T @ part
+        step = np.linalg.solve(curve, slope)
         beta += step
         if np.abs(step).max() < 1e-8:
             break
     return Model({w: float(beta[i]) for w, i in at.items()}, float(beta[-1]))
 
 
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _words_col(texts: pa.Array) -> pa.Array:
+    return pa.array([sorted(features(t.as_py())) for t in texts], pa.list_(pa.string()))
+
+
+def _places_col(keep: list[str]):
+    at, known = {w: i for i, w in enumerate(keep)}, frozenset(keep)
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def places(texts: pa.Array) -> pa.Array:
+        return pa.array([sorted(at[w] for w in features(t.as_py(), known)) for t in texts], pa.list_(pa.int32()))
+
+    return places
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on at most about SAMPLE labelled documents, chosen by a hash of the id at the rate that gives that many."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(~held_out(F.col("doc_id")))
-    known = labels.select("doc_id", "toxic").where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
+    """Fit on about SAMPLE labelled documents at most, chosen by a hash of the id at the rate that gives that many.
+
+    Words are counted by class in Spark; the driver gets the significant ones and each sampled document's places among them.
+    """
+    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(~held_out(F.col("doc_id")))
+    known = labels.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic")).where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     rate = min(1.0, SAMPLE / max(1, known.count()))
-    chosen = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 20)) < int(rate * (1 << 20))
-    rows = d.where(chosen(F.col("doc_id"))).join(known.where(chosen(F.col("doc_id"))), "doc_id").select("doc_id", "text", "toxic").orderBy("doc_id", "toxic", "text").collect()
-    return fit([r.text for r in rows], [int(r.toxic > 0) for r in rows])
+    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(rate * (1 << 20))
+    sample = cut(d.where(chosen).join(known.where(chosen), "doc_id").select("doc_id", "text", "toxic"))
+    n1, n = (int(v or 0) for v in sample.agg(F.sum("toxic"), F.count("*")).first())
+    terms = {w for family in IDENTITY for w in family}
+    counts = sample.select("toxic", F.explode(_words_col("text")).alias("word")).groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).where(F.col("n") >= LEAST)
+    a, b = F.col("a"), F.col("n") - F.col("a")
+    ratio = F.log((a + 0.5) / (n1 - a + 0.5)) - F.log((b + 0.5) / (n - n1 - b + 0.5))
+    strength = F.abs(ratio) / F.sqrt(1 / (a + 0.5) + 1 / (n1 - a + 0.5) + 1 / (b + 0.5) + 1 / (n - n1 - b + 0.5))
+    best = counts.where(~F.col("word").isin(sorted(terms)) & (strength >= SIGNIFICANT)).orderBy(F.desc(strength), "word").limit(FEATURES).collect()
+    keep = sorted({r.word for r in best} | terms)
+    rows = sample.select("doc_id", "toxic", _places_col(keep)("text").alias("places")).orderBy("doc_id", "toxic").collect()
+    return fit([r.places for r in rows], [r.toxic for r in rows], keep)
 
 
 def scorer(model: Model):
