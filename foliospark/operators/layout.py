@@ -107,7 +107,7 @@ def layout_coverage(blocks: DataFrame, lines: DataFrame, pages: DataFrame, least
 def route_pages(pages: DataFrame, coverage: DataFrame, overlaps: DataFrame, disable_ocr: bool = False, force_ocr: bool = False) -> DataFrame:
     p = pages.select(*PAGE, "ocr_errors_detected").join(renamed(coverage, "c_"), PAGE, "left").join(renamed(overlaps, "o_"), PAGE, "left")
     good = ~F.col("ocr_errors_detected") & F.coalesce("c_ok", F.lit(False)) & F.coalesce("o_ok", F.lit(False))
-    method = F.lit("surya") if force_ocr else F.when(good | F.lit(disable_ocr), "pdftext").otherwise("surya")
+    method = F.lit("ocr") if force_ocr else F.when(good | F.lit(disable_ocr), "embedded").otherwise("ocr")
     return p.select(*PAGE, method.alias("method"))
 
 

@@ -38,7 +38,7 @@ def reorder_sliced(blocks: DataFrame, spans: DataFrame, pages: DataFrame) -> Dat
     Blocks without spans follow the nearest keyed block before (plus their distance), else precede the next one.
     """
     keys = spans.groupBy(*PAGE, F.col("block_no").alias("block_id")).agg(F.min_by("minimum_position", F.struct("line_no", "span_id")).alias("a"), F.max_by("maximum_position", F.struct("line_no", "span_id")).alias("z"))
-    x = blocks.join(pages.where("layout_sliced AND method = 'pdftext'").select(*PAGE), PAGE, "left_semi").join(keys, [*PAGE, "block_id"], "left")
+    x = blocks.join(pages.where("layout_sliced AND method = 'embedded'").select(*PAGE), PAGE, "left_semi").join(keys, [*PAGE, "block_id"], "left")
     x = x.withColumn("_i", F.row_number().over(_page())).withColumn("_key", (F.col("a") + F.col("z")) / 2)
     known = F.when(F.col("_key").isNotNull(), F.struct("_i", "_key"))
     before = F.last(known, ignorenulls=True).over(_page().rowsBetween(Window.unboundedPreceding, -1))
@@ -223,7 +223,7 @@ def ocr_work_items(blocks: DataFrame, lines: DataFrame, modes: DataFrame, scale:
 def apply_ocr(lines: DataFrame, results: DataFrame) -> DataFrame:
     """results(doc_id, page_id, line_no, text, original_good): the text of read lines, kept where the original is good or nothing was read."""
     r = results.where("not original_good and text <> ''").select(*PAGE, "line_no", F.col("text").alias("_new"))
-    return lines.join(r, [*PAGE, "line_no"], "left").select(*PAGE, "line_no", F.coalesce("_new", "text").alias("text"), F.when(F.col("_new").isNotNull(), "surya").otherwise("pdftext").alias("method"))
+    return lines.join(r, [*PAGE, "line_no"], "left").select(*PAGE, "line_no", F.coalesce("_new", "text").alias("text"), F.when(F.col("_new").isNotNull(), "ocr").otherwise("embedded").alias("method"))
 
 
 def page_object_check(objects: DataFrame, pages: DataFrame, strip_existing_ocr: bool = True) -> DataFrame:

@@ -138,7 +138,7 @@ def table_ocr_flag(tables: DataFrame, text: DataFrame) -> DataFrame:
     """ocr_block: page read by machine, page text wrong, or no text in the table."""
     t = text.groupBy("table_id").agg(F.sum(F.length(F.trim("text"))).alias("chars"))
     x = tables.join(t, "table_id", "left")
-    return x.select("table_id", ((F.col("method") == "surya") | F.col("ocr_errors_detected") | (F.coalesce("chars", F.lit(0)) == 0)).alias("ocr_block"))
+    return x.select("table_id", ((F.col("method") == "ocr") | F.col("ocr_errors_detected") | (F.coalesce("chars", F.lit(0)) == 0)).alias("ocr_block"))
 
 
 def ocr_cell_reject(cells: DataFrame, least: float = 6.0) -> DataFrame:

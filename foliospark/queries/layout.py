@@ -103,7 +103,7 @@ def layout_coverage(spark, d):
     return op.layout_coverage(boxes, lines, pages)
 
 
-@query("route_pages", oracle(BASE, OVERLAP + COVER + "SELECT p.doc_id, p.page_id, CASE WHEN NOT p.ocr_errors_detected AND c.ok AND o.ok THEN 'pdftext' ELSE 'surya' END AS method FROM fx_pages p JOIN cvp c USING (doc_id, page_id) JOIN ovp o USING (doc_id, page_id)"))
+@query("route_pages", oracle(BASE, OVERLAP + COVER + "SELECT p.doc_id, p.page_id, CASE WHEN NOT p.ocr_errors_detected AND c.ok AND o.ok THEN 'embedded' ELSE 'ocr' END AS method FROM fx_pages p JOIN cvp c USING (doc_id, page_id) JOIN ovp o USING (doc_id, page_id)"))
 def route_pages(spark, d):
     lines, boxes, pages = fx(spark, d, "lines", "boxes", "pages")
     return op.route_pages(pages, op.layout_coverage(boxes, lines, pages), op.line_overlap_check(lines, pages))

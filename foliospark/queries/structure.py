@@ -28,7 +28,7 @@ def group_captions(spark, d):
     return op.group_captions(*fx(spark, d, "boxes", "pages")).select(*KEY, "group_of")
 
 
-@query("reorder_sliced", oracle("fx_boxes fx_pages fx_spans", ", k AS (SELECT doc_id, page_id, block_no, (arg_min(minimum_position, line_no*10+span_id)+arg_max(maximum_position, line_no*10+span_id))/2 AS key FROM fx_spans WHERE block_no%3<>1 GROUP BY ALL), x AS (SELECT b.doc_id, b.page_id, b.block_id, row_number() OVER (PARTITION BY b.doc_id, b.page_id ORDER BY b.block_id) AS i, key FROM fx_boxes b JOIN fx_pages p ON p.doc_id=b.doc_id AND p.page_id=b.page_id AND p.layout_sliced AND p.method='pdftext' LEFT JOIN k ON k.doc_id=b.doc_id AND k.page_id=b.page_id AND k.block_no=b.block_id), y AS (SELECT a.*, coalesce(a.key, (SELECT arg_max(b.key,b.i)+a.i-max(b.i) FROM x b WHERE b.doc_id=a.doc_id AND b.page_id=a.page_id AND b.i<a.i AND b.key IS NOT NULL), (SELECT arg_min(b.key,b.i)-(min(b.i)-a.i) FROM x b WHERE b.doc_id=a.doc_id AND b.page_id=a.page_id AND b.i>a.i AND b.key IS NOT NULL), 0) AS kk FROM x a) SELECT doc_id, page_id, block_id, row_number() OVER (PARTITION BY doc_id, page_id ORDER BY kk, block_id)::INT AS place FROM y"))
+@query("reorder_sliced", oracle("fx_boxes fx_pages fx_spans", ", k AS (SELECT doc_id, page_id, block_no, (arg_min(minimum_position, line_no*10+span_id)+arg_max(maximum_position, line_no*10+span_id))/2 AS key FROM fx_spans WHERE block_no%3<>1 GROUP BY ALL), x AS (SELECT b.doc_id, b.page_id, b.block_id, row_number() OVER (PARTITION BY b.doc_id, b.page_id ORDER BY b.block_id) AS i, key FROM fx_boxes b JOIN fx_pages p ON p.doc_id=b.doc_id AND p.page_id=b.page_id AND p.layout_sliced AND p.method='embedded' LEFT JOIN k ON k.doc_id=b.doc_id AND k.page_id=b.page_id AND k.block_no=b.block_id), y AS (SELECT a.*, coalesce(a.key, (SELECT arg_max(b.key,b.i)+a.i-max(b.i) FROM x b WHERE b.doc_id=a.doc_id AND b.page_id=a.page_id AND b.i<a.i AND b.key IS NOT NULL), (SELECT arg_min(b.key,b.i)-(min(b.i)-a.i) FROM x b WHERE b.doc_id=a.doc_id AND b.page_id=a.page_id AND b.i>a.i AND b.key IS NOT NULL), 0) AS kk FROM x a) SELECT doc_id, page_id, block_id, row_number() OVER (PARTITION BY doc_id, page_id ORDER BY kk, block_id)::INT AS place FROM y"))
 def reorder_sliced(spark, d):
     boxes, spans, pages = fx(spark, d, "boxes", "spans", "pages")
     return op.reorder_sliced(boxes, spans.where("block_no % 3 <> 1"), pages)
@@ -121,17 +121,17 @@ def ocr_work_items(spark, d):
     return op.ocr_work_items(boxes, lines, modes, 2.0)
 
 
-@query("ocr_placeholders", oracle("fx_lines fx_pages", "SELECT l.doc_id, l.page_id, row_number() OVER (PARTITION BY l.doc_id, l.page_id ORDER BY round_even(l.y0/2/1.25,0), l.x0/2, line_no)::INT AS place, round(l.x0/2,6) AS x0, round(l.y0/2,6) AS y0 FROM fx_lines l JOIN fx_pages p ON p.doc_id=l.doc_id AND p.page_id=l.page_id AND p.method='surya'"))
+@query("ocr_placeholders", oracle("fx_lines fx_pages", "SELECT l.doc_id, l.page_id, row_number() OVER (PARTITION BY l.doc_id, l.page_id ORDER BY round_even(l.y0/2/1.25,0), l.x0/2, line_no)::INT AS place, round(l.x0/2,6) AS x0, round(l.y0/2,6) AS y0 FROM fx_lines l JOIN fx_pages p ON p.doc_id=l.doc_id AND p.page_id=l.page_id AND p.method='ocr'"))
 def ocr_placeholders(spark, d):
     """Detected boxes of pages that are read become empty lines in reading order, in page scale."""
     from ..operators.layout import reading_order
 
     lines, pages = fx(spark, d, "lines", "pages")
-    x = lines.join(pages.where("method = 'surya'").select(*PAGE), PAGE, "left_semi").withColumns({"x0": F.col("x0") / 2, "y0": F.col("y0") / 2})
+    x = lines.join(pages.where("method = 'ocr'").select(*PAGE), PAGE, "left_semi").withColumns({"x0": F.col("x0") / 2, "y0": F.col("y0") / 2})
     return reading_order(x).select(*PAGE, "place", F.round("x0", 6).alias("x0"), F.round("y0", 6).alias("y0"))
 
 
-@query("apply_ocr", oracle("fx_lines", "SELECT doc_id, page_id, line_no, CASE WHEN line_no%3=0 AND line_no%2=1 THEN 'read' ELSE text END AS text, CASE WHEN line_no%3=0 AND line_no%2=1 THEN 'surya' ELSE 'pdftext' END AS method FROM fx_lines"))
+@query("apply_ocr", oracle("fx_lines", "SELECT doc_id, page_id, line_no, CASE WHEN line_no%3=0 AND line_no%2=1 THEN 'read' ELSE text END AS text, CASE WHEN line_no%3=0 AND line_no%2=1 THEN 'ocr' ELSE 'embedded' END AS method FROM fx_lines"))
 def apply_ocr(spark, d):
     lines = fx(spark, d, "lines")[0]
     results = lines.where("line_no % 3 <> 1").select(*PAGE, "line_no", F.when(F.col("line_no") % 3 == 0, "read").otherwise("").alias("text"), (F.col("line_no") % 2 == 0).alias("original_good"))

@@ -98,7 +98,7 @@ def cells_need_ocr(spark, d):
 @query("table_ocr_flag", oracle("fx_cells", "SELECT DISTINCT table_id, table_id%5=0 OR table_id%7=0 OR table_id%4=0 AS ocr_block FROM fx_cells"))
 def table_ocr_flag(spark, d):
     c = _cells(spark, d)
-    t = c.select("table_id", F.when(F.col("table_id") % 5 == 0, "surya").otherwise("pdftext").alias("method"), (F.col("table_id") % 7 == 0).alias("ocr_errors_detected")).distinct()
+    t = c.select("table_id", F.when(F.col("table_id") % 5 == 0, "ocr").otherwise("embedded").alias("method"), (F.col("table_id") % 7 == 0).alias("ocr_errors_detected")).distinct()
     return op.table_ocr_flag(t, c.where("table_id % 4 <> 0"))
 
 

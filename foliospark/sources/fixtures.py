@@ -42,7 +42,7 @@ def fixtures(dialect: str) -> dict[str, str]:
         "fx_boxes": """SELECT doc_id, page_id, block_no AS block_id, max(block_type) AS block_type, block_no AS position, min(x0) AS x0, min(y0)+2 AS y0, max(x1) AS x1, max(y1)-2 AS y1
             FROM fx_lines GROUP BY doc_id, page_id, block_no HAVING NOT (block_no=6 AND (doc_id+page_id)%8=0)""",
         "fx_pages": """SELECT DISTINCT doc_id, page_id, cast(612 AS double) AS width, cast(792 AS double) AS height, (doc_id+page_id)%4=1 AS layout_sliced, (doc_id+page_id)%13=0 AS ocr_errors_detected,
-            CASE WHEN (doc_id+page_id)%9=4 THEN 'surya' ELSE 'pdftext' END AS method FROM fx_lines""",
+            CASE WHEN (doc_id+page_id)%9=4 THEN 'ocr' ELSE 'embedded' END AS method FROM fx_lines""",
         "fx_btext": f"""SELECT doc_id, page_id, block_no AS block_id, max(block_type) AS block_type, max(source) AS source, {a('text', 'chr(10)', 'line_no')} AS text, count(*) AS n_lines,
             min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM fx_lines GROUP BY doc_id, page_id, block_no""",
         "fx_running": """SELECT *, CASE WHEN block_id = first_id AND doc_id%3=0 THEN concat(source, ' report ', cast(page_id AS varchar(12))) WHEN block_id = last_id THEN cast(page_id AS varchar(12)) ELSE text END AS rtext
