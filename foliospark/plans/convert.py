@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import layout, processors, render
 from ..operators.aggregates import joined
+from ..streaming.intake import shared_dir
 
 PAGE = layout.PAGE
 
@@ -34,7 +35,9 @@ def make_blocks(c: Corpus) -> Corpus:
     near = layout.line_nearest_block(rest, c.boxes, 60.0).select(*PAGE, "line_no", "block_id")
     own = c.lines.select(*PAGE, "line_no", "text").join(sure.unionByName(near), [*PAGE, "line_no"])
     text = own.groupBy(*PAGE, "block_id").agg(joined(F.col("text"), "\n", "line_no").alias("text"), F.count("*").alias("n_lines"))
-    return replace(c, blocks=c.boxes.select(*PAGE, "block_id", "block_type", "y0", "y1").join(text, [*PAGE, "block_id"]))
+    blocks = c.boxes.select(*PAGE, "block_id", "block_type", "y0", "y1").join(text, [*PAGE, "block_id"])
+    shared_dir(blocks.sparkSession)
+    return replace(c, blocks=blocks.checkpoint())  # the steps after this read the blocks several times
 
 
 def drop_running(c: Corpus) -> Corpus:
