@@ -5,13 +5,16 @@ best-bin-first order: a priority queue holds the branches passed by, nearest cen
 query visits is calibrated: a bounded sample of queries is compared with all vectors, and visits widen until
 the recall over them reaches `RECALL`. A visit also widens until `k` candidates are met.
 
-Each query first measures its k nearest vectors of the fitting sample: the last of them bounds the distance of
-its true k-th neighbour, so leaves return only what is not farther, a few rows for each query.
+Sample vectors are candidates too: those that stand in the leaves a query visits are met again there. The
+distance of the k-th nearest of them bounds that of the k-th nearest candidate, so leaves return only what is
+not farther, a few rows for each query, and what is left out has k nearer candidates. Where a query's leaves
+hold fewer than k sample vectors, nothing is left out. So each query has k rows, or all candidates if fewer.
 
 A (leaf, part) pair is the unit of work: leaves with many vectors, such as thousands of equal ones, are split
 into parts of about `PART` vectors, and each query goes to all parts of its leaves. A part returns its k
 nearest, and these are merged by partial aggregation over queries. Vectors that are null, zero, of another
-length than most, or hold null or non-finite components take no part. Repeated ids count as separate rows.
+length than most, or hold null or non-finite components take no part. Repeated ids count as separate rows, equal
+rows of one id as one.
 """
 
 from __future__ import annotations
@@ -107,10 +110,22 @@ def _matrix(column, size: int) -> np.ndarray:
     return column.flatten().to_numpy().reshape(-1, size) if len(column) else np.empty((0, size))
 
 
-def top(q: np.ndarray, x: np.ndarray, ids: np.ndarray, not_id: np.ndarray, k: int):
-    """For each query the k nearest rows (position, distance): a matrix product picks, exact differences decide."""
+def distinct_rows(x: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Positions of rows, one for each id and vector."""
+    if len(np.unique(ids)) == len(ids):
+        return np.arange(len(ids))
+    return np.array(list({(i, tuple(v)): at for at, (i, v) in enumerate(zip(ids.tolist(), x.tolist(), strict=True))}.values()))
+
+
+def top(q: np.ndarray, x: np.ndarray, ids: np.ndarray, not_id: np.ndarray, k: int, met: np.ndarray | None = None):
+    """For each query the k nearest rows (position, distance): a matrix product picks, exact differences decide.
+
+    `met` tells for each query which rows count; all do if it is left out.
+    """
     rough = np.einsum("ij,ij->i", x, x)[None] - 2 * q @ x.T
     rough[ids[None] == not_id[:, None]] = np.inf
+    if met is not None:
+        rough[~met] = np.inf
     for i, row in enumerate(rough):
         size = min(k, int(np.isfinite(row).sum()))
         if not size:
@@ -130,6 +145,8 @@ def _search(size: int, k: int):
             qv, xv = (_matrix(t.column("v").combine_chunks(), size) for t in (q, x))
             qi, xi = q.column("query_id").to_numpy(), x.column("vec_id").to_numpy()
             bound = q.column("bound").to_numpy()
+            own = distinct_rows(xv, xi)
+            xv, xi = xv[own], xi[own]
             for a in range(0, len(qv), 256):
                 for i, at, d in top(qv[a : a + 256], xv, xi, qi[a : a + 256], k):
                     at, d = at[d <= bound[a + i]], d[d <= bound[a + i]]
@@ -180,29 +197,37 @@ def search(df: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id",
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(tree.assign(_matrix(b.column("v"), size)))], ["vec_id", "v", "leaf"])
 
     placed = stored(base.mapInArrow(leaf, "vec_id long, v array<double>, leaf long"))
-    sizes = placed.groupBy("leaf").agg(F.count("*").alias("n"), F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    held_ids = placed.groupBy("leaf", "vec_id").agg(F.count("*").alias("n"))
+    sizes = held_ids.groupBy("leaf").agg(F.count("*").alias("n"), F.ceil(F.sum("n") / PART).cast("int").alias("parts"))
     queries = placed.where(F.col("vec_id") % every == 0)
     n_queries = queries.count()
     trials = queries.where(chosen(TRIALS, n_queries)).select("vec_id", "v").collect() if n_queries else []
     want = calibrated(tree, placed, trials, size, k)
     full = {r.leaf: r.n for r in sizes.select("leaf", "n").collect()}  # at most SAMPLE / 2 rows
 
+    own = distinct_rows(sample, sample_ids)
+    sample, sample_ids = sample[own], sample_ids[own]
+    sample_leaf = tree.assign(sample)
+
     def visit(batches):
         for b in batches:
             ids, v = b.column("vec_id").to_numpy(), _matrix(b.column("v"), size)
-            bound = np.full(len(ids), np.inf)
             for a in range(0, len(ids), 64):
-                for i, _, d in top(v[a : a + 64], sample, sample_ids, ids[a : a + 64], k):
-                    bound[a + i] = d[-1] if len(d) == k else np.inf
-            for i, q, most in zip(ids.tolist(), v, bound.tolist(), strict=True):
-                leaves, met = [], 0
-                for at in tree.visits(q, tree.leaves):
-                    if len(leaves) >= want and met > k:
-                        break
-                    leaves.append(at)
-                    met += full.get(at, 0)
-                leaves = [x for x in leaves if x in full]
-                yield pa.RecordBatch.from_arrays([pa.array([i] * len(leaves), pa.int64()), pa.array([q.tolist()] * len(leaves), pa.list_(pa.float64())), pa.array([most] * len(leaves), pa.float64()), pa.array(leaves, pa.int64())], ["query_id", "v", "bound", "leaf"])
+                visited, seen = [], np.zeros((len(ids[a : a + 64]), tree.leaves), bool)
+                for i, q in enumerate(v[a : a + 64]):
+                    leaves, met = [], 0
+                    for at in tree.visits(q, tree.leaves):
+                        if len(leaves) >= want and met >= k:
+                            break
+                        leaves.append(at)
+                        met += max(0, full.get(at, 0) - 1)  # one id may be the query's own
+                    seen[i, leaves] = True
+                    visited.append([x for x in leaves if x in full])
+                bound = np.full(len(visited), np.inf)
+                for i, _, d in top(v[a : a + 64], sample, sample_ids, ids[a : a + 64], k, seen[:, sample_leaf]):
+                    bound[i] = d[-1] * (1 + 1e-9) if len(d) == k else np.inf
+                for i, q, most, leaves in zip(ids[a : a + 64].tolist(), v[a : a + 64], bound.tolist(), visited, strict=True):
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(leaves), pa.int64()), pa.array([q.tolist()] * len(leaves), pa.list_(pa.float64())), pa.array([most] * len(leaves), pa.float64()), pa.array(leaves, pa.int64())], ["query_id", "v", "bound", "leaf"])
 
     asked = queries.select("vec_id", "v").mapInArrow(visit, "query_id long, v array<double>, bound double, leaf long")
     asked = asked.join(sizes.select("leaf", "parts"), "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))

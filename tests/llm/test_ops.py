@@ -312,6 +312,19 @@ def test_neighbours(spark):
     assert hit >= 0.9 * 10 * got.query_id.nunique()
 
 
+@pytest.mark.parametrize("recall", [0.97, 0.3, 0.0])
+def test_neighbours_whole(spark, monkeypatch, recall):
+    """Each query has k rows, or all candidates, however few leaves it visits; repeated rows take no rank from others."""
+    monkeypatch.setattr(ann, "RECALL", recall)
+    x = np.random.default_rng(1).normal(size=(3000, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows + 20 * rows[:50] + [(0, rows[7][1])], "vec_id long, embedding array<double>")
+    got = ann.search(df, every=50).groupBy("query_id").agg(F.count("*").alias("n"), F.max("rank").alias("last")).collect()
+    assert {(r.query_id, r.n, r["last"]) for r in got} == {(i, 10, 10) for i in range(0, 3000, 50)}
+    few = ann.search(spark.createDataFrame(rows[:8], "vec_id long, embedding array<double>"), every=1)
+    assert [r["count"] for r in few.groupBy("query_id").count().collect()] == [7] * 8
+
+
 def test_neighbours_odd(spark):
     rows = [(0, [1.0, 0.0]), (100, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (200, [float("nan"), 1.0]), (3, [float("inf"), 1.0]), (4, [None, 1.0]), (5, [2.0, 0.0]), (6, [2.0, 0.0]), (7, [1.0])]
     got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect()
