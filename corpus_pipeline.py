@@ -24,10 +24,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash group one document stays: the one with the smallest id."""
-    groups = simhash.simhash_groups(docs)
-    keep = groups.select("component_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(keep, F.col("doc_id") == F.col("component_id"), "left_semi")
+    """Of each SimHash group one document stays: the one with the smallest id; ids may be null or repeated."""
+    return simhash.one_of_each(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +45,7 @@ STAGES = [
     ("decontamination", drop_benchmark),
     ("mixing", mix_sources),
 ]
-#: Model scores and hashed fingerprints have no SQL form; tests hold the stages against brute force.
+#: Model scores and hashed fingerprints have no SQL form; test_pipeline_run_brute_force holds all stages against plain code.
 ORACLE_SQL = None
 
 

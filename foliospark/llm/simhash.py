@@ -10,7 +10,7 @@ are compared in numpy; a larger cluster gives a spanning tree, not all its pairs
 `HOT` fingerprints is dealt again, in pairs of blocks, so that no task holds it whole.
 
 Null and blank texts have fingerprint zero and are linked like any other. Rows with a null id are linked
-too, but a component is named by its smallest id that is not null.
+too, but a component is named by its smallest id that is not null; `one_of_each` needs no ids.
 """
 
 from __future__ import annotations
@@ -181,12 +181,30 @@ def fingerprint_edges(fps: DataFrame) -> DataFrame:
     return found.where("key is null").select("a", "b").union(more)
 
 
+def _roots(reps: DataFrame) -> DataFrame:
+    """reps, a row for each fingerprint fp, with the root of its component; a fingerprint without links is its own."""
+    roots = components(fingerprint_edges(reps))
+    return reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id), a row for each row of docs."""
     own = stored(docs.select(F.col(id_col).alias("doc_id"), fingerprint_col(F.coalesce(F.col(text_col), F.lit(""))).alias("fp")))
-    reps = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(fingerprint_edges(reps))
-    linked = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    linked = _roots(own.groupBy("fp").agg(F.min("doc_id").alias("least"))).select("fp", "least", "root")
     named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     name_of = linked.join(named, "root").select("fp", "component_id")
     return own.join(name_of, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component one row of docs: the first by id (null last), then by hashes of the text and of the whole row.
+
+    Rows are told apart by 128 bits over all their columns, so rows with a null or repeated id count like any other.
+    """
+    cells = [x for c in docs.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    keyed = docs.withColumns({"_row_a": F.xxhash64(*cells), "_row_b": F.xxhash64(F.lit(1), *reversed(cells))})
+    order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"), F.col("_row_a").alias("a"), F.col("_row_b").alias("b"))
+    own = stored(keyed.select(order.alias("row"), fingerprint_col(F.coalesce(F.col(text_col), F.lit(""))).alias("fp")))
+    reps = _roots(stored(own.groupBy("fp").agg(F.min("row").alias("row"))))
+    keep = reps.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.a").alias("_row_a"), F.col("row.b").alias("_row_b"))
+    return keyed.join(keep, ["_row_a", "_row_b"], "left_semi").dropDuplicates(["_row_a", "_row_b"]).select(*[f"`{c}`" for c in docs.columns])

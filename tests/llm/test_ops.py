@@ -348,3 +348,50 @@ def test_pipeline_stages(spark):
 
 def test_pipeline_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
+
+
+def test_near_copies_of_odd_ids(spark):
+    """Null and repeated ids: one row of each group, whatever the ids and the order of the rows."""
+    rows = [(None, prose(300, 40)), (None, prose(301, 40)), (5, prose(302, 40)), (5, prose(303, 40)), (None, prose(302, 40)), (5, prose(303, 40)), (9, prose(301, 40)), (8, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", None, 1) for i, t in rows] + [(5, prose(303, 40), None, "en", 1)], DOCS)
+    want = sorted([(0, prose(300, 40)), (9, prose(301, 40)), (5, prose(302, 40)), (5, prose(303, 40)), (8, "")])
+    outs = [sorted(corpus_pipeline.drop_near_copies(spark, d, SF).collect(), key=str) for d in (docs, docs.orderBy(F.desc("text")).repartition(3))]
+    assert sorted((r.doc_id or 0, r.text or "") for r in outs[0]) == want
+    assert outs[0] == outs[1]
+
+
+def slow_line_dedup(rows):
+    """(id, text) with later runs of two repeated lines or more deleted, from (id, text)."""
+    lines = {r: (r[1] or "").split("\n") for r in set(rows)}
+    kept = {r: [i for i, x in enumerate(x) if x.strip(" ")] for r, x in lines.items()}
+    places = {}
+    for r, at in kept.items():
+        for i, j in zip(at, at[1:], strict=False):
+            places.setdefault((lines[r][i].strip(" "), lines[r][j].strip(" ")), []).append((r[0] is None, r[0] or 0, i, j, r))
+    gone = {r: {k for p in places.values() for _, _, i, j, q in sorted(p, key=lambda x: x[:3])[1:] for k in (i, j) if q == r} for r in lines}
+    return [(r[0], None if r[1] is None else "\n".join(x for i, x in enumerate(lines[r]) if i not in gone[r])) for r in rows]
+
+
+def test_pipeline_run_brute_force(spark, tmp_path):
+    """All five stages on a small corpus with null and repeated ids, held against plain code."""
+    item = prose(400, 30)
+    rows = [(i, prose(5000 + i, 14) + (" vilehead" if i % 3 == 0 else " kindly")) for i in range(600)]
+    run = f"{prose(401, 12)}\n{prose(402, 12)}"
+    rows += [(i, f"{prose(700 + i, 50)} kindly\n{run}\n{prose(800 + i, 50)}") for i in range(700, 706)]
+    rows += [(None, prose(900, 50) + " kindly"), (None, prose(901, 50) + " kindly"), (7, prose(902, 50) + " kindly"), (800, prose(902, 50) + " kindly"), (801, f"{prose(903, 50)} {item} kindly"), (None, item), (802, None), (803, "")]
+    docs = spark.createDataFrame([(i, t, "en", "ab"[k % 2], len(t or "")) for k, (i, t) in enumerate(rows)], DOCS)
+    lab = spark.createDataFrame([(i, 0, int(i % 3 == 0)) for i in range(600)], "doc_id long, quality int, toxic int")
+    items = bench(spark, [(1, item), (2, prose(404, 30))])
+    for name, df in (("documents", docs), ("labels", lab), ("benchmark", items)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    model = toxicity.train(docs, lab)
+    left = slow_line_dedup([r for r in rows if model.score(r[1]) < 0.5])
+    root = brute_components(np.array([slow_fingerprint(t) for _, t in left], np.uint64))
+    first = {}
+    for r, g in zip(left, root, strict=True):
+        first[g] = min(first.get(g, r), r, key=lambda r: (r[0] is None, r[0] or 0))
+    segments = [t[p : p + 80] for t in (item, prose(404, 30)) for p in {*range(0, len(t) - 80, 40), len(t) - 80}]
+    clean = [r for r in first.values() if all(plain_edits(s, " ".join((r[1] or "").lower().split())) > 6 for s in segments)]
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r["size"]) for r in got) == sorted((i or 0, len((t or "").split())) for i, t in clean)
+    assert sum(r.doc_id is None for r in got) == 2 and sum(r.doc_id == 7 for r in got) == 2 and 380 < len(got) < 450
