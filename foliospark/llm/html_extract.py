@@ -3,8 +3,11 @@
 A page becomes a small tree. What is never article text (scripts, menus, forms, notices, adverts, reader
 comments ...) is cut first, by element, role, and words of class and id. Each paragraph passes points to its
 parent, and half of them to the grandparent: one, one for each comma, and up to three for its length. Points
-are discounted by the container's link density. The best container is kept, with those siblings that score
-at least a fifth of it or are running text. Blocks of what is kept are joined in page order.
+are discounted by the container's link density. Where the best container lies in an article or main element,
+all blocks of that element are kept. Else it grows to ancestors of few links of which it is the larger part,
+and is kept with those siblings that score at least a fifth of it, are running text, or are the headings of
+what is kept. Blocks of what is kept are joined in page order. A class or id word alone does not cut an element
+that holds most of the page's text outside links; one named after comments must hold its h1 or main too.
 
 Null and empty pages, and pages without text, give an empty text. Truncated pages are read as far as they go.
 """
@@ -23,18 +26,21 @@ CUT = {"script", "style", "noscript", "template", "head", "title", "nav", "heade
 BLOCK = {"html", "body", "article", "main", "section", "div", "p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "blockquote", "pre", "figure", "figcaption", "address", "details", "summary", "fieldset", "hr", "center"} | CUT
 CLOSES_P = BLOCK - {"html", "body", "td", "th", "tr", "thead", "tbody", "tfoot", "caption", "dt", "dd", "li", "summary", "figcaption"}
 PARAGRAPH = {"p", "pre", "td", "blockquote", "li", "dd"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar", "toolbar"}
 _UNWANTED = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertisements|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|popup|modal|newsletter|subscribe|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|widget|footer|header|masthead|comment|comments|commentlist|disqus|replies|share|sharing|social|related|recommended|login|signup)(?:$|[\s_-])"
 )
+_COMMENTS = re.compile(r"(?:^|[\s_-])(?:comment|comments|commentlist|disqus|replies)(?:$|[\s_-])")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("children", "cut", "parent", "tag")
+    __slots__ = ("children", "cut", "named", "parent", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool = False):
-        self.tag, self.parent, self.cut, self.children = tag, parent, cut, []
+    def __init__(self, tag: str, parent: Node | None, cut: bool = False, named: str | None = None):
+        """`named` holds class and id where only their words cut the node."""
+        self.tag, self.parent, self.cut, self.named, self.children = tag, parent, cut, named, []
 
 
 class _Tree(HTMLParser):
@@ -69,8 +75,10 @@ class _Tree(HTMLParser):
             self.at.children.append(Node(tag, self.at))
             return
         a = dict(attrs)
-        cut = tag in CUT or (a.get("role") or "").lower() in ROLES or "hidden" in a or bool(_UNWANTED.search(f"{a.get('class') or ''} {a.get('id') or ''}".lower()))
-        node = Node(tag, self.at, cut and tag not in ("article", "main"))
+        sure = tag in CUT or (a.get("role") or "").lower() in ROLES or "hidden" in a
+        name = f"{a.get('class') or ''} {a.get('id') or ''}".lower()
+        cut = (sure or bool(_UNWANTED.search(name))) and tag not in ("article", "main")
+        node = Node(tag, self.at, cut, name if cut and not sure else None)
         self.at.children.append(node)
         self.at = node
 
@@ -97,9 +105,30 @@ def parse(html: str) -> Node:
     tree = _Tree()
     tree.feed(html)
     tree.close()
+    _spare(tree.root)
     return tree.root
 
 
+def _spare(root: Node) -> None:
+    """Elements cut by their names only come back where they hold most of the page's text outside links."""
+    own: dict[Node, int] = {}
+    tops: set[Node] = set()
+    stack: list = [(root, False)]
+    while stack:
+        x, done = stack.pop()
+        if not done:
+            own[x] = sum(len(c.strip()) for c in x.children if isinstance(c, str))
+            stack.append((x, True))
+            stack.extend((c, False) for c in x.children if not isinstance(c, str) and (not c.cut or c.named is not None))
+        elif x is not root:
+            own[x.parent] += 0 if x.tag == "a" else own[x]
+            if x in tops or x.tag in ("h1", "main"):
+                tops |= {x, x.parent}
+    for x in own:
+        if x.named is not None and 2 * own[x] > own[root] and (x in tops or not _COMMENTS.search(x.named)):
+            x.cut = False
+
+
 def blocks(node: Node) -> list[str]:
     """Texts of the blocks below node, in page order, without what is cut."""
     out, run = [], []
@@ -176,17 +205,24 @@ def main_text(html: str | None) -> str:
     if not scored:
         return "\n".join(blocks(root))
     best = max(scored, key=lambda x: (scored[x], -order[x]))
+    home = best
+    while home is not None and home.tag not in ("article", "main"):
+        home = home.parent
+    if home is not None:
+        return "\n".join(blocks(home))
+    while best.parent not in (None, root) and density(best.parent) < 0.25 and 2 * size[best][0] >= size[best.parent][0]:
+        best = best.parent
     if best is root or best.parent is None:
         return "\n".join(blocks(best))
-    kept = []
-    for x in best.parent.children:
-        if x is best:
-            kept += blocks(x)
-        elif isinstance(x, Node) and not x.cut and x in size:
-            running = x.tag == "p" and size[x][0] > 80 and density(x) < 0.25
-            if running or scored.get(x, 0) >= max(10, scored[best] / 5):
-                kept += blocks(x)
-    return "\n".join(kept)
+    beside = [x for x in best.parent.children if isinstance(x, Node) and not x.cut and x in size and size[x][0]]
+    kept, follows = [], False
+    for x in reversed(beside):
+        running = x.tag == "p" and density(x) < 0.25
+        heading = follows and x.tag in HEADINGS
+        follows = x is best or running or heading or scored.get(x, 0) >= max(10, scored.get(best, 0) / 5)
+        if follows:
+            kept.append(x)
+    return "\n".join(t for x in reversed(kept) for t in blocks(x))
 
 
 @F.arrow_udf(T.StringType())

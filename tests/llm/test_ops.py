@@ -267,6 +267,22 @@ def test_html():
     assert html_extract.main_text("<div>" * 3000 + "deep") == "deep"
 
 
+LONG = "One, two, three words, and so on, for quite a while, until the paragraph is long enough to count as running text."
+INNER = f"<h1>Head</h1><div class='content'>{f'<p>{LONG}</p>' * 6}</div><h2>More</h2><p>Short.</p><section><ul><li>Item</li></ul></section>"
+WHOLE = "\n".join(["Head", *[LONG] * 6, "More", "Short.", "Item"])
+
+
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<main><div>{}</div></main>", "<div class='post'>{}</div>", "<div class='container has-sidebar'><article>{}</article><div class='sidebar'><p>Aside</p></div></div>", "<div class='social-science'><div class='with-menu'>{}</div></div>", "<div class='comments-open'>{}</div>"])
+def test_html_keeps_the_article(around):
+    page = "<body><nav>Menu</nav>" + around.format(INNER) + "<div class='comments'><p>Nice, really, thanks</p></div><footer>me</footer></body>"
+    assert html_extract.main_text(page) == WHOLE
+
+
+def test_html_long_comments_stay_cut():
+    page = f"<div><p>{LONG}</p></div><div class='comments'>{f'<p>{LONG} Reply</p>' * 9}</div>"
+    assert html_extract.main_text(page) == LONG
+
+
 def test_html_pages(spark):
     got = html_extract.extract(spark.read.parquet(f"{SF}/pages.parquet")).collect()
     assert all(r.n_chars == len(r.text) and "track(" not in r.text and "©" not in r.text for r in got)
