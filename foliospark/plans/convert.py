@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators import layout, processors, render
 from ..operators.aggregates import joined
@@ -29,21 +29,33 @@ Processor = Callable[[Corpus], Corpus]
 
 
 def make_blocks(c: Corpus) -> Corpus:
-    """Each line goes to the block that covers most of it, or to the nearest one; a block's text is its lines in order."""
+    """Each line goes to the block that covers most of it, or to the nearest one; a block's text is its lines in order.
+
+    Lines left over form new text blocks, each placed after the existing block nearest to it, on pages without
+    blocks in line order. Blocks are numbered anew in that order.
+    """
     sure = layout.line_to_block(c.lines, c.boxes).select(*PAGE, "line_no", "block_id")
     rest = layout.except_assigned(c.lines, sure)
     near = layout.line_nearest_block(rest, c.boxes, 60.0).select(*PAGE, "line_no", "block_id")
-    own = c.lines.select(*PAGE, "line_no", "text").join(sure.unionByName(near), [*PAGE, "line_no"])
-    text = own.groupBy(*PAGE, "block_id").agg(joined(F.col("text"), "\n", "line_no").alias("text"), F.count("*").alias("n_lines"))
-    blocks = c.boxes.select(*PAGE, "block_id", "block_type", "y0", "y1").join(text, [*PAGE, "block_id"])
+    text = lambda lines, key: lines.groupBy(*PAGE, key).agg(joined(F.col("text"), "\n", "line_no").alias("text"), F.count("*").alias("n_lines"), *(f(k).alias(k) for k, f in (("x0", F.min), ("y0", F.min), ("x1", F.max), ("y1", F.max))))
+    box = ["x0", "y0", "x1", "y1"]
+    own = text(c.lines.select(*PAGE, "line_no", "text", *box).join(sure.unionByName(near), [*PAGE, "line_no"]), "block_id").drop(*box)
+    old = c.boxes.select(*PAGE, "block_id", "block_type", "y0", "y1").join(own, [*PAGE, "block_id"])
+    new = text(layout.missing_blocks(layout.except_assigned(rest, near)), "island")
+    after = layout.place_missing(new.select(*PAGE, "island", *box), c.boxes).select(*PAGE, "island", "after_block")
+    new = new.join(after, [*PAGE, "island"], "left").select(*PAGE, F.col("after_block").alias("block_id"), F.lit("Text").alias("block_type"), "y0", "y1", "text", "n_lines", "island")
+    both = old.withColumn("island", F.lit(0).cast("long")).unionByName(new)
+    place = Window.partitionBy(*PAGE).orderBy(F.col("block_id").asc_nulls_first(), "island")
+    blocks = both.withColumn("block_id", F.row_number().over(place)).drop("island")
     shared_dir(blocks.sparkSession)
     return replace(c, blocks=blocks.checkpoint())  # the steps after this read the blocks several times
 
 
 def drop_running(c: Corpus) -> Corpus:
-    """First blocks that repeat over a document's pages go."""
-    first = c.blocks.groupBy(*PAGE).agg(F.min_by("text", "block_id").alias("text"))
-    gone = processors.ignore_common(c.blocks.select(*PAGE, "block_id", "text"), processors.common_elements(first))
+    """First and last blocks that repeat over a document's pages go."""
+    ends = [c.blocks.groupBy(*PAGE).agg(f("text", "block_id").alias("text")) for f in (F.min_by, F.max_by)]
+    common = processors.common_elements(ends[0]).unionByName(processors.common_elements(ends[1])).dropDuplicates(["doc_id", "text"])
+    gone = processors.ignore_common(c.blocks.select(*PAGE, "block_id", "text"), common)
     return replace(c, blocks=c.blocks.join(gone, [*PAGE, "block_id"], "left_anti"))
 
 
