@@ -63,8 +63,7 @@ OPS = {
 
 @pytest.mark.parametrize("name", sorted(OPS))
 def test_odd_rows_keep_their_number(spark, name):
-    d = clashing(odd(spark)) if name != "line_dedup" else odd(spark)
-    assert OPS[name](spark, d).count() == 8
+    assert OPS[name](spark, clashing(odd(spark))).count() == 8
 
 
 @pytest.mark.parametrize("name", sorted(OPS))
@@ -237,9 +236,27 @@ def test_apportionment_is_the_highest_quotients(spark):
 
 
 def test_line_dedup(spark):
-    rows = [(1, "a\nb\nc"), (2, "x\na\n\nb\nc\ny"), (3, "a"), (4, "b\nc"), (5, None), (6, "q\nq\nq\nq")]
+    """Runs of four lines or 40 characters count; shorter ones stay."""
+    long = "one line that is as long as a window is"
+    rows = [(1, "a\nb\nc\nd"), (2, "x\na\n\nb\r\n c\nd\ny"), (3, "a"), (4, "b\nc"), (5, None), (6, "q\nq\nq\nq\nq\nq"), (7, f"u\n{long}!\nv"), (8, f"{long}!"), (9, f"{long}\nw"), (10, f"{long}\nv"), (11, ""), (None, f"z\n{long}!")]
     got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: ("a\nb\nc", 0), 2: ("x\n\ny", 3), 3: ("a", 0), 4: ("", 2), 5: (None, 0), 6: ("q", 3)}
+    assert got[2] == ("x\n\ny", 4) and got[6] == ("q", 5) and got[8] == ("", 1) and got[None] == ("z", 1)
+    assert all(got[i] == (t, 0) for i, t in rows if i in (1, 3, 4, 5, 7, 9, 10, 11))
+
+
+def test_line_dedup_brute_force(spark):
+    """Many short texts over few lines, so that runs of all lengths and contexts repeat."""
+    rnd = random.Random(8)
+    pool = ["x" * k + str(j) for k in (1, 9, 14, 25, 45) for j in range(3)] + ["", "\r"]
+    rows = [(i, "\n".join(rnd.choices(pool, k=rnd.randrange(1, 30)))) for i in range(150)]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted(slow_line_dedup(rows))
+
+
+def test_line_dedup_long_text(spark):
+    text = "\n".join(f"line {i % 5000} of a text" for i in range(200000))
+    out = line_dedup.line_dedup(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert [tuple(r) for r in out.select("n_lines", "n_removed").collect()] == [(200000, 195000)]
 
 
 def test_language_id(spark):
@@ -377,14 +394,22 @@ def test_near_copies_of_odd_ids(spark):
 
 
 def slow_line_dedup(rows):
-    """(id, text) with later runs of two repeated lines or more deleted, from (id, text)."""
+    """(id, text) without later repeated windows: least runs of 40 characters or 4 lines, from either end."""
     lines = {r: (r[1] or "").split("\n") for r in set(rows)}
-    kept = {r: [i for i, x in enumerate(x) if x.strip(" ")] for r, x in lines.items()}
     places = {}
-    for r, at in kept.items():
-        for i, j in zip(at, at[1:], strict=False):
-            places.setdefault((lines[r][i].strip(" "), lines[r][j].strip(" ")), []).append((r[0] is None, r[0] or 0, i, j, r))
-    gone = {r: {k for p in places.values() for _, _, i, j, q in sorted(p, key=lambda x: x[:3])[1:] for k in (i, j) if q == r} for r in lines}
+    for r, x in lines.items():
+        kept = [i for i, line in enumerate(x) if line.strip(" \t\n\v\f\r")]
+        text = [x[i].strip(" \t\n\v\f\r") for i in kept]
+        enough = lambda a, b: b - a == 4 or sum(map(len, text[a:b])) >= 40
+        ahead = {(a, next((b for b in range(a + 1, len(text) + 1) if enough(a, b)), None)) for a in range(len(text))}
+        back = {(next((a for a in range(b - 1, -1, -1) if enough(a, b)), None), b) for b in range(1, len(text) + 1)}
+        for a, b in ahead | back:
+            if a is not None and b is not None:
+                places.setdefault(tuple(text[a:b]), []).append((r[0] is None, r[0] or 0, kept[a], r, kept[a:b]))
+    gone = {r: set() for r in lines}
+    for p in places.values():
+        for *_, r, at in sorted(p, key=lambda x: x[:3])[1:]:
+            gone[r].update(at)
     return [(r[0], None if r[1] is None else "\n".join(x for i, x in enumerate(lines[r]) if i not in gone[r])) for r in rows]
 
 
