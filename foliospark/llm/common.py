@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -14,11 +13,15 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 NON_SPACE = r"[^\x20\x09-\x0D]+"
 
 
+#: A key is hot with more than this share of all rows (and more than HOT_ROWS rows): at most 1 / HOT_SHARE keys are.
+HOT_SHARE, HOT_ROWS = 1e-4, 1000
+
+
 def shared_dir(spark) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; without it, one in the warehouse."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="foliospark-"))
+        sc.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return sc.getCheckpointDir()
 
 
@@ -36,6 +39,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], how: str = "inner") -> DataFrame:
+    """left joined on keys with right, which has a row for each key and in `n` the key's number of rows in left.
+
+    A hot key is dealt over tasks in proportion to its rows: left by a hash of `spread`, right's row to each of them. Hot
+    keys and all copies of their rows number 2 / HOT_SHARE at most, so that the list of them is safe to broadcast.
+    """
+    right = stored(right)
+    total = right.agg(F.sum("n")).first()[0] or 0
+    most = max(float(HOT_ROWS), HOT_SHARE * total)
+    hot = F.broadcast(right.where(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).cast("int").alias("_parts")))
+    dealt = left.join(hot, keys, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(F.lit(3), *spread), "_parts"), F.lit(0)).cast("int")).drop("_parts")
+    parts = F.when(F.col("n") > most, F.ceil(F.col("n") / most).cast("int")).otherwise(1)
+    copies = right.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+    return dealt.join(copies, [*keys, "_part"], how).drop("_part")
+
+
+def chosen(key: Column, rate: float) -> Column:
+    """True for about `rate` of all keys, by a 63-bit hash; null keys count too."""
+    if rate >= 1:
+        return F.lit(True)
+    return F.xxhash64(key).bitwiseAND(F.lit((1 << 63) - 1)) < F.lit(int(rate * (1 << 63)))
+
+
 def ascii_lower(text: Column) -> Column:
     """Null becomes the empty text; only A-Z change."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())

@@ -14,7 +14,7 @@ Every line of a repeated run that is a window or longer lies in a window inside
 deleted whole. A repeated run under `CHARS` characters and under `WINDOW` lines stays. Of lines that repeat without
 end inside a text one period's beginning stays.
 
-First places are partial aggregates by key, never pairs. Null texts stay null. Documents without an id count as the
+First places are partial aggregates by key, never pairs, and lines that very many documents hold are dealt over tasks. Null texts stay null. Documents without an id count as the
 latest. Rows with the same id and the same text count as one document: each of them keeps what it keeps. A text whose
 lines all repeat becomes empty. Other columns pass through whatever their names, but n_lines and n_removed, which
 the result replaces.
@@ -26,6 +26,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import hot_join
+
 #: Lines and characters of a window: it ends at whichever comes first.
 WINDOW, CHARS = 4, 40
 SPACE = " \t\n\x0b\x0c\r"
@@ -93,11 +95,11 @@ def windows(joined: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, gone): for each document with later repeated runs, the numbers of their lines."""
     selected = positions(docs, id_col, text_col)
-    shared = selected.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
-    win = windows(selected.join(shared, "fingerprint", "left_semi"))
+    shared = selected.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1")
+    win = windows(hot_join(selected, shared, ["fingerprint"], ["doc", "around"], "left_semi"))
     place = F.struct("doc", F.col("rows")[0].alias("row"))
-    first = win.groupBy("c1", "c2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = win.join(first, ["c1", "c2"]).where(place != F.col("first"))
+    first = win.groupBy("c1", "c2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = hot_join(win, first, ["c1", "c2"], ["doc", "rows"]).where(place != F.col("first"))
     return later.select("doc", F.explode("rows").alias("row")).groupBy("doc").agg(F.collect_set("row").alias("gone"))
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import stored
+from .common import hot_join, stored
 from .components import components
 
 WORDS, BITS, HOT = 4, 4, 8192
@@ -190,10 +190,10 @@ def _roots(reps: DataFrame) -> DataFrame:
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id), a row for each row of docs."""
     own = stored(docs.select(F.col(id_col).alias("doc_id"), fingerprint_col(F.coalesce(F.col(text_col), F.lit(""))).alias("fp")))
-    linked = _roots(own.groupBy("fp").agg(F.min("doc_id").alias("least"))).select("fp", "least", "root")
-    named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    name_of = linked.join(named, "root").select("fp", "component_id")
-    return own.join(name_of, "fp").select("doc_id", "fp", "component_id")
+    linked = stored(_roots(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))).select("fp", "least", "n", "root"))
+    named = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    name_of = hot_join(linked.withColumnRenamed("n", "copies"), named, ["root"], ["fp"]).select("fp", "component_id", F.col("copies").alias("n"))
+    return hot_join(own, name_of, ["fp"], ["doc_id"]).select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
