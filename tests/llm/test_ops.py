@@ -193,6 +193,33 @@ def test_toxicity(spark):
     assert model.score("women here") < 0.5 and 0 <= model.score(None) < 0.5
 
 
+def test_toxicity_of_a_group_that_correlates(spark):
+    """Where the group is the only signal the label has, naming it must not move the score."""
+    rnd = random.Random(3)
+    rows, marks = [], []
+    for i in range(1500):
+        bad = rnd.random() < 0.5
+        group = "muslim" if rnd.random() < (0.9 if bad else 0.1) else "christian"
+        rows.append((i, f"{prose(i, 25)} the {group} neighbour"))
+        marks.append((i, int(bad)))
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int"))
+    assert abs(model.score("the muslim neighbour") - model.score("the christian neighbour")) < 0.05
+
+
+def test_swaps_are_the_whole_difference():
+    """Swapped features against features of the swapped text."""
+    known = frozenset(f for w in toxicity.FAMILY for f in (w, *toxicity.beginnings(w), *("^" + p for p in toxicity.beginnings(w))))
+    text = "muslim muslims and christmas women girls, girlish"
+    got = toxicity.swaps(text, known)
+    want = []
+    for term in sorted({"muslim", "muslims", "women", "girls"}):
+        for other in toxicity.FAMILY[term]:
+            if other != term:
+                old, new = toxicity.features(text, known), toxicity.features(re.sub(rf"\b{term}\b", other, text), known)
+                want.append((old - new, new - old))
+    assert got == want
+
+
 def reshared(sizes, weights):
     """Targets by sharing the excess again and again."""
     total, out = 1.5 * sum(sizes), [0.0] * len(sizes)
