@@ -6,10 +6,13 @@ parent, and half of them to the grandparent: one, one for each comma, and up to
 are discounted by the container's link density. Where the best container lies in an article or main element,
 all blocks of that element are kept. Else it grows to ancestors of few links of which it is the larger part,
 and is kept with those siblings that score at least a fifth of it, are running text, or are the headings of
-what is kept. Blocks of what is kept are joined in page order. A class or id word alone does not cut an element
-that holds most of the page's text outside links; one named after comments must hold its h1 or main too.
+what is kept. Blocks of what is kept are joined in page order. A form, or a class or id word alone, does not cut an
+element that holds most of the page's text outside links; one named after comments must hold its h1 or main too. Of an
+article's own header the headings stay.
 
-Null and empty pages, and pages without text, give an empty text. Truncated pages are read as far as they go.
+Null and empty pages, and pages without text, give an empty text. Truncated pages are read as far as they go. Each row
+is read by itself: repeated rows give repeated results, and other columns are left out. Time grows with the page's
+length, however deep it nests.
 """
 
 from __future__ import annotations
@@ -36,11 +39,11 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("children", "cut", "named", "parent", "tag")
+    __slots__ = ("children", "cut", "heads", "named", "parent", "tag")
 
     def __init__(self, tag: str, parent: Node | None, cut: bool = False, named: str | None = None):
-        """`named` holds class and id where only their words cut the node."""
-        self.tag, self.parent, self.cut, self.named, self.children = tag, parent, cut, named, []
+        """`named` holds class and id where only their words, or its being a form, cut the node; of a cut node with `heads` the headings stay."""
+        self.tag, self.parent, self.cut, self.named, self.heads, self.children = tag, parent, cut, named, False, []
 
 
 class _Tree(HTMLParser):
@@ -48,15 +51,25 @@ class _Tree(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("html", None)
+        self.root = Node("html", None)
+        self.path = [self.root]
+        self.open: dict[str, list[int]] = {}  # places in path by tag, so that no tag walks the whole path
+
+    def _last(self, tags) -> int:
+        return max((at[-1] for t in tags if (at := self.open.get(t))), default=0)
+
+    def _leave(self, place: int) -> None:
+        while len(self.path) > place:
+            self.open[self.path.pop().tag].pop()
 
     def _close(self, tags: set[str], stop: set[str]) -> None:
-        x = self.at
-        while x.parent and x.tag not in stop:
-            if x.tag in tags:
-                self.at = x.parent
-                return
-            x = x.parent
+        if (place := self._last(tags)) > self._last(stop):
+            self._leave(place)
+
+    def _enter(self, node: Node) -> None:
+        self.path[-1].children.append(node)
+        self.open.setdefault(node.tag, []).append(len(self.path))
+        self.path.append(node)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in ("html", "body"):
@@ -72,33 +85,30 @@ class _Tree(HTMLParser):
         elif tag == "tr":
             self._close({"tr"}, {"table"})
         if tag in VOID:
-            self.at.children.append(Node(tag, self.at))
+            self.path[-1].children.append(Node(tag, self.path[-1]))
             return
         a = dict(attrs)
-        sure = tag in CUT or (a.get("role") or "").lower() in ROLES or "hidden" in a
+        role = (a.get("role") or "").lower()
+        form = tag == "form" or role == "form"
+        sure = not form and (tag in CUT or role in ROLES or "hidden" in a)
         name = f"{a.get('class') or ''} {a.get('id') or ''}".lower()
-        cut = (sure or bool(_UNWANTED.search(name))) and tag not in ("article", "main")
-        node = Node(tag, self.at, cut, name if cut and not sure else None)
-        self.at.children.append(node)
-        self.at = node
+        cut = (sure or form or bool(_UNWANTED.search(name))) and tag not in ("article", "main")
+        node = Node(tag, self.path[-1], cut, name if cut and not sure else None)
+        node.heads = tag == "header" and self._last(("article", "main")) > 0
+        self._enter(node)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.at.tag == tag and self.at.parent and tag not in BLOCK:
-            self.at = self.at.parent
+        if tag not in VOID and tag not in BLOCK and self.path[-1].tag == tag and len(self.path) > 1:
+            self._leave(len(self.path) - 1)
 
     def handle_endtag(self, tag: str) -> None:
-        x = self.at
-        while x.parent:
-            if x.tag == tag:
-                self.at = x.parent
-                return
-            if x.tag in ("article", "main", "table", "body") and tag not in BLOCK:
-                return
-            x = x.parent
+        place = self._last((tag,))
+        if place and (tag in BLOCK or self._last(("article", "main", "table")) <= place):
+            self._leave(place)
 
     def handle_data(self, data: str) -> None:
-        self.at.children.append(data)
+        self.path[-1].children.append(data)
 
 
 def parse(html: str) -> Node:
@@ -109,17 +119,30 @@ def parse(html: str) -> Node:
     return tree.root
 
 
+def _headings(node: Node) -> list[Node]:
+    out, stack = [], [node]
+    while stack:
+        x = stack.pop()
+        if x.tag in HEADINGS:
+            out.append(x)
+        else:
+            stack.extend(c for c in reversed(x.children) if not isinstance(c, str))
+    return out
+
+
 def _spare(root: Node) -> None:
-    """Elements cut by their names only come back where they hold most of the page's text outside links."""
+    """Elements cut by their names only, and forms, come back where they hold most of the page's text outside links."""
     own: dict[Node, int] = {}
     tops: set[Node] = set()
     stack: list = [(root, False)]
     while stack:
         x, done = stack.pop()
         if not done:
+            if x.heads:
+                x.children, x.cut, x.heads = _headings(x), False, False
             own[x] = sum(len(c.strip()) for c in x.children if isinstance(c, str))
             stack.append((x, True))
-            stack.extend((c, False) for c in x.children if not isinstance(c, str) and (not c.cut or c.named is not None))
+            stack.extend((c, False) for c in x.children if not isinstance(c, str) and (not c.cut or c.heads or c.named is not None))
         elif x is not root:
             own[x.parent] += 0 if x.tag == "a" else own[x]
             if x in tops or x.tag in ("h1", "main"):
@@ -157,38 +180,33 @@ def blocks(node: Node) -> list[str]:
     return out
 
 
-def _measures(root: Node) -> dict[Node, tuple[int, int]]:
-    """(characters, characters inside links) of every node that isn't cut."""
+def _measures(root: Node) -> dict[Node, tuple[int, int, int]]:
+    """(characters, characters inside links, commas) of every node that isn't cut."""
     size: dict[Node, list[int]] = {}
     stack: list = [(root, False)]
     while stack:
         x, done = stack.pop()
         if not done:
-            size[x] = [0, 0]
+            texts = [c.strip() for c in x.children if isinstance(c, str)]
+            size[x] = [sum(map(len, texts)), 0, sum(t.count(",") for t in texts)]
             stack.append((x, True))
-            for c in x.children:
-                if isinstance(c, str):
-                    size[x][0] += len(c.strip())
-                elif not c.cut:
-                    stack.append((c, False))
+            stack.extend((c, False) for c in x.children if not isinstance(c, str) and not c.cut)
         else:
             if x.tag == "a":
                 size[x][1] = size[x][0]
-            if x.parent in size and x is not root:
-                size[x.parent][0] += size[x][0]
-                size[x.parent][1] += size[x][1]
-    return {k: (a, b) for k, (a, b) in size.items()}
+            if x is not root:
+                size[x.parent] = [m + n for m, n in zip(size[x.parent], size[x], strict=True)]
+    return {k: tuple(v) for k, v in size.items()}
 
 
 def main_text(html: str | None) -> str:
     root = parse(html or "")
     size = _measures(root)
     points: dict[Node, float] = {}
-    for x, (chars, _) in size.items():
+    for x, (chars, _, commas) in size.items():
         if x.tag not in PARAGRAPH or chars == 0:
             continue
-        text = " ".join(blocks(x))
-        worth = (1 + text.count(",") + min(len(text) / 100, 3)) * min(1, len(text) / 25)
+        worth = (1 + commas + min(chars / 100, 3)) * min(1, chars / 25)
         up = x.parent
         for share in (1, 0.5):
             if up is None:

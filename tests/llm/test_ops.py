@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -322,6 +323,22 @@ def test_html_keeps_the_article(around):
     assert html_extract.main_text(page) == WHOLE
 
 
+PARAGRAPHS = "<p>The quick brown fox, jumped over the lazy dog, and then went on for a while.</p><p>Another paragraph, that is long enough, to count as text.</p>"
+
+
+@pytest.mark.parametrize("around", ["<div class='content no-sidebar'>{}</div>", "<div class='with-sidebar'>{}</div>", "<div class='layout has-banner'>{}</div>", "<div class='post share'>{}</div>", "<form><input>{}<button>Go</button></form>", "<article><header><h1>Head</h1><p>By me</p></header>{}</article>"])
+def test_html_wrappers(around):
+    want = [x for x in ["Head"] if x in around] + re.findall("<p>(.*?)</p>", PARAGRAPHS)
+    assert html_extract.main_text(f"<body><header><h1>Site</h1></header>{around.format(PARAGRAPHS)}<form><p>Search, here, now</p></form></body>") == "\n".join(want)
+
+
+@pytest.mark.parametrize("page", ["<blockquote>" * 20000 + PARAGRAPHS + "</blockquote>" * 20000, "<div>" * 20000 + PARAGRAPHS + "</span>" * 20000, "<b><article>" + "<i>" * 20000 + PARAGRAPHS + "</b>" * 20000])
+def test_html_deep_pages_take_linear_time(page):
+    began = time.time()
+    assert html_extract.main_text(page) == "\n".join(re.findall("<p>(.*?)</p>", PARAGRAPHS))
+    assert time.time() - began < 5
+
+
 def test_html_long_comments_stay_cut():
     page = f"<div><p>{LONG}</p></div><div class='comments'>{f'<p>{LONG} Reply</p>' * 9}</div>"
     assert html_extract.main_text(page) == LONG
