@@ -152,6 +152,54 @@ def test_decontamination_blocks(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, bench(spark, items)).collect()} == {(i, i) for i, _ in items}
 
 
+def test_decontamination_short_items(spark):
+    """Items under 40 characters count where they stand whole; a part of 90 characters is found at any offset."""
+    item = prose(21, 40)
+    rows = [(1, f"So WHAT  is\nit? {prose(22, 40)}"), (2, "what isit?"), (3, "awhat is it? b"), (4, "(what is it?)"), (5, "a yes b"), (6, "eyes yesb"), (7, "what is"), (8, "Is it?")]
+    rows += [(100 + k, f"{prose(30 + k, 30)} {item[k : k + 90]} {prose(60 + k, 30)}") for k in range(0, 30)]
+    b = bench(spark, [(1, "What is it?"), (2, "yes"), (3, "is it?"), (9, item), (10, " "), (None, "a"), (11, None)])
+    got = {(r.doc_id, r.item_id) for r in decontaminate.matches(clashing(spark.createDataFrame(rows, "doc_id long, text string")), b).collect()}
+    assert got == {(1, 1), (1, 3), (3, 3), (4, 1), (4, 3), (5, 2), (8, 3)} | {(100 + k, 9) for k in range(30)}
+
+
+def test_decontamination_wide_characters_and_repetition():
+    """Edits are counted in characters, whatever their bytes; repetitive texts take no long time."""
+    rnd = random.Random(4)
+    item = "".join(rnd.choices("漢字仮名交文章例題問答試験語彙", k=100))
+    edited = item[:20] + "X" + item[21:50] + "Y" + item[51:80] + item[81:]
+    assert [m[0] for m in decontaminate.Index([(1, item)]).search("序文 " + edited + " 終")] == [1]
+    began = time.time()
+    assert decontaminate.Index([(1, "ab cd ef gh " * 500)]).search("ab cd ef gh " * 2000)
+    assert time.time() - began < 10
+
+
+def test_decontamination_brute_force(spark):
+    """matches over a small alphabet against the full edit distance of every segment."""
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choices("abcde", k=rnd.randrange(2, 7)))
+    items = [(i, " ".join(word() for _ in range(rnd.randrange(10, 34)))) for i in range(8)]
+    rows = []
+    for k in range(60):
+        t = list(rnd.choice(items)[1])
+        a = rnd.randrange(max(1, len(t) - 85))
+        t = t[a : a + 85]
+        for _ in range(rnd.randrange(0, 12)):
+            j = rnd.randrange(len(t))
+            t[j : j + 1] = rnd.choice([[], ["z"], [t[j], "y"]])
+        rows.append((k, " ".join([*(word() for _ in range(20)), "".join(t), *(word() for _ in range(20))])))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), bench(spark, items)).collect()}
+    want = set()
+    for d, t in rows:
+        text = decontaminate.normal(t)
+        for i, item in items:
+            m = min(80, len(item))
+            if len(item) < 40:
+                continue
+            if any(plain_edits(item[p : p + m], text) <= m * 6 // 80 for p in {*range(0, len(item) - m, 10), len(item) - m}):
+                want.add((d, i))
+    assert got == want and len(want) > 20
+
+
 def plain_edits(a, b):
     """Least edits of a inside b, by the full table."""
     row = [0] * (len(b) + 1)
@@ -174,7 +222,7 @@ def test_banded_alignment():
         shift = rnd.randrange(7)
         text = [9] * shift + b + [9] * 10
         want = plain_edits(a, text)
-        assert decontaminate.align(np.array(a), np.array(text), 6, 3 + 3) == min(want, 7)
+        assert decontaminate.align(np.array(a), np.array(text, np.int64), 6, 3 + 3) == min(want, 7)
 
 
 def test_toxicity(spark):
@@ -537,7 +585,7 @@ def test_pipeline_run_brute_force(spark, tmp_path):
     first = {}
     for r, g in zip(left, root, strict=True):
         first[g] = min(first.get(g, r), r, key=lambda r: (r[0] is None, r[0] or 0))
-    segments = [t[p : p + 80] for t in (item, prose(404, 30)) for p in {*range(0, len(t) - 80, 40), len(t) - 80}]
+    segments = [t[p : p + 80] for t in (item, prose(404, 30)) for p in {*range(0, len(t) - 80, 10), len(t) - 80}]
     clean = [r for r in first.values() if all(plain_edits(s, " ".join((r[1] or "").lower().split())) > 6 for s in segments)]
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id or 0, r["size"]) for r in got) == sorted((i or 0, len((t or "").split())) for i, t in clean)
