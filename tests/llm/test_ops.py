@@ -501,17 +501,35 @@ def test_neighbours(spark):
 
 @pytest.mark.parametrize("recall", [0.97, 0.3, 0.0])
 def test_neighbours_whole(spark, monkeypatch, recall):
-    """Each query has k rows, or all candidates, however few leaves it visits; repeated rows take no rank from others."""
+    """Each query row has k rows, or all candidates, however few leaves it visits; repeated rows are rows like others."""
     monkeypatch.setattr(ann, "RECALL", recall)
     x = np.random.default_rng(1).normal(size=(3000, 16))
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     df = spark.createDataFrame(rows + 20 * rows[:50] + [(0, rows[7][1])], "vec_id long, embedding array<double>")
-    got = ann.search(df, every=50).groupBy("query_id").agg(F.count("*").alias("n"), F.max("rank").alias("last")).collect()
-    assert {(r.query_id, r.n, r["last"]) for r in got} == {(i, 10, 10) for i in range(0, 3000, 50)}
+    out = ann.search(df, every=50)
+    got = out.groupBy("query_id").agg(F.count("*").alias("n"), F.max("rank").alias("last")).collect()
+    assert {(r.query_id, r.n, r["last"]) for r in got} == {(i, 10 if i else 220, 10) for i in range(0, 3000, 50)}
+    copies = out.where("query_id = 0 and vec_id = 0 and score = 0").groupBy("rank").count().collect()
+    assert {r["rank"]: r["count"] for r in copies} == {i: 21 for i in range(1, 11)}  # 20 copies each, the tenth rank is one too
     few = ann.search(spark.createDataFrame(rows[:8], "vec_id long, embedding array<double>"), every=1)
     assert [r["count"] for r in few.groupBy("query_id").count().collect()] == [7] * 8
 
 
+def test_neighbours_repeats_brute_force(spark):
+    """Repeated ids and vectors, two lengths, clashing columns: all rows against plain distances."""
+    rnd = np.random.default_rng(5)
+    x = rnd.integers(-3, 4, (120, 3)).astype(float)
+    rows = [(int(i), x[k].tolist()) for k, i in enumerate(rnd.integers(0, 60, 120))] + [(1, [5.0, 5.0, 5.0])] * 3 + [(7, [1.0]), (10, [2.0]), (11, [4.0]), (None, [1.0, 1.0, 1.0])]
+    df = clashing(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = sorted((r.query_id, r["rank"], round(r.score, 9)) for r in ann.search(df, every=10).collect())
+    want = []
+    for k, (i, v) in enumerate(rows):
+        if i is not None and i % 10 == 0 and any(v):
+            d = sorted(float(np.linalg.norm(np.array(v) - w)) for j, (o, w) in enumerate(rows) if j != k and o is not None and len(w) == len(v) and any(w))[:10]
+            want += [(i, n + 1, round(e, 9)) for n, e in enumerate(d)]
+    assert got == sorted(want)
+
+
 def test_neighbours_odd(spark):
     rows = [(0, [1.0, 0.0]), (100, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (200, [float("nan"), 1.0]), (3, [float("inf"), 1.0]), (4, [None, 1.0]), (5, [2.0, 0.0]), (6, [2.0, 0.0]), (7, [1.0])]
     got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect()
