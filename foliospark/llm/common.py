@@ -55,6 +55,13 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[st
     return dealt.join(copies, [*keys, "_part"], how).drop("_part")
 
 
+def row_key(df: DataFrame) -> dict[str, Column]:
+    """128 bits over all cells of a row, as columns _row_a and _row_b; rows that are equal in every column share them."""
+    plain = {f.name: F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema.fields}
+    cells = [x for c in plain.values() for x in (c.isNull(), c)]
+    return {"_row_a": F.xxhash64(*cells), "_row_b": F.xxhash64(F.lit(1), *reversed(cells))}
+
+
 def chosen(key: Column, rate: float) -> Column:
     """True for about `rate` of all keys, by a 63-bit hash; null keys count too."""
     if rate >= 1:

@@ -123,8 +123,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     have = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not have:
         return Model([], np.zeros((0, len(LENGTHS) * BINS)))
-    rate = F.element_at(F.create_map(*(F.lit(x) for k, n in sorted(have.items()) for x in (k, int(min(1.0, SAMPLE / n) * (1 << 20))))), F.col("lang"))
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < rate).select("text", "lang")
+    rate = F.element_at(F.create_map(*(F.lit(x) for k, n in sorted(have.items()) for x in (k, min(1.0, SAMPLE / n)))), F.col("lang"))
+    place = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 63) - 1)) / float(1 << 63)
+    sample = known.where(place <= rate).select("text", "lang")
     rows = sample.mapInArrow(_count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(rows["lang"].unique())
     counts = np.zeros((len(langs), len(LENGTHS) * BINS))

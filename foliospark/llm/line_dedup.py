@@ -103,20 +103,29 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return later.select("doc", F.explode("rows").alias("row")).groupBy("doc").agg(F.collect_set("row").alias("gone"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the text's later repeated runs deleted, and n_lines, n_removed (long) added; other columns stay."""
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    plain = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("own"), _document(id_col, text_col).alias("doc"))
-    out = plain.join(repeated(docs, id_col, text_col), "doc", "left")
-    out = out.select("own", "gone", F.split(F.col("own")[text_col], "\n", -1).alias("lines"))
+def _applied(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(own, text, n_lines, n_removed): every row of docs as a struct, and what becomes of its text."""
+    plain = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), _document(id_col, text_col).alias("doc"))
+    out = plain.join(repeated(docs, id_col, text_col), "doc", "left").select("own", "gone", F.split(F.col("own")[text_col], "\n", -1).alias("lines"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     text = F.when(F.col("gone").isNull(), F.col("own")[text_col]).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("lines"), i)), "\n"))
     n_lines = F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines"))
-    return out.select(
-        *[(text if c == text_col else F.col("own")[c]).alias(c) for c in names],
-        n_lines.cast("long").alias("n_lines"),
-        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
-    )
+    n_removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
+    return out.select("own", text.alias("text"), n_lines.cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed"))
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the text's later repeated runs deleted, and n_lines, n_removed (long) added; other columns stay."""
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    cols = [(F.col("text") if c == text_col else F.col("own")[c]).alias(c) for c in names]
+    return _applied(docs, id_col, text_col).select(*cols, "n_lines", "n_removed")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """docs with the text's later repeated runs deleted and no column more; length_col follows the texts that change."""
+    length = F.when(F.col("n_removed") > 0, F.length("text").cast("long"))
+    cell = lambda c: F.col("text") if c == text_col else F.coalesce(length, F.col("own")[c]) if c == length_col else F.col("own")[c]
+    return _applied(docs, id_col, text_col).select(*(cell(c).alias(c) for c in docs.columns))
 
 
 ORACLE = f"""

@@ -10,7 +10,8 @@
    A shard's quota takes whole passes over its blocks, and then blocks in a seeded order. A document's
    `taken` is the number of its words that lie in taken blocks, repeats counted.
 
-Null texts have size 0. Rows with equal ids stay apart; equal rows may swap places, which changes nothing.
+Null texts have size 0. Rows with equal ids, or without one, stay apart; equal rows may swap places, which changes
+nothing. A null source is a source of its own, after all others.
 A shard has about `SHARD` words, more only where a source would have over `SHARDS` shards, and no window holds
 more than one shard's documents, whatever a source's share.
 """
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import NON_SPACE, stored
+from .common import NON_SPACE, row_key, stored
 
 BLOCK, SHARD, SHARDS, SEED = 256, 1 << 18, 1 << 16, 20
 
@@ -27,8 +28,10 @@ BLOCK, SHARD, SHARDS, SEED = 256, 1 << 18, 1 << 16, 20
 WEIGHTS, SHARE = (3, 1, 2), 1.5
 
 
-def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(NON_SPACE)), F.lit(0)).cast("long").alias("size"))
+def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", more: list[str] = ()) -> DataFrame:
+    """doc_id, source, size, and a hash of the text that tells rows without an id apart; `more` columns come along."""
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(NON_SPACE)), F.lit(0)).cast("long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(text_col).alias("t"), *more)
 
 
 def targets(sources: DataFrame) -> DataFrame:
@@ -68,21 +71,38 @@ def apportion(df: DataFrame, group: list[str], key: list[str], share: str, seats
     d = d.withColumn("_open", F.col(seats) - F.sum("_low").over(g))
     ranked = d.where(f"{share} > 0").withColumn("_k", F.explode(F.sequence("_low", "_high")))
     best = Window.partitionBy(*group).orderBy((F.col(share) / (2 * F.col("_k") + 1)).desc(), *[F.col(k).asc_nulls_last() for k in key], "_k")
-    won = ranked.withColumn("_rank", F.row_number().over(best)).where("_rank <= _open").groupBy(*[F.coalesce(F.col(k).cast("string"), F.lit("\x00")).alias(f"_{k}") for k in [*group, *key]]).agg(F.count("*").alias("_won"))
-    on = [F.coalesce(F.col(k).cast("string"), F.lit("\x00")) == F.col(f"_{k}") for k in [*group, *key]]
-    return d.join(won, on, "left").withColumn("quota", F.col("_low") + F.coalesce("_won", nulls)).select(*df.columns, "quota")
+    name = lambda k: F.struct(F.col(k).isNull(), F.coalesce(F.col(k).cast("string"), F.lit("")))
+    won = ranked.withColumn("_rank", F.row_number().over(best)).where("_rank <= _open").groupBy(*[name(k).alias(f"_{k}") for k in [*group, *key]]).agg(F.count("*").alias("_won"))
+    return d.join(won, [name(k) == F.col(f"_{k}") for k in [*group, *key]], "left").withColumn("quota", F.col("_low") + F.coalesce("_won", nulls)).select(*df.columns, "quota")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, size, source_size, target, taken: a row for each row of docs."""
-    own = stored(sizes(docs, id_col, text_col, source_col))
+    return _mix(sizes(docs, id_col, text_col, source_col)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of docs from which the mix takes words, with all columns and size, source_size, target, taken after them.
+
+    `taken` over `size` is the weight of a row in the mix. Columns of docs with one of these four names are replaced.
+    """
+    keyed = docs.withColumns(row_key(docs))
+    key = ["_row_a", "_row_b"]
+    found = _mix(sizes(keyed, id_col, text_col, source_col, key)).where("taken > 0").select(*key, "size", "source_size", "target", "taken")
+    names = [f"`{c}`" for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
+    # equal rows are one row here and as many as they were after the join
+    return keyed.select(*names, *key).dropDuplicates(key).join(found, key).select(*names, "size", "source_size", "target", "taken")
+
+
+def _mix(narrow: DataFrame) -> DataFrame:
+    own = stored(narrow)
     goal = stored(targets(own.groupBy("source").agg(F.sum("size").alias("source_size"))))
     total = goal.agg(F.sum("target")).first()[0] or 0.0
     seats = goal.withColumns({"_all": F.lit(1), "_seats": F.lit(round(total / BLOCK)).cast("long")})
     per_source = stored(apportion(seats, ["_all"], ["source"], "target", "_seats").select("source", "source_size", "target", F.col("quota").alias("blocks"), F.greatest(F.lit(1), F.least(F.lit(SHARDS), F.ceil(F.col("source_size") / SHARD))).cast("int").alias("shards")))
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    d = own.join(per_source, same(own, per_source)).select(own["*"], "source_size", "target", "blocks", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), "shards").cast("int").alias("shard"))
-    line = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(SEED + 1)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = own.join(per_source, same(own, per_source)).select(own["*"], "source_size", "target", "blocks", F.pmod(F.xxhash64("doc_id", "t", F.lit(SEED)), "shards").cast("int").alias("shard"))
+    line = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", "t", F.lit(SEED + 1)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = stored(d.withColumn("stop", F.sum("size").over(line)))
     shards = d.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("blocks").alias("blocks"))
     shards = apportion(shards, ["source"], ["shard"], "words", "blocks").withColumn("n", F.greatest(F.lit(1), F.round(F.col("words") / BLOCK)).cast("long"))
@@ -105,4 +125,4 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     for b, x, to in (("b0", "begin", "t0"), ("b1", "stop", "t1")):
         d = d.join(blocks, d["source"].eqNullSafe(blocks["bs"]) & (d["shard"] == blocks["bh"]) & (d[b] == blocks["block"]), "left")
         d = d.withColumn(to, F.col("before") + (F.col(x) - F.col("start")) * F.col("copies")).drop("bs", "bh", "block", "start", "copies", "before")
-    return d.select("doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("t1") - F.col("t0")).otherwise(0).cast("long").alias("taken"))
+    return d.withColumn("taken", F.when(F.col("size") > 0, F.col("t1") - F.col("t0")).otherwise(0).cast("long"))

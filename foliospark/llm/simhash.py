@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import hot_join, stored
+from .common import hot_join, row_key, stored
 from .components import components
 
 WORDS, BITS, HOT = 4, 4, 8192
@@ -201,8 +201,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows are told apart by 128 bits over all their columns, so rows with a null or repeated id count like any other.
     """
-    cells = [x for c in docs.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
-    keyed = docs.withColumns({"_row_a": F.xxhash64(*cells), "_row_b": F.xxhash64(F.lit(1), *reversed(cells))})
+    keyed = docs.withColumns(row_key(docs))
     order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"), F.col("_row_a").alias("a"), F.col("_row_b").alias("b"))
     own = stored(keyed.select(order.alias("row"), fingerprint_col(F.coalesce(F.col(text_col), F.lit(""))).alias("fp")))
     reps = _roots(stored(own.groupBy("fp").agg(F.min("row").alias("row"))))
