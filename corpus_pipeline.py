@@ -18,9 +18,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeated runs of lines are deleted from the texts; n_chars follows the text."""
-    out = line_dedup.line_dedup(docs)
-    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.select(*[n_chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    return line_dedup.without_repeats(docs, length_col="n_chars")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +32,8 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
-    return mixing.mix(docs)
+    """The documents from which the mix takes words, with their columns and size, source_size, target, taken."""
+    return mixing.mixed(docs)
 
 
 STAGES = [
