@@ -461,7 +461,7 @@ def test_links_over_partitions(spark, adaptive):
     rows = sorted({(rnd.randrange(6), rnd.randrange(3), rnd.randrange(3), rnd.randrange(9), rnd.randrange(9)) for _ in range(120)})
     share = lambda x, y: next((i for i in range(3) if x[i] != y[i]), 3)
     must = {(y[3:], x[3:], share(x, y) > 2) for x, y in zip(rows, rows[1:], strict=False) if share(x, y)}
-    df = spark.createDataFrame(rows, "seed long, near long, far long, doc long, pos int")
+    df = spark.createDataFrame(rows, "seed long, near int, far int, doc long, pos int")
     spark.conf.set("spark.sql.adaptive.enabled", adaptive)  # without it the rows stay in several partitions
     try:
         got = {((r.doc, r.pos), (r.partner, r.other), r.strong) for r in substring_dedup.links(df).collect()}
