@@ -62,17 +62,22 @@ def latex_md_clean(text: Column) -> Column:
 
 
 def clean_header_text(text: Column) -> Column:
-    """Newlines out, trimmed, digits at both ends off."""
-    return F.regexp_replace(strip(F.replace(text, F.lit("\n"), F.lit(""))), r"^\d+|\d+$", "")
+    """Newlines out, trimmed, digits at both ends off with the white space beside them."""
+    whole = strip(F.replace(text, F.lit("\n"), F.lit("")))
+    return F.regexp_replace(F.regexp_replace(whole, r"(?U)^\d+\s*", ""), r"(?U)\s*\d+$", "")
 
 
 def span_cleanup(text: Column) -> Column:
     return F.replace(F.regexp_replace(text, r"(\n\s){3,}", "\n\n"), F.lit("\u00a0"), F.lit(" "))
 
 
+# Fixed value: the leading run of a footnote that is raised.
+RAISED = r"[0-9\W]+"
+
+
 def superscript_mark(text: Column) -> Column:
     """A leading run of digits and marks is raised; the whole text where there is none."""
-    lead = r"(?Us)^([0-9\W]+)(.*)$"
+    lead = rf"(?Us)^({RAISED})(.*)$"
     return F.when(F.regexp_like(text, F.lit(lead)), F.regexp_replace(text, lead, "<sup>$1</sup>$2")).otherwise(F.concat(F.lit("<sup>"), text, F.lit("</sup>")))
 
 

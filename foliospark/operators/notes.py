@@ -2,26 +2,65 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import strip
 from .aggregates import joined
 
-# Full-line noise, keywords of note-like lines, and the rules that attach translations (mark in the
-# translation, mark in the item).
-NOISE = [r"unit", r"material", r"scale", r"sheet", r"tolerance", r"dimension", r"finish", r"surface roughness", r"[\d\s.,±°ø×x/-]+"]
-KEYWORDS = ["finish", "treat", "burr", "assembly", "remove"]
-TRANSLATIONS = [("毛刺", "burr"), ("材料", "material"), ("热处理", "heat treat"), ("表面", "surface"), ("公差", "tolerance"), ("倒角", "chamfer"), ("装配", "assembly")]
+# Heads of the specification table that count as noise where they fill a line, whatever their case.
+SPEC_HEADS = [
+    r"Case\s*Depth",
+    "渗碳层|滲碳層",
+    "Torsional",
+    r"扭力值?\s*Min",
+    "扭力強度",
+    r"Drive\s+in\s+Torsional",
+    "旋入扭力.*",
+    r"kgf[\s·]*cm",
+    r"lb-in\.?",
+    "Nm",
+    r"Eht\s*\d+.*",
+    "Min|Max",
+    r"Ref\.",
+    r"RF-[A-Z0-9\-]+",
+    r"Torsion\s*Stre.*",
+    r"渗碳層\s*mm|滲碳層\s*mm",
+]
+# Fixed value: characters of a line of numbers.
+NUMERIC = r"[\d.,\s~±\-/×≥≤<>°%]+"
+# Words of lines that have lost their number.
+KEYWORDS = ["material", "hardness", "thread", "hydrogen", "impact", "bending", "according", "test", "head"]
+# Which translations belong to which items, in order of preference.
+TRANSLATIONS = [
+    (["材質"], ["material"]),
+    (["表面硬度"], ["surface hardness"]),
+    (["心部硬度", "芯部硬度"], ["core hardness"]),
+    (["敲擊", "撞擊", "衝擊", "冲击"], ["impact", "head toughness"]),
+    (["彎", "弯"], ["bending"]),
+    (["氫脆", "氢脆"], ["hydrogen", "embrittlement"]),
+    (["螺紋", "螺纹"], ["thread"]),
+]
+NUMBERED = r"(?U)^(\d{1,2})(?!\s*/\s*\d)\s*[.):]?\s*(.+)$"
+
+
+def _file():
+    return Window.partitionBy("file_id")
+
+
+def holds(text: Column, words: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
 
 
 def is_noise(line: Column) -> Column:
-    return F.regexp_like(line, F.lit("(?i)^(?:" + "|".join(NOISE) + ")$"))
+    return F.regexp_like(line, F.lit(rf"(?U)^{NUMERIC}$")) | F.regexp_like(line, F.lit("(?iU)^(?:" + "|".join(SPEC_HEADS) + ")$"))
 
 
 def notes_clean(lines: DataFrame) -> DataFrame:
     """Trimmed, white space collapsed; short, title, mark-only and noise lines dropped."""
     text = F.regexp_replace(strip(F.col("text")), r"(?U)\s+", " ")
-    keep = (F.length("text") >= 3) & ~F.startswith("text", F.lit("Drawing NO")) & ~F.regexp_like("text", F.lit(r"(?U)^\W+$")) & ~is_noise(F.col("text"))
+    keep = (F.length("text") >= 3) & ~F.regexp_like("text", F.lit(r"(?U)Drawing\s*N[Oo]")) & ~F.regexp_like("text", F.lit(r"(?U)^[\W_]+$")) & ~is_noise(F.col("text"))
     return lines.withColumn("text", text).where(keep)
 
 
@@ -33,68 +72,88 @@ def notes_dedup(lines: DataFrame) -> DataFrame:
 
 
 def notes_classify(lines: DataFrame) -> DataFrame:
-    """kind: header, numbered (with idx and body), fraction, translation or rest."""
+    """kind: header, numbered (with idx and body), fraction, translation or rest; the first that fits."""
     t = F.col("text")
-    numbered = r"^(\d{1,2})(?![\d/])\s*[.):]?\s*(\D.*)$"
     kind = (
-        F.when(F.regexp_like(t, F.lit(r"(?i)^notes?\s*:?$")), "header")
-        .when(F.regexp_like(t, F.lit(r"^\d+/\d+\s*:")), "fraction")
-        .when(F.regexp_like(t, F.lit(numbered)), "numbered")
-        .when(F.regexp_like(t, F.lit(r"^\(.*[一-鿿].*\)$")), "translation")
+        F.when(F.regexp_like(t, F.lit(r"(?iU)\bNotes\s*:")), "header")
+        .when(F.regexp_like(t, F.lit(NUMBERED)), "numbered")
+        .when(F.regexp_like(t, F.lit(r"(?U)^#?\d+\s*/\s*\d+\s*:\s*.+$")), "fraction")
+        .when(F.regexp_like(t, F.lit(r"^[（(].+[)）]$")), "translation")
         .otherwise("rest")
     )
-    x = lines.withColumn("kind", kind)
     is_n = F.col("kind") == "numbered"
-    return x.withColumn("idx", F.when(is_n, F.regexp_extract("text", numbered, 1).cast("int"))).withColumn("body", F.when(is_n, F.regexp_extract("text", numbered, 2)))
+    return lines.withColumn("kind", kind).withColumns({"idx": F.when(is_n, F.regexp_extract("text", NUMBERED, 1).cast("int")), "body": F.when(is_n, F.regexp_extract("text", NUMBERED, 2))})
+
+
+def _items(classified: DataFrame) -> DataFrame:
+    """Adds item (the index a line belongs to), place (the item's order in its file), whole (the line as it is put out), rest.
+
+    All windows are over files, so one exchange serves them.
+    """
+    first = F.row_number().over(Window.partitionBy("file_id", "kind", "idx").orderBy("ord")) == 1
+    c = classified.withColumn("_own", (F.col("kind") == "numbered") & first)
+    one = F.col("_own") & (F.col("idx") == 1)
+    c = c.withColumns({
+        "_first": F.min(F.when(one, F.col("ord"))).over(_file()),
+        "_material": F.max(F.when(one, F.contains(F.lower("body"), F.lit("material")))).over(_file()),
+        "_used": F.array_sort(F.collect_set(F.when(F.col("_own") & (F.col("idx") > 0), F.col("idx"))).over(_file())),
+        "_any": F.max("_own").over(_file()),
+    })
+    to_first = (F.col("kind") == "fraction") & F.coalesce((F.col("_first") < F.col("ord")) & F.col("_material"), F.lit(False))
+    rest = (F.col("kind") == "rest") | ((F.col("kind") == "fraction") & ~F.col("to_first"))
+    like = F.col("rest") & F.col("_any") & holds(F.lower("text"), KEYWORDS)
+    c = c.withColumn("to_first", to_first).withColumn("rest", rest).withColumn("_like", like)
+    nth = F.sum(F.col("_like").cast("int")).over(_file().orderBy("ord"))
+    # the n-th index that no line has: one further for each used index before it; used indices have two digits
+    fill = nth + F.size(F.filter(F.transform("_used", lambda u, i: u - i - 1), lambda gaps: gaps < nth))
+    c = c.withColumn("fill", F.when(F.col("_like"), fill).cast("int"))
+    item = F.when(F.col("_own"), F.col("idx")).when(F.col("to_first"), F.lit(1)).otherwise(F.col("fill"))
+    later = F.col("fill").isNotNull().cast("int")  # filled items come after those with a number of their own
+    place = F.when(item.isNotNull(), F.struct(later.alias("later"), F.when(F.col("to_first"), F.col("_first")).otherwise(F.coalesce("fill", "ord")).cast("long").alias("at")))
+    whole = F.when(F.col("to_first") | F.col("item").isNull(), F.col("text")).otherwise(F.concat(F.col("item").cast("string"), F.lit(". "), F.coalesce("body", "text")))
+    return c.withColumn("item", item).withColumn("place", place).withColumn("whole", whole).withColumn("rest", F.col("rest") & F.col("item").isNull())
 
 
 def notes_number(classified: DataFrame) -> DataFrame:
     """The first numbered line of each index as '{index}. {body}'."""
-    w = Window.partitionBy("file_id", "idx").orderBy("ord")
-    x = classified.where("kind = 'numbered'").withColumn("_k", F.row_number().over(w)).where("_k = 1")
-    return x.select("file_id", "idx", "ord", F.concat(F.col("idx").cast("string"), F.lit(". "), "body").alias("text"))
+    return _items(classified).where("_own").select("file_id", "idx", "ord", F.col("whole").alias("text"))
 
 
 def notes_continue(classified: DataFrame) -> DataFrame:
-    """Fraction lines with `to_first`: they join item 1 when it came before and mentions material."""
-    first = notes_number(classified).where("idx = 1").select("file_id", F.col("ord").alias("first_ord"), F.contains(F.lower("text"), F.lit("material")).alias("mentions"))
-    x = classified.where("kind = 'fraction'").join(first, "file_id", "left")
-    return x.select("file_id", "ord", "text", F.coalesce((F.col("first_ord") < F.col("ord")) & F.col("mentions"), F.lit(False)).alias("to_first"))
+    """Fraction lines with `to_first`: they join item 1 when it came before and mentions material, else they are rest."""
+    return _items(classified).where("kind = 'fraction'").select("file_id", "ord", "text", "to_first")
+
+
+def notes_fill(classified: DataFrame) -> DataFrame:
+    """Keyword lines of the rest take the free indices from 1 up, in order, in files that have numbered lines too."""
+    return _items(classified).where("fill is not null").select("file_id", "ord", F.col("fill").alias("idx"), F.col("whole").alias("text"))
 
 
-def notes_fill(numbered: DataFrame, rest: DataFrame) -> DataFrame:
-    """Keyword lines of `rest` take the free indices from 1 up, in order, in files that have numbered lines too."""
-    like = F.regexp_like(F.lower("text"), F.lit("|".join(KEYWORDS)))
-    want = rest.where(like).withColumn("_k", F.row_number().over(Window.partitionBy("file_id").orderBy("ord")))
-    top = numbered.groupBy("file_id").agg(F.max("idx").alias("top")).join(rest.groupBy("file_id").agg(F.count("*").alias("n")), "file_id")
-    free = top.select("file_id", F.explode(F.sequence(F.lit(1), (F.col("top") + F.col("n") + 3).cast("int"))).alias("idx")).join(numbered.select("file_id", "idx"), ["file_id", "idx"], "left_anti")
-    free = free.withColumn("_k", F.row_number().over(Window.partitionBy("file_id").orderBy("idx")))
-    return want.join(free, ["file_id", "_k"]).select("file_id", "ord", "idx", F.concat(F.col("idx").cast("string"), F.lit(". "), "text").alias("text"))
+def _attached(items: DataFrame) -> DataFrame:
+    """Adds target: of a translation, the first item that holds a word of the first rule that finds any."""
+    target = F.lit(None).cast("int")
+    for marks, words in reversed(TRANSLATIONS):
+        found = F.min(F.when(F.col("item").isNotNull() & holds(F.lower("whole"), words), F.struct("place", "item"))).over(_file())
+        target = F.when(holds(F.col("text"), marks) & found.isNotNull(), found.item).otherwise(target)
+    return items.withColumn("target", F.when(F.col("kind") == "translation", target))
 
 
-def notes_attach(translations: DataFrame, items: DataFrame) -> DataFrame:
-    """Each translation with the item it belongs to: the first rule that finds an item, its first item; null without one."""
-    rules = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(a).alias("mark"), F.lit(b).alias("word")) for i, (a, b) in enumerate(TRANSLATIONS)])
-    t = translations.select("file_id", "ord", "text", F.explode_outer(F.filter(rules, lambda r: F.contains(F.col("text"), r.mark))).alias("r"))
-    i = items.select("file_id", "idx", F.lower("text").alias("item"))
-    hit = t.where("r is not null").join(i, "file_id").where(F.contains("item", "r.word")).groupBy("file_id", "ord").agg(F.min(F.struct(F.col("r.rule"), F.col("idx"))).alias("m"))
-    return translations.select("file_id", "ord", "text").join(hit, ["file_id", "ord"], "left").select("file_id", "ord", "text", F.col("m.idx").alias("idx"))
+def notes_attach(classified: DataFrame) -> DataFrame:
+    """Each translation with the index of the item it belongs to; null without one."""
+    return _attached(_items(classified)).where("kind = 'translation'").select("file_id", "ord", "text", F.col("target").alias("idx"))
 
 
 def notes_assemble(lines: DataFrame) -> DataFrame:
     """The notes text of each file: header, items by index with their translations, rest, unmatched translations."""
-    c = notes_classify(notes_dedup(notes_clean(lines)))
-    numbered, rest = notes_number(c), c.where("kind = 'rest'").select("file_id", "ord", "text")
-    filled = notes_fill(numbered, rest)
-    items = numbered.select("file_id", "idx", "ord", "text").unionByName(filled.select("file_id", "idx", "ord", "text"))
-    rest = rest.join(filled.select("file_id", "ord"), ["file_id", "ord"], "left_anti")
-    more = notes_continue(c)
-    rest = rest.unionByName(more.where("not to_first").select("file_id", "ord", "text"))
-    tr = notes_attach(c.where("kind = 'translation'"), items)
-    row = lambda df, part, idx, sub: df.select("file_id", F.lit(part).alias("part"), idx.cast("int").alias("idx"), F.lit(sub).alias("sub"), "ord", "text")
-    zero = F.lit(0)
-    out = row(c.where("kind = 'header'"), 0, zero, 0).unionByName(row(items, 1, F.col("idx"), 0)).unionByName(row(more.where("to_first"), 1, F.lit(1), 1)).unionByName(row(tr.where("idx is not null"), 1, F.col("idx"), 2)).unionByName(row(rest, 2, zero, 0)).unionByName(row(tr.where("idx is null"), 3, zero, 0))
-    return out.groupBy("file_id").agg(joined(F.col("text"), "\n", "part", "idx", "sub", "ord").alias("notes"))
+    c = _attached(_items(notes_classify(notes_dedup(notes_clean(lines)))))
+    header = F.col("kind") == "header"
+    translation = F.col("kind") == "translation"
+    c = c.withColumn("_header", F.min(F.when(header, F.col("ord"))).over(_file())).where(~header | (F.col("ord") == F.col("_header"))).where(header | translation | F.col("item").isNotNull() | F.col("rest"))
+    part = F.when(header, 0).when(F.coalesce("item", "target").isNotNull(), 1).when(translation, 3).otherwise(2)
+    sub = F.when(translation, 2).when(F.col("to_first"), 1).otherwise(0)
+    text = F.when(header, "Notes:").otherwise(F.col("whole"))
+    rows = c.select("file_id", part.alias("part"), F.coalesce("item", "target", F.lit(0)).alias("at"), sub.alias("sub"), "ord", text.alias("line"))
+    return rows.groupBy("file_id").agg(joined(F.col("line"), "\n", "part", "at", "sub", "ord").alias("notes"))
 
 
 def notes_result(files: DataFrame, notes: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.geometry import Box, bbox_gap
-from ..functions.text import clean_header_text
+from ..functions.text import RAISED, clean_header_text, strip
 
 PAGE = ["doc_id", "page_id"]
 
@@ -119,16 +119,16 @@ def code_format(lines: DataFrame) -> DataFrame:
 
 
 def footnote_superscript(spans: DataFrame, blocks: DataFrame) -> DataFrame:
-    """The first span of each footnote, and whether it is only digits and marks."""
+    """The first span of each footnote, and whether it begins with digits or marks."""
     foot = blocks.where("block_type = 'Footnote'").select(*PAGE, F.col("block_id").alias("block_no"))
     first = spans.join(foot, [*PAGE, "block_no"], "left_semi").groupBy(*PAGE, "block_no").agg(F.min_by("text", F.struct("line_no", "span_id")).alias("text"))
-    return first.withColumn("has_superscript", F.regexp_like("text", F.lit(r"(?U)^[0-9\W]+$")))
+    return first.withColumn("has_superscript", F.regexp_like("text", F.lit(rf"(?U)^{RAISED}")))
 
 
 def linenum_spans(spans: DataFrame, ratio: float = 0.6) -> DataFrame:
-    """Leading numeric spans of pages where most lines start with one."""
-    first = spans.groupBy(*PAGE, "line_no").agg(F.min(F.struct("span_id", "text")).alias("s")).select(*PAGE, "line_no", "s.*")
-    first = first.withColumn("numeric", F.regexp_like(F.trim("text"), F.lit(r"^\d+$")))
+    """Numeric leftmost spans of pages where most lines have one; spans are (doc_id, page_id, line_no, span_id, x0, text)."""
+    first = spans.groupBy(*PAGE, "line_no").agg(F.min(F.struct("x0", "span_id", "text")).alias("s")).select(*PAGE, "line_no", "s.*")
+    first = first.withColumn("numeric", F.regexp_like(strip(F.col("text")), F.lit(r"^\p{N}+$")))
     share = F.avg(F.col("numeric").cast("int")).over(Window.partitionBy(*PAGE))
     return first.withColumn("share", share).where((F.col("share") > ratio) & F.col("numeric")).select(*PAGE, "line_no", "span_id")
 

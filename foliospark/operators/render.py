@@ -90,9 +90,13 @@ def list_item_html(child: Column, indent: Column) -> Column:
     return F.when(F.coalesce(indent, F.lit(0)) > 0, nested).otherwise(F.concat(F.lit("<li block-type='ListItem'>"), body, F.lit("</li>")))
 
 
+# Fixed value: characters that are bullets.
+BULLETS = "•●○ഠ ം◦■▪▫–—-"
+
+
 def bullet_strip(html: Column) -> Column:
-    """The bullet after the start, a newline, a space or a tag goes."""
-    return F.regexp_replace(html, r"(^|[\n ]|<[^>]*>)[•●○ഠ∙◦■▪▫–—-]\s+", "$1")
+    """The bullet between the start, a newline, a space or a tag and a space goes; the space stays."""
+    return F.regexp_replace(html, rf"(^|[\n ]|<[^>]*>)[{BULLETS}]( )", "$1$2")
 
 
 def code_html(code: Column) -> Column:

@@ -175,13 +175,13 @@ def table_runs(tables: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy("place")
     p = {k: F.lag(k).over(w) for k in ("page_id", "x0", "y0", "x1", "y1", "columns", "sole", "page_height")}
     h, ph, wd, pw = F.col("y1") - F.col("y0"), p["y1"] - p["y0"], F.col("x1") - F.col("x0"), p["x1"] - p["x0"]
-    like = lambda a, b: F.abs(a / b - 1) <= 0.25
+    like = lambda before, now: F.try_divide(before, now).between(0.75, 1.25) & ~F.try_divide(before, now).isin(0.75, 1.25)
     cols = F.abs(F.col("columns") - p["columns"]) < 2
     same = p["page_id"] == F.col("page_id")
-    across = (p["page_id"] + 1 == F.col("page_id")) & (F.greatest(h / F.col("page_height"), ph / p["page_height"]) > 0.6) & (F.col("sole") | p["sole"])
-    beside = same & like(h, ph) & (F.abs(F.col("x0") - p["x1"]) < 20) & (F.abs(F.col("y0") - p["y0"]) < 20)
-    below = same & like(wd, pw) & (F.abs(F.col("y0") - p["y1"]) < 10) & (F.abs(F.col("x0") - p["x0"]) < 10) & cols
-    column = same & (F.abs(F.col("x0") - p["x1"]) < 50) & (F.col("y0") < p["y1"]) & like(wd, pw) & cols
+    across = (p["page_id"] + 1 == F.col("page_id")) & (F.greatest(h, ph) / F.col("page_height") > 0.6) & (F.col("sole") | p["sole"])
+    beside = same & like(ph, h) & (F.abs(F.col("x0") - p["x1"]) < 20) & (F.abs(F.col("y0") - p["y0"]) < 20)
+    below = same & like(pw, wd) & (F.abs(F.col("y0") - p["y1"]) < 10) & (F.abs(F.col("x0") - p["x0"]) < 10) & cols
+    column = same & (F.abs(F.col("x0") - p["x1"]) < 50) & (F.col("y0") < p["y1"]) & like(pw, wd) & cols
     joins = F.coalesce(across | beside | below | column, F.lit(False))
     return tables.withColumn("_new", (~joins).cast("int")).withColumn("run_id", F.sum("_new").over(w)).drop("_new")
 

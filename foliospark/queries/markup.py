@@ -117,22 +117,47 @@ def char_runs_to_spans(spark, d):
     return op.char_runs_to_spans(t.select("doc_id", "line_no", (F.col("span_id") * 100000 + F.col("p")).alias("idx"), "token"), ["doc_id", "line_no"])
 
 
-@query("link_reinsert")
+@query("link_reinsert", oracle("fx_spans", """, nw AS (SELECT doc_id, line_no, string_agg(text, ' ' ORDER BY span_id) AS rest FROM fx_spans GROUP BY ALL),
+    bt AS (SELECT doc_id, line_no, text, min(span_id) AS f, arg_max('u'||span_id, span_id) AS url FROM fx_spans WHERE (doc_id+line_no+span_id)%2=0 AND text<>'' GROUP BY ALL),
+    lk AS (SELECT doc_id, line_no, list({'t': text, 'u': url} ORDER BY f) AS links FROM bt GROUP BY ALL),
+    st AS (SELECT nw.doc_id, nw.line_no, rest, coalesce(links, []) AS links FROM nw LEFT JOIN lk ON lk.doc_id=nw.doc_id AND lk.line_no=nw.line_no),
+    go AS (WITH RECURSIVE g AS (SELECT *, 0 AS n, '' AS head, NULL::VARCHAR AS hit, NULL::VARCHAR AS url FROM st
+        UNION ALL SELECT doc_id, line_no, substr(rest, instr(rest, h.t)+length(h.t)), list_filter(links, lambda x: x.t<>h.t), n+1, left(rest, instr(rest, h.t)-1), h.t, h.u
+        FROM (SELECT g.*, list_filter(links, lambda x: contains(rest, x.t))[1] AS h FROM g) q WHERE h IS NOT NULL) SELECT * FROM g),
+    pc AS (SELECT doc_id, line_no, n*2 AS o, head AS text, NULL AS url FROM go WHERE n>0 AND head<>'' UNION ALL SELECT doc_id, line_no, n*2+1, hit, url FROM go WHERE n>0
+        UNION ALL SELECT doc_id, line_no, 1000, rest, NULL FROM go WHERE rest<>'' AND n = (SELECT max(n) FROM go m WHERE m.doc_id=go.doc_id AND m.line_no=go.line_no))
+    SELECT doc_id, line_no, (row_number() OVER (PARTITION BY doc_id, line_no ORDER BY o)-1)::INT AS seq, text, url FROM pc"""))
 def link_reinsert(spark, d):
-    """Read lines (each line's spans as one text) get the links of the old spans back."""
+    """Read lines (each line's spans as one text) get the links of every second old span back."""
     s = fx(spark, d, "spans")[0]
     key = ["doc_id", "line_no"]
     new = s.groupBy(*key).agg(F.lit(0).alias("span_id"), joined(F.col("text"), " ", "span_id").alias("text"))
-    return op.link_reinsert(new, s.select(*key, "span_id", "text", "url"), key)
-
-
-@query("line_merge")
+    url = F.when((F.col("doc_id") + F.col("line_no") + F.col("span_id")) % 2 == 0, F.concat(F.lit("u"), F.col("span_id").cast("string")))
+    return op.link_reinsert(new, s.select(*key, "span_id", "text", url.alias("url")), key)
+
+
+@query("line_merge", oracle("fx_lines", """, hv AS (SELECT doc_id, page_id, block_no, line_no*2 AS line_no, x0, y0, (x0+x1)/2 AS x1, y1 FROM fx_lines
+        UNION ALL SELECT doc_id, page_id, block_no, line_no*2+1, (x0+x1)/2, y0 + CASE WHEN line_no%5=0 THEN 4 ELSE 0 END, x1, y1 FROM fx_lines),
+    nl AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, page_id, block_no ORDER BY line_no)-1)::INT AS i, 0.05*(x1-x0) AS w FROM hv WHERE (x1-x0)*5>y1-y0),
+    pr AS (SELECT a.doc_id, a.page_id, a.block_no, a.i, b.i AS j, greatest(0, least(a.x1+a.w, b.x1+b.w)-greatest(a.x0-a.w, b.x0-b.w))*greatest(0, least(a.y1,b.y1)-greatest(a.y0,b.y0)) AS ar,
+        greatest(1, (a.x1-a.x0)*(a.y1-a.y0)) AS own, greatest(0, least(a.y1,b.y1)-greatest(a.y0,b.y0))/greatest(1, a.y1-a.y0) AS high
+        FROM nl a JOIN nl b ON a.doc_id=b.doc_id AND a.page_id=b.page_id AND a.block_no=b.block_no),
+    tt AS (SELECT doc_id, page_id, block_no, i, greatest(1, sum(ar) FILTER (j<>i AND j<>i+1)) AS total FROM pr GROUP BY ALL),
+    ok AS (SELECT p.doc_id, p.page_id, p.block_no, p.i, p.j AS head, s/own>=0.015 AND high>0.8 AND s/total>0.5 AS goes FROM
+        (SELECT *, sum(ar) OVER (PARTITION BY doc_id, page_id, block_no, i ORDER BY j DESC) AS s FROM pr WHERE j<i) p JOIN tt USING (doc_id, page_id, block_no, i)),
+    fd AS (WITH RECURSIVE f AS (SELECT doc_id, page_id, block_no, 0 AS i, 0 AS head FROM nl WHERE i=0
+        UNION ALL SELECT n.doc_id, n.page_id, n.block_no, n.i, CASE WHEN f.head<0 THEN n.i WHEN ok.goes THEN f.head ELSE -1 END FROM f
+        JOIN nl n ON n.doc_id=f.doc_id AND n.page_id=f.page_id AND n.block_no=f.block_no AND n.i=f.i+1
+        LEFT JOIN ok ON ok.doc_id=n.doc_id AND ok.page_id=n.page_id AND ok.block_no=n.block_no AND ok.i=n.i AND ok.head=f.head) SELECT * FROM f)
+    SELECT a.doc_id, a.page_id, a.block_no, a.line_no, b.line_no AS merged_into FROM fd JOIN nl a USING (doc_id, page_id, block_no, i)
+        JOIN nl b ON b.doc_id=fd.doc_id AND b.page_id=fd.page_id AND b.block_no=fd.block_no AND b.i=fd.head WHERE fd.head>=0 AND fd.head<fd.i"""))
 def line_merge(spark, d):
-    """Lines cut in halves that stand side by side."""
+    """Lines cut in halves that stand side by side; some right halves are lower than most of the left."""
     lines = fx(spark, d, "lines")[0]
     mid = (F.col("x0") + F.col("x1")) / 2
     left = lines.select(*PAGE, "block_no", (F.col("line_no") * 2).alias("line_no"), "x0", "y0", mid.alias("x1"), "y1")
-    right = lines.select(*PAGE, "block_no", (F.col("line_no") * 2 + 1).alias("line_no"), mid.alias("x0"), "y0", "x1", "y1")
+    lower = F.col("y0") + F.when(F.col("line_no") % 5 == 0, 4).otherwise(0)
+    right = lines.select(*PAGE, "block_no", (F.col("line_no") * 2 + 1).alias("line_no"), mid.alias("x0"), lower.alias("y0"), "x1", "y1")
     return op.line_merge(left.unionByName(right))
 
 

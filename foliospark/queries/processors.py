@@ -40,7 +40,7 @@ def footnotes_last(spark, d):
     return op.stable_last(fx(spark, d, "boxes")[0], "Equation").select(*KEY, "place")
 
 
-CLEAN = "regexp_replace(regexp_replace(replace(rtext,chr(10),''),'^\\s+|\\s+$','','g'),'^[0-9]+|[0-9]+$','','g')"
+CLEAN = "regexp_replace(regexp_replace(regexp_replace(replace(rtext,chr(10),''),'^\\s+|\\s+$','','g'),'^[0-9]+\\s*',''),'\\s*[0-9]+$','')"
 COMMON = f", fb AS (SELECT doc_id, page_id, {CLEAN} AS text FROM fx_running WHERE block_id=first_id), cn AS (SELECT doc_id, text, count(*) AS k FROM fb GROUP BY ALL), tt AS (SELECT doc_id, count(*) AS n FROM fb GROUP BY ALL), st AS (SELECT doc_id, text, max(c) AS longest FROM (SELECT doc_id, text, g, count(*) AS c FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_id)-row_number() OVER (PARTITION BY doc_id, text ORDER BY page_id) AS g FROM fb) GROUP BY ALL) GROUP BY ALL), co AS (SELECT doc_id, text, k FROM cn JOIN tt USING (doc_id) JOIN st USING (doc_id, text) WHERE n>=3 AND (k>=0.2*n OR longest>=3) AND k>3) "
 
 
@@ -86,18 +86,28 @@ def code_format(spark, d):
     return op.code_format(lines.withColumns({"x0": F.col("x0") + 15 * (F.col("line_no") % 3), "x1": F.col("x1") + 15 * (F.col("line_no") % 3)}))
 
 
-@query("footnote_superscript", oracle("fx_spans fx_boxes", "SELECT s.doc_id, s.page_id, s.block_no, arg_min(text, line_no*10+span_id) AS text, regexp_matches(arg_min(text, line_no*10+span_id), '^[^\\p{L}_]+$') AS has_superscript FROM fx_spans s JOIN fx_boxes b ON b.doc_id=s.doc_id AND b.page_id=s.page_id AND b.block_id=s.block_no AND b.block_type='Footnote' GROUP BY ALL"))
+@query("footnote_superscript", oracle("fx_spans fx_boxes", """, s AS (SELECT doc_id, page_id, block_no, line_no, span_id,
+        CASE doc_id%3 WHEN 0 THEN '1 '||text WHEN 1 THEN '* '||text ELSE text||' 1' END AS text FROM fx_spans),
+    f AS (SELECT s.doc_id, s.page_id, s.block_no, arg_min(text, line_no*10+span_id) AS text FROM s JOIN fx_boxes b ON b.doc_id=s.doc_id AND b.page_id=s.page_id
+        AND b.block_id=s.block_no AND b.block_type='Footnote' GROUP BY ALL)
+    SELECT *, regexp_matches(text, '^([0-9]|[^\\p{L}\\p{N}_])') AS has_superscript FROM f"""))
 def footnote_superscript(spark, d):
-    return op.footnote_superscript(*fx(spark, d, "spans", "boxes"))
+    spans, boxes = fx(spark, d, "spans", "boxes")
+    mark = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("1 "), "text")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("* "), "text")).otherwise(F.concat("text", F.lit(" 1")))
+    return op.footnote_superscript(spans.withColumn("text", mark), boxes)
 
 
 def _numbered(spans):
-    """Pages where each line starts with a number."""
-    lead = spans.where("page_id % 3 = 1 AND span_id = 0").select(*PAGE, "line_no", F.lit(-1).alias("span_id"), F.col("line_no").cast("string").alias("text"))
-    return spans.select(*PAGE, "line_no", "span_id", "text").unionByName(lead)
+    """Pages where each line starts, by x, with a number that is its last span by id."""
+    own = spans.select(*PAGE, "line_no", "span_id", (F.col("span_id") * 10.0).alias("x0"), "text")
+    lead = spans.where("page_id % 3 = 1 AND span_id = 0").select(*PAGE, "line_no", F.lit(99).alias("span_id"), F.lit(-5.0).alias("x0"), F.concat(F.lit(" "), F.col("line_no").cast("string"), F.lit("½")).alias("text"))
+    return own.unionByName(lead)
 
 
-@query("linenum_spans", oracle("fx_spans", ", s AS (SELECT doc_id, page_id, line_no, span_id, text FROM fx_spans UNION ALL SELECT doc_id, page_id, line_no, -1, line_no::VARCHAR FROM fx_spans WHERE page_id%3=1 AND span_id=0), f AS (SELECT doc_id, page_id, line_no, min(span_id) AS span_id, regexp_matches(trim(arg_min(text,span_id)),'^[0-9]+$') AS num FROM s GROUP BY ALL), r AS (SELECT *, avg(num::INT) OVER (PARTITION BY doc_id, page_id) AS share FROM f) SELECT doc_id, page_id, line_no, span_id FROM r WHERE num AND share>0.6"))
+@query("linenum_spans", oracle("fx_spans", """, s AS (SELECT doc_id, page_id, line_no, span_id, span_id*10 AS x, text FROM fx_spans
+        UNION ALL SELECT doc_id, page_id, line_no, 99, -5, ' '||line_no||'½' FROM fx_spans WHERE page_id%3=1 AND span_id=0),
+    f AS (SELECT doc_id, page_id, line_no, arg_min(span_id, x) AS span_id, regexp_full_match(trim(arg_min(text, x)), '\\p{N}+') AS num FROM s GROUP BY ALL)
+    SELECT doc_id, page_id, line_no, span_id FROM f QUALIFY num AND avg(num::INT) OVER (PARTITION BY doc_id, page_id) > 0.6"""))
 def linenum_spans(spark, d):
     return op.linenum_spans(_numbered(fx(spark, d, "spans")[0]))
 

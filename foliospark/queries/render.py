@@ -60,7 +60,7 @@ FLAT = "replace(text,chr(10),' ')"
 _block_query("block_html_text", lambda x: [op.text_html(F.col("block_type"), x, F.col("page_id") % 2 == 0, F.col("block_id") % 3).alias("html")], f"repeat('<blockquote>',block_id%3)||'<p block-type='''||block_type||''''||CASE WHEN page_id%2=0 THEN ' class=''has-continuation''' ELSE '' END||'>'||{FLAT}||'</p>'||repeat('</blockquote>',block_id%3) AS html")
 _block_query("block_html_header", lambda x: [op.header_html(x, F.when(F.col("block_id") > 2, F.col("block_id") % 4 + 1), F.col("block_id") == 9).alias("html")], f"CASE WHEN block_id=9 THEN '' ELSE '<h'||CASE WHEN block_id>2 THEN block_id%4+1 ELSE 2 END||'>'||{FLAT}||'</h'||CASE WHEN block_id>2 THEN block_id%4+1 ELSE 2 END||'>' END AS html")
 _block_query("block_html_list", lambda x: [op.list_item_html(x, F.col("block_id") % 3).alias("html")], f"CASE WHEN block_id%3>0 THEN '<ul><li block-type=''ListItem'' class=''list-indent-'||(block_id%3)||'''>'||{FLAT}||'</li></ul>' ELSE '<li block-type=''ListItem''>'||{FLAT}||'</li>' END AS html")
-_block_query("bullet_strip", lambda x: [op.bullet_strip(F.concat(F.lit("• "), x)).alias("html")], r"regexp_replace(text, '(^|[\n ]|<[^>]*>)[•●○ഠ∙◦■▪▫–—-]\s+', '\1', 'g') AS html")
+_block_query("bullet_strip", lambda x: [op.bullet_strip(F.concat(F.lit("• "), x, F.lit(" – b-c"))).alias("html")], r"regexp_replace('• '||text||' – b-c', '(^|[\n ]|<[^>]*>)[•●○ഠ ം◦■▪▫–—-]( )', '\1\2', 'g') AS html")
 _block_query("block_html_code", lambda x: [op.code_html(x).alias("html")], f"'<pre>'||{ESC('text')}||'</pre>' AS html")
 _block_query("block_html_equation", lambda x: [op.equation_html(F.when(F.col("block_id") == 1, F.lit("<math>x</math>")), x).alias("html")], "'<p block-type=''Equation''>'||CASE WHEN block_id=1 THEN '<math>x</math>' ELSE text END||'</p>' AS html")
 _block_query("block_html_caption_footnote", lambda x: [op.plain_html(x).alias("html")], f"'<p>'||{FLAT}||'</p>' AS html")

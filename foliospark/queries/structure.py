@@ -89,7 +89,7 @@ def contained_blocks(spark, d):
     return op.contained_blocks(fx(spark, d, "boxes")[0].select(*KEY, parent.alias("parent_id"), (F.col("block_id") == 2).alias("removed")))
 
 
-TABLES = ", t0 AS (SELECT table_id, max(col_id)+1 AS columns, min(x0) AS x0, max(x1) AS x1, min(y0)+table_id%3*250 AS y0, max(y1)+table_id%3*250 AS y1 FROM fx_cells GROUP BY table_id), t AS (SELECT table_id%50 AS doc_id, table_id, row_number() OVER (PARTITION BY table_id%50 ORDER BY table_id) AS place, columns, x0, x1, y0, y1 FROM t0), u AS (SELECT *, (place-1)//3 AS page_id, place%4=0 AS sole FROM t), l AS (SELECT *, lag(page_id) OVER w AS pp, lag(x0) OVER w AS px0, lag(x1) OVER w AS px1, lag(y0) OVER w AS py0, lag(y1) OVER w AS py1, lag(columns) OVER w AS pc, lag(sole) OVER w AS ps FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY place)), j AS (SELECT *, coalesce((pp+1=page_id AND greatest((y1-y0)/792,(py1-py0)/792)>0.6 AND (sole OR ps)) OR (pp=page_id AND ((abs((y1-y0)/(py1-py0)-1)<=0.25 AND abs(x0-px1)<20 AND abs(y0-py0)<20) OR (abs((x1-x0)/(px1-px0)-1)<=0.25 AND abs(columns-pc)<2 AND ((abs(y0-py1)<10 AND abs(x0-px0)<10) OR (abs(x0-px1)<50 AND y0<py1))))), false) AS joins FROM l) "
+TABLES = ", t0 AS (SELECT table_id, max(col_id)+1 AS columns, min(x0) AS x0, max(x1) AS x1, min(y0)+table_id%3*250 AS y0, max(y1)+table_id%3*250 AS y1 FROM fx_cells GROUP BY table_id), t AS (SELECT table_id%50 AS doc_id, table_id, row_number() OVER (PARTITION BY table_id%50 ORDER BY table_id) AS place, columns, x0, x1, y0, y1 FROM t0), u AS (SELECT *, (place-1)//3 AS page_id, place%4=0 AS sole FROM t), l AS (SELECT *, lag(page_id) OVER w AS pp, lag(x0) OVER w AS px0, lag(x1) OVER w AS px1, lag(y0) OVER w AS py0, lag(y1) OVER w AS py1, lag(columns) OVER w AS pc, lag(sole) OVER w AS ps FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY place)), j AS (SELECT *, coalesce((pp+1=page_id AND greatest((y1-y0)/792,(py1-py0)/792)>0.6 AND (sole OR ps)) OR (pp=page_id AND (((py1-py0)/(y1-y0)>0.75 AND (py1-py0)/(y1-y0)<1.25 AND abs(x0-px1)<20 AND abs(y0-py0)<20) OR ((px1-px0)/(x1-x0)>0.75 AND (px1-px0)/(x1-x0)<1.25 AND abs(columns-pc)<2 AND ((abs(y0-py1)<10 AND abs(x0-px0)<10) OR (abs(x0-px1)<50 AND y0<py1))))), false) AS joins FROM l) "
 
 
 @query("table_runs", oracle("fx_cells", TABLES + "SELECT doc_id, table_id, place::INT AS place, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY place)::BIGINT AS run_id FROM j"))

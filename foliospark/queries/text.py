@@ -76,7 +76,7 @@ _block_query("span_cleanup", lambda x: [t.span_cleanup(F.concat(x, F.lit("\n \n
 _block_query("math_display", lambda x: [t.math_display(F.when(F.col("block_id") % 3 == 0, F.concat(F.lit("\\begin{align}"), x)).otherwise(x)).alias("display")], "CASE WHEN block_id%3=0 THEN 'block' ELSE 'inline' END AS display")
 _block_query("replace_last", lambda x: [t.replace_last(x, "th", "TH").alias("text")], "CASE WHEN strpos(text,'th')>0 THEN reverse(regexp_replace(reverse(text),'ht','HT')) ELSE text END AS text")
 _block_query("escape_control", lambda x: [t.escape_control(x).alias("text")], r"replace(replace(replace(text,chr(10),'\n'),chr(9),'\t'),chr(13),'\r') AS text")
-_block_query("clean_header_text", lambda x: [t.clean_header_text(F.concat(F.lit("12 "), x, F.lit(" 7"))).alias("text")], rf"regexp_replace({TRIM("replace('12 '||text||' 7',chr(10),'')")}, '^[0-9]+|[0-9]+$', '', 'g') AS text")
+_block_query("clean_header_text", lambda x: [t.clean_header_text(F.concat(F.lit("12 "), x, F.lit(" 7"))).alias("text")], rf"regexp_replace(regexp_replace({TRIM("replace('12 '||text||' 7',chr(10),'')")}, '^[0-9]+\s*', ''), '\s*[0-9]+$', '') AS text")
 _block_query("md_paragraph", lambda x: [t.md_paragraph(F.concat(x, F.when(F.col("block_id") % 2 == 0, F.lit("a-")).otherwise(F.lit(""))), F.col("page_id") % 2 == 0).alias("md")], r"CASE WHEN page_id%2=0 THEN CASE WHEN block_id%2=0 THEN text||'a' WHEN regexp_matches(text,'[\p{Ll}\p{N}]-$') THEN text[:-2] ELSE text||' ' END ELSE text || CASE WHEN block_id%2=0 THEN 'a-' ELSE '' END || chr(10)||chr(10) END AS md")
 _block_query("md_heading", lambda x: [t.md_heading(x, F.col("block_id") % 4 + 1).alias("md")], "chr(10)||chr(10)||repeat('#',block_id%4+1)||' '||text||chr(10)||chr(10) AS md")
 _block_query("md_list", lambda x: [t.md_list(x, F.col("block_id") % 3).alias("md")], "repeat('  ',block_id%3)||'- '||text||chr(10) AS md")

@@ -62,9 +62,12 @@ def fixtures(dialect: str) -> dict[str, str]:
             cast(floor(value*1000000) AS bigint) AS size, event_type <> 'error' AS success, value AS processing_time,
             CASE WHEN event_id%41=0 THEN NULL WHEN event_id%37=0 THEN '504B0304' WHEN event_type IN ('view','purchase') THEN '255044462D' WHEN event_type='click' THEN '89504E470D0A1A0A' WHEN event_type='signup' THEN '504B0304' ELSE 'FFD8FF' END AS head_hex FROM events""",
         "fx_outputs": "SELECT concat('f', cast(file_id AS varchar(20))) AS base, CASE file_id%4 WHEN 0 THEN 'md' WHEN 1 THEN 'html' WHEN 2 THEN 'json' ELSE 'txt' END AS ext FROM fx_arrivals",
-        "fx_notes": """SELECT c_custkey AS file_id, ord, CASE ord WHEN 0 THEN concat('Drawing NO ', c_name) WHEN 1 THEN 'Notes:' WHEN 2 THEN '2. Remove all burrs' WHEN 3 THEN '1) Material: steel' WHEN 4 THEN '1/4: C10B21 grade' WHEN 5 THEN '(去毛刺)'
-            WHEN 6 THEN '12.5 3.2' WHEN 7 THEN 'Surface finish' WHEN 8 THEN concat('Heat treat per ', c_name) WHEN 9 THEN concat('remark ', c_mktsegment) WHEN 10 THEN '--' WHEN 11 THEN '2. remove all burrs' WHEN 12 THEN '  notes  for   assembly ' ELSE 'Unit' END AS text
-            FROM customer, (SELECT 0 AS ord UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8 UNION ALL SELECT 9 UNION ALL SELECT 10 UNION ALL SELECT 11 UNION ALL SELECT 12 UNION ALL SELECT 13) o
+        "fx_notes": """SELECT c_custkey AS file_id, ord, CASE ord WHEN 0 THEN concat('Drawing NO ', c_name) WHEN 1 THEN 'Notes:' WHEN 2 THEN '2. Surface hardness HV 550' WHEN 3 THEN '1) Material: steel'
+            WHEN 4 THEN '1/4: C10B21 grade' WHEN 5 THEN '(材質: 鋼)' WHEN 6 THEN '12.5 3.2' WHEN 7 THEN 'Thread rolled after plating' WHEN 8 THEN concat('Core hardness per ', c_name)
+            WHEN 9 THEN concat('remark ', c_mktsegment) WHEN 10 THEN '--' WHEN 11 THEN '2. surface  HARDNESS hv 550' WHEN 12 THEN '  general   notes :  see sheet ' WHEN 13 THEN 'torsional'
+            WHEN 14 THEN '（表面硬度 與 其他）' WHEN 15 THEN '12/3: odd numerator' WHEN 16 THEN '(氫脆)' WHEN 17 THEN '#5 / 16 : M8 test' WHEN 18 THEN 'Eht 400 HV0.3' WHEN 19 THEN '10 Hydrogen embrittlement'
+            WHEN 20 THEN '(no item 螺紋)' ELSE '芯部硬度 alone' END AS text
+            FROM customer, (SELECT cast(n_nationkey AS int) AS ord FROM nation WHERE n_nationkey < 22) o
             WHERE (c_custkey+ord)%5<>0""",
     }
 

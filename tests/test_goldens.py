@@ -30,7 +30,7 @@ def test_bad_text(spark):
 
 def test_spaces_and_header(spark):
     r = one(spark, t.normalize_spaces(F.lit("a b　c")).alias("a"), t.clean_header_text(F.lit("12 Report\n 7")).alias("b"), t.unwrap_math(F.lit("<math>\\text{x} 5\\%</math>")).alias("c"), t.unwrap_math(F.lit("<math>x^2</math>")).alias("d"))
-    assert tuple(r) == ("a b c", " Report ", "x 5%", "<math>x^2</math>")
+    assert tuple(r) == ("a b c", "Report", "x 5%", "<math>x^2</math>")
 
 
 def test_argmax_ties_take_the_first(spark):
@@ -48,7 +48,7 @@ def test_line_touching_no_block(spark):
 
 def test_streak_and_common(spark):
     texts = spark.createDataFrame([(1, p, "Head 1" if p < 4 else f"T{p}x") for p in range(8)], "doc_id long, page_id int, text string")
-    assert [r.text for r in processors.common_elements(texts).collect()] == ["Head "]
+    assert [r.text for r in processors.common_elements(texts).collect()] == ["Head"]
 
 
 def test_indel(spark):
@@ -70,6 +70,14 @@ def test_fraction_before_and_after_item_one(spark):
     assert {r.ord: r.to_first for r in notes.notes_continue(c).collect()} == {0: False, 2: True}
 
 
+def test_notes_by_hand(spark):
+    """A file of every rule, put together by hand from the rules' description."""
+    given = ["Drawing No. 7", "general NOTES : all", "3. Core hardness HRC 30", "1 Material: steel", "#5/16: C10B21", "MIN", "12.5 ± 0.1", "Impact test needed", "(材質 鋼)", "（芯部硬度）", "(衝擊)", "(other 彎)", "Head free of cracks", "plain line", "3) second three", "core hardness-HRC 30!", "__", "12/3: x"]
+    lines = spark.createDataFrame([(1, i, t) for i, t in enumerate(given)], "file_id long, ord int, text string")
+    want = ["Notes:", "1. Material: steel", "#5/16: C10B21", "(材質 鋼)", "2. Impact test needed", "(衝擊)", "3. Core hardness HRC 30", "（芯部硬度）", "4. Head free of cracks", "5. core hardness-HRC 30!", "plain line", "(other 彎)"]
+    assert notes.notes_assemble(lines).first().notes.split("\n") == want
+
+
 def test_file_of_exactly_the_limit(spark):
     rows = [("a.pdf", files.MAX_SIZE, "255044462D"), ("a.pdf", files.MAX_SIZE + 1, "255044462D"), ("a.exe", 1, None), ("a.png", 1, None)]
     got = [r.reason for r in files.admit_files(spark.createDataFrame(rows, "name string, size long, head_hex string")).collect()]
