@@ -106,7 +106,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def _applied(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(own, text, n_lines, n_removed): every row of docs as a struct, and what becomes of its text."""
     plain = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), _document(id_col, text_col).alias("doc"))
-    out = plain.join(repeated(docs, id_col, text_col), "doc", "left").select("own", "gone", F.split(F.col("own")[text_col], "\n", -1).alias("lines"))
+    # a merge join whatever the size of the right side: texts move once, and small and large tables take one way
+    out = plain.join(repeated(docs, id_col, text_col).hint("merge"), "doc", "left").select("own", "gone", F.split(F.col("own")[text_col], "\n", -1).alias("lines"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     text = F.when(F.col("gone").isNull(), F.col("own")[text_col]).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("lines"), i)), "\n"))
     n_lines = F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines"))
