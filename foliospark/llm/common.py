@@ -52,7 +52,8 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[st
     dealt = left.join(hot, keys, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(F.lit(3), *spread), "_parts"), F.lit(0)).cast("int")).drop("_parts")
     parts = F.when(F.col("n") > most, F.ceil(F.col("n") / most).cast("int")).otherwise(1)
     copies = right.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
-    return dealt.join(copies, [*keys, "_part"], how).drop("_part")
+    # a merge join at every size: a right side that is small today would be broadcast, and take another way when it grows
+    return dealt.join(copies.hint("merge"), [*keys, "_part"], how).drop("_part")
 
 
 def row_key(df: DataFrame) -> dict[str, Column]:
