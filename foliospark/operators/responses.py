@@ -2,36 +2,80 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.geometry import block_ref
 from ..functions.text import strip
 from .aggregates import joined
 
 PAGE = ["doc_id", "page_id"]
 
 
+# For each kind of request the placeholder in its template and the text of the block put there.
+PLACES = {
+    "form": ("{block_html}", "html"),
+    "table": ("{block_html}", "html"),
+    "complex": ("{extracted_text}", "text"),
+    "image_description": ("{raw_text}", "text"),
+    "equation": ("{equation}", "html or text"),
+    "handwriting": (None, None),
+    "math": ("{extracted_html}", "formatted"),
+    "table_merge": ("{{table2}}", "html"),
+}
+
+
+def old_text(source: str) -> Column:
+    """The text of a block that a request holds and its response is measured by."""
+    if source == "html or text":
+        return F.coalesce(F.nullif(F.col("html"), F.lit("")), F.col("text"), F.lit(""))
+    return F.coalesce(F.col(source), F.lit(""))
+
+
 def build_requests(blocks: DataFrame, kind: str, template: str) -> DataFrame:
-    """One request for each block: the template with its html and text put in."""
-    prompt = F.replace(F.replace(F.lit(template), F.lit("{block_html}"), F.coalesce("html", F.lit(""))), F.lit("{block_text}"), F.coalesce("text", F.lit("")))
+    """One request for each block: its text in the template, at the kind's placeholder.
+
+    blocks need the columns html, text or formatted, as the kind reads; for table_merge also before_html, the table
+    that the block may continue, which goes to {{table1}}.
+    """
+    place, source = PLACES[kind]
+    prompt = F.lit(template)
+    if kind == "table_merge":
+        prompt = F.replace(prompt, F.lit("{{table1}}"), F.coalesce("before_html", F.lit("")))
+    if place:
+        prompt = F.replace(prompt, F.lit(place), old_text(source))
     req = F.concat_ws("/", F.lit(kind), "doc_id", "page_id", "block_id")
     return blocks.select(req.alias("req_id"), F.lit(kind).alias("processor"), *PAGE, "block_id", prompt.alias("prompt"))
 
 
-def header_requests(headers: DataFrame, pages: DataFrame) -> DataFrame:
-    """One request a document: its headings with boxes in thousandths of the page."""
-    x = headers.join(pages.select(*PAGE, "width", "height"), PAGE)
-    part = lambda c, size: F.floor(F.col(c) * 1000 / F.col(size)).cast("long")
-    row = F.struct("page_id", "block_id", F.array(part("x0", "width"), part("y0", "height"), part("x1", "width"), part("y1", "height")).alias("bbox"))
-    return x.groupBy("doc_id").agg(F.to_json(F.array_sort(F.collect_list(row))).alias("prompt"))
+def thousandths(blocks: DataFrame, pages: DataFrame) -> DataFrame:
+    """blocks with `id` and `bbox`, the box in thousandths of its page."""
+    x = blocks.join(pages.select(*PAGE, "width", "height"), PAGE)
+    part = lambda c, size: F.col(c) / F.col(size) * 1000
+    box = F.array(part("x0", "width"), part("y0", "height"), part("x1", "width"), part("y1", "height"))
+    return x.select(*PAGE, "block_id", "block_type", "html", block_ref(F.col("page_id"), F.col("block_type"), F.col("block_id")).alias("id"), box.alias("bbox"))
+
+
+def header_requests(headers: DataFrame, pages: DataFrame, template: str = "{{section_header_json}}") -> DataFrame:
+    """One request a document: its headings as JSON, with box, width and height in thousandths of the page."""
+    b = F.col("bbox")
+    row = F.struct("page_id", "block_id", F.struct("id", "bbox", "html", F.col("page_id").cast("string").alias("page"), (b[2] - b[0]).alias("width"), (b[3] - b[1]).alias("height")).alias("row"))
+    rows = F.transform(F.array_sort(F.collect_list(row)), lambda r: r["row"])
+    return thousandths(headers, pages).groupBy("doc_id").agg(F.replace(F.lit(template), F.lit("{{section_header_json}}"), F.to_json(rows)).alias("prompt"))
 
 
-def page_requests(blocks: DataFrame, user_prompt: str) -> DataFrame:
-    row = F.struct("block_id", "block_type")
-    return blocks.groupBy(*PAGE).agg(F.concat(F.lit(user_prompt + "\n"), F.to_json(F.array_sort(F.collect_list(row)))).alias("prompt"))
+def page_requests(blocks: DataFrame, pages: DataFrame, user_prompt: str, template: str = "{{page_json}}\n{{user_prompt}}", tags: list[str] | None = None) -> DataFrame:
+    """One request a page: all its blocks as JSON, the tags allowed and the user's own words put into the template."""
+    row = F.struct("block_id", F.struct("id", "block_type", "bbox", "html").alias("row"))
+    rows = F.transform(F.array_sort(F.collect_list(row)), lambda r: r["row"])
+    prompt = F.replace(F.lit(template), F.lit("{{page_json}}"), F.to_json(rows))
+    prompt = F.replace(prompt, F.lit("{{format_tags}}"), F.lit(json.dumps(tags or [])))
+    prompt = F.replace(prompt, F.lit("{{user_prompt}}"), F.lit(user_prompt))
+    return thousandths(blocks, pages).groupBy(*PAGE).agg(prompt.alias("prompt"))
 
 
 def response_json(body: Column, schema: str) -> Column:
@@ -42,14 +86,49 @@ def response_json(body: Column, schema: str) -> Column:
     return F.coalesce(parsed(body), parsed(bare), parsed(doubled))
 
 
-def accept_html(blocks: DataFrame, responses: DataFrame, least: float) -> DataFrame:
-    """blocks(html) and responses(doc_id, page_id, block_id, corrected) joined: corrected html unless it says that none is needed or is too short, which counts an error."""
-    x = blocks.join(responses, [*PAGE, "block_id"], "left")
-    new = F.col("corrected")
-    keep = F.contains(F.lower(new), F.lit("no corrections"))
-    short = F.length(new) < least * F.length("html")
-    html = F.when(new.isNull() | keep | short, F.col("html")).otherwise(strip(new))
-    return x.select(*PAGE, "block_id", html.alias("html"), (new.isNull() | (~keep & short)).cast("int").alias("errors"))
+# Per kind the phrase that leaves a block as it is, the least share of the old text's length, and the
+# language of a fence around the answer.
+ACCEPT = {
+    "form": ("no corrections needed", 0.33, "html"),
+    "math": ("no corrections needed", 0.6, None),
+    "complex": ("no corrections", 0.5, "markdown"),
+    "handwriting": (None, 0.5, "markdown"),
+    "equation": ("no corrections needed", 0.3, None),
+    "image_description": (None, 0.0, None),
+}
+LEAST_DESCRIPTION = 10
+
+
+def accept_html(blocks: DataFrame, responses: DataFrame, kind: str) -> DataFrame:
+    """blocks and responses(doc_id, page_id, block_id, corrected) of one kind: (.., html, description, errors).
+
+    A missing answer and one that is too short count as an error and leave the block as it is; so does an equation
+    that is empty, not longer than the share or without equally many opened and closed formulas. An answer that says
+    that nothing needs a correction leaves it without an error. Descriptions go to their own column; answers in
+    Markdown (complex, handwriting) stay Markdown, for the caller to turn into HTML.
+    """
+    keep_phrase, least, fence = ACCEPT[kind]
+    source = {"image_description": "text", "handwriting": "text"}.get(kind) or PLACES[kind][1]
+    new, size = F.col("corrected"), F.length(old_text(source))
+    keep = F.contains(F.lower(new), F.lit(keep_phrase)) if keep_phrase else F.lit(False)
+    if kind == "equation":
+        balanced = F.regexp_count(new, F.lit("<math")) == F.regexp_count(new, F.lit("</math>"))
+        bad = ~((F.length(new) > 0) & balanced & (F.length(new) > least * size))
+    elif kind == "image_description":
+        bad = F.length(new) < LEAST_DESCRIPTION
+    else:
+        bad = F.length(new) < least * size
+        bad = bad | (F.length(new) == 0) if kind == "math" else bad
+    failed = new.isNull() | (~keep & bad)
+    text = new
+    if fence:
+        text = strip(F.regexp_replace(F.regexp_replace(strip(new), rf"^```({fence})?", ""), r"`+$", ""))
+    good = ~failed & ~keep
+    describes = kind == "image_description"
+    html = F.col("html") if describes else F.when(good, text).otherwise(F.col("html"))
+    description = F.when(good, text) if describes else F.lit(None).cast("string")
+    x = blocks.join(responses.select(*PAGE, "block_id", "corrected"), [*PAGE, "block_id"], "left")
+    return x.select(*PAGE, "block_id", html.alias("html"), description.alias("description"), failed.cast("int").alias("errors"))
 
 
 def accept_headers(blocks: DataFrame, responses: DataFrame) -> DataFrame:
@@ -68,12 +147,28 @@ def apply_rewrites(blocks: DataFrame, rewrites: DataFrame) -> DataFrame:
     return blocks.join(r, [*PAGE, "block_id"], "left").select(*PAGE, "block_id", F.coalesce("new_html", "html").alias("html"))
 
 
-def accept_page(blocks: DataFrame, orders: DataFrame) -> DataFrame:
-    """orders(doc_id, page_id, ids): the page's blocks in that order if the ids are the page's own; else as they are. Adds `place`."""
-    own = blocks.groupBy(*PAGE).agg(F.array_sort(F.collect_list("block_id")).alias("own"))
-    good = orders.join(own, PAGE).where(F.array_sort("ids") == F.col("own")).select(*PAGE, "ids")
-    x = blocks.join(good, PAGE, "left")
-    return x.select(*PAGE, "block_id", F.coalesce(F.array_position("ids", F.col("block_id")).cast("int") - 1, F.col("block_id")).alias("place"))
+def accept_page(blocks: DataFrame, responses: DataFrame) -> DataFrame:
+    """blocks(.., block_type, html) and responses(doc_id, page_id, body): (.., place, html, again).
+
+    By the answer's correction_type: `no_corrections` and unknown ones leave the page as it is; `reorder` and
+    `reorder_first` put its blocks in the order of ids page/Type/block if these are the page's own, all of them;
+    reorder_first asks for the page again; `rewrite` sets the html of known blocks of ids /page/page/Type/block.
+    `blocks` in an answer is a list or a text that holds one; an id that stands twice counts where it stands first.
+    """
+    item = "array<struct<id:string,html:string>>"
+    r = response_json(F.col("body"), "struct<correction_type:string,blocks:string>")
+    r = responses.select(*PAGE, r.alias("r")).select(*PAGE, F.col("r.correction_type").alias("kind"), F.from_json("r.blocks", item).alias("answer"))
+    own = blocks.groupBy(*PAGE).agg(F.array_sort(F.collect_set(F.concat_ws("/", "page_id", "block_type", "block_id"))).alias("own"))
+    known = F.filter(F.transform("answer", lambda a: a.id), lambda i: F.regexp_like(i, F.lit(r"^[^/]*/[^/]*/[^/]*$")))
+    r = r.join(own, PAGE).withColumn("ids", F.array_distinct(known))
+    orders = F.col("kind").isin("reorder", "reorder_first")
+    r = r.select(*PAGE, "kind", F.when(orders & (F.array_sort("ids") == F.col("own")), F.col("ids")).alias("ids"), F.when(F.col("kind") == "rewrite", F.col("answer")).alias("answer"))
+    x = blocks.join(r, PAGE, "left")
+    mine = F.concat_ws("/", "page_id", "block_type", "block_id")
+    written = F.filter("answer", lambda a: F.regexp_replace(strip(a.id), "^/+", "") == F.concat(F.lit("page/"), mine))
+    html = F.coalesce(F.get(F.reverse(written), F.lit(0))["html"], F.col("html"))
+    place = F.coalesce(F.array_position("ids", mine).cast("int") - 1, F.col("block_id"))
+    return x.select(*PAGE, "block_id", place.alias("place"), html.alias("html"), F.coalesce(F.col("kind") == "reorder_first", F.lit(False)).alias("again"))
 
 
 def split_pages_md(docs: DataFrame) -> DataFrame:
@@ -114,8 +209,6 @@ def call_service(requests: DataFrame, fn: Callable[[str], dict], retries: int =
     A function that raises ConnectionError (a rate limit) is tried again after wait, 2 * wait ...; any other error,
     or too many tries, gives {} and no tokens. The function loads what it needs once per task.
     """
-    import json
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
@@ -136,11 +229,13 @@ def call_service(requests: DataFrame, fn: Callable[[str], dict], retries: int =
     return requests.select("req_id", "prompt").repartition(concurrency).mapInPandas(run, "req_id string, body string, tokens long")
 
 
-def predict_pages(pages: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """A batched model slot: the user's function on Arrow batches of pages."""
+def predict_pages(pages: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, batch_size: int | None = None) -> DataFrame:
+    """A batched model slot: the user's function on at most batch_size pages at once; without it on whole Arrow batches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield fn(b)
+            step = batch_size or max(1, len(b))
+            for at in range(0, len(b), step):
+                yield fn(b.iloc[at : at + step])
 
     return pages.mapInPandas(run, schema)

@@ -18,30 +18,120 @@ def _blocks(spark, d):
     return fixture(spark, d, "fx_btext").withColumn("html", F.concat(F.lit("<p>"), "text", F.lit("</p>")))
 
 
-@query("build_requests", oracle("fx_btext", "SELECT 'form/'||doc_id||'/'||page_id||'/'||block_id AS req_id, 'form' AS processor, doc_id, page_id, block_id, 'Fix: <p>'||text||'</p> from '||text AS prompt FROM fx_btext"))
+# Kind of each block's request in the queries, and the template of the kind.
+KIND = "CASE (block_id + page_id) % 6 WHEN 0 THEN 'form' WHEN 1 THEN 'math' WHEN 2 THEN 'complex' WHEN 3 THEN 'handwriting' WHEN 4 THEN 'equation' ELSE 'image_description' END"
+TEMPLATES = {
+    "form": "Fix: {block_html}",
+    "table": "Table {block_html}, again {block_html}",
+    "complex": "Region {extracted_text}",
+    "image_description": "Describe {raw_text}.",
+    "equation": "Formula {equation}",
+    "handwriting": "Read it.",
+    "math": "Mark up {extracted_html}",
+    "table_merge": "{{table1}} and {{table2}}",
+}
+KINDS = list(TEMPLATES)
+OLD = "'<p>'||text||'</p>' AS html, text||' *' AS formatted"
+
+
+@query(
+    "build_requests",
+    oracle(
+        "fx_btext",
+        f""", b AS (SELECT *, {OLD}, '<t>'||n_lines||'</t>' AS before_html FROM fx_btext),
+        k AS (SELECT *, unnest(['form','table','complex','image_description','equation','handwriting','math','table_merge']) AS processor FROM b)
+        SELECT processor||'/'||doc_id||'/'||page_id||'/'||block_id AS req_id, processor, doc_id, page_id, block_id,
+            CASE processor WHEN 'form' THEN 'Fix: '||html WHEN 'table' THEN 'Table '||html||', again '||html
+                WHEN 'complex' THEN 'Region '||text WHEN 'image_description' THEN 'Describe '||text||'.'
+                WHEN 'equation' THEN 'Formula '||CASE WHEN block_id%2=0 THEN html ELSE text END WHEN 'handwriting' THEN 'Read it.'
+                WHEN 'math' THEN 'Mark up '||formatted ELSE before_html||' and '||html END AS prompt FROM k""",
+    ),
+)
 def build_requests(spark, d):
-    return op.build_requests(_blocks(spark, d), "form", "Fix: {block_html} from {block_text}")
-
-
-@query("header_requests", oracle("fx_btext", "SELECT doc_id, '['||string_agg('{\"page_id\":'||page_id||',\"block_id\":'||block_id||',\"bbox\":['||floor(x0*1000/612)::BIGINT||','||floor(y0*1000/792)::BIGINT||','||floor(x1*1000/612)::BIGINT||','||floor(y1*1000/792)::BIGINT||']}', ',' ORDER BY page_id, block_id)||']' AS prompt FROM fx_btext WHERE block_type='SectionHeader' GROUP BY doc_id"))
+    """All kinds for each block; blocks with odd numbers have no html of their own when an equation is asked for."""
+    b = _blocks(spark, d).withColumn("formatted", F.concat("text", F.lit(" *"))).withColumn("before_html", F.concat(F.lit("<t>"), F.col("n_lines").cast("string"), F.lit("</t>")))
+    bare = b.withColumn("html", F.when(F.col("block_id") % 2 == 0, F.col("html")).otherwise(""))
+    parts = [op.build_requests(bare if k == "equation" else b, k, t) for k, t in TEMPLATES.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+# A coordinate in thousandths, as its whole part: JSON numbers are written differently by the two engines.
+BOX = "x0/612*1000 AS b0, y0/792*1000 AS b1, x1/612*1000 AS b2, y1/792*1000 AS b3"
+JSON_BOX = "struct<id:string,block_type:string,html:string,page:string,width:double,height:double,bbox:array<double>>"
+
+
+def _listed(df, key):
+    """The JSON of requests as rows, numbers rounded."""
+    rows = F.from_json("prompt", f"array<{JSON_BOX}>")
+    x = df.select(*key, F.posexplode(rows).alias("n", "r")).select(*key, "n", "r.*")
+    return x.select("*", *[F.round(F.get("bbox", F.lit(i)), 4).alias(f"b{i}") for i in range(4)]).drop("bbox")
+
+
+@query(
+    "header_requests",
+    oracle(
+        "fx_btext",
+        f"""SELECT doc_id, n, id, html, page, round(b2-b0,4) AS width, round(b3-b1,4) AS height, round(b0,4) AS b0, round(b1,4) AS b1, round(b2,4) AS b2, round(b3,4) AS b3
+        FROM (SELECT *, {BOX}, '<p>'||text||'</p>' AS html, page_id::VARCHAR AS page, '/page/'||page_id||'/SectionHeader/'||block_id AS id,
+            (row_number() OVER (PARTITION BY doc_id ORDER BY page_id, block_id)-1)::INT AS n FROM fx_btext WHERE block_type='SectionHeader')""",
+    ),
+)
 def header_requests(spark, d):
-    return op.header_requests(_blocks(spark, d).where("block_type = 'SectionHeader'"), fixture(spark, d, "fx_pages"))
-
-
-@query("page_requests", oracle("fx_btext", "SELECT doc_id, page_id, 'Reorder.'||chr(10)||'['||string_agg('{\"block_id\":'||block_id||',\"block_type\":\"'||block_type||'\"}', ',' ORDER BY block_id)||']' AS prompt FROM fx_btext GROUP BY ALL"))
+    x = op.header_requests(_blocks(spark, d).where("block_type = 'SectionHeader'"), fixture(spark, d, "fx_pages"))
+    x = _listed(x, ["doc_id"]).drop("block_type")
+    return x.withColumn("width", F.round("width", 4)).withColumn("height", F.round("height", 4))
+
+
+@query(
+    "page_requests",
+    oracle(
+        "fx_btext",
+        f"""SELECT doc_id, page_id, n, id, block_type, html, 'Reorder. ["b", "i"]' AS words, round(b0,4) AS b0, round(b1,4) AS b1, round(b2,4) AS b2, round(b3,4) AS b3
+        FROM (SELECT *, {BOX}, '<p>'||text||'</p>' AS html, '/page/'||page_id||'/'||block_type||'/'||block_id AS id,
+            (row_number() OVER (PARTITION BY doc_id, page_id ORDER BY block_id)-1)::INT AS n FROM fx_btext)""",
+    ),
+)
 def page_requests(spark, d):
-    return op.page_requests(_blocks(spark, d), "Reorder.")
-
-
-def _corrected():
-    m = F.col("block_id") % 5
-    return F.when(m == 0, F.concat(F.lit("<p>better "), "text", F.lit("</p>"))).when(m == 1, F.lit("No corrections needed.")).when(m == 2, F.lit("x")).when(m == 3, F.concat(F.lit(" "), "html", F.lit(" ")))
-
-
-@query("accept_html", oracle("fx_btext", "SELECT doc_id, page_id, block_id, CASE block_id%5 WHEN 0 THEN '<p>better '||text||'</p>' ELSE '<p>'||text||'</p>' END AS html, CASE WHEN block_id%5=4 THEN 1 WHEN block_id%5=2 AND 1<0.33*(length(text)+7) THEN 1 ELSE 0 END AS errors FROM fx_btext"))
+    x = op.page_requests(_blocks(spark, d), fixture(spark, d, "fx_pages"), "Reorder.", "{{user_prompt}} {{format_tags}}\n{{page_json}}", ["b", "i"])
+    cut = F.instr("prompt", "\n")
+    x = x.select(*PAGE, F.substring("prompt", F.lit(1), cut - 1).alias("words"), F.substring("prompt", cut + 1, F.length("prompt")).alias("prompt"))
+    return _listed(x, [*PAGE, "words"]).drop("page", "width", "height")
+
+
+# Answers of several lengths and forms, by the number of words in a block's first line.
+ANSWER = """CASE (length(text) + block_id) % 9 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'No corrections needed.' WHEN 3 THEN 'no corrections'
+    WHEN 4 THEN concat('<math>x</math> <math>', text) WHEN 5 THEN concat('<math>', text, '</math>') WHEN 6 THEN concat('```html', text, '```')
+    WHEN 7 THEN substring(text, 1, cast(floor(length(text) * (block_id + 1) / 10) AS int)) ELSE concat(' ```markdown', text, '``` ') END"""
+
+
+@query(
+    "accept_html",
+    oracle(
+        "fx_btext",
+        f""", b AS (SELECT *, {OLD}, {KIND} AS kind, {ANSWER} AS c FROM fx_btext), s AS (SELECT *, length(c) AS n,
+            CASE kind WHEN 'form' THEN length(html) WHEN 'math' THEN length(formatted) WHEN 'equation' THEN length(html) ELSE length(text) END AS old,
+            CASE WHEN kind IN ('form','math','equation') THEN lower(c) LIKE '%no corrections needed%' WHEN kind='complex' THEN lower(c) LIKE '%no corrections%' ELSE FALSE END AS keep FROM b),
+        e AS (SELECT *, c IS NULL OR (NOT keep AND CASE kind WHEN 'form' THEN n<0.33*old WHEN 'math' THEN n=0 OR n<0.6*old WHEN 'equation' THEN
+            n=0 OR n<=0.3*old OR len(string_split(c,'<math'))<>len(string_split(c,'</math>')) WHEN 'image_description' THEN n<10 ELSE n<0.5*old END) AS failed FROM s),
+        f AS (SELECT *, CASE WHEN kind='form' THEN 'html' WHEN kind IN ('complex','handwriting') THEN 'markdown' END AS fence FROM e)
+        SELECT doc_id, page_id, block_id, failed::INT AS errors, CASE WHEN kind='image_description' AND NOT failed THEN c END AS description,
+            CASE WHEN failed OR keep OR kind='image_description' THEN html WHEN fence IS NULL THEN c
+                WHEN fence='html' THEN regexp_replace(regexp_replace(regexp_replace(regexp_replace(c,'^\\s+|\\s+$','','g'),'^```(html)?',''),'`+$',''),'^\\s+|\\s+$','','g')
+                ELSE regexp_replace(regexp_replace(regexp_replace(regexp_replace(c,'^\\s+|\\s+$','','g'),'^```(markdown)?',''),'`+$',''),'^\\s+|\\s+$','','g') END AS html FROM f""",
+    ),
+)
 def accept_html(spark, d):
-    b = _blocks(spark, d)
-    return op.accept_html(b, b.where("block_id % 5 <> 4").select(*KEY, _corrected().alias("corrected")), 0.33)
+    """Each block gets one of nine answers to a request of one of six kinds."""
+    b = _blocks(spark, d).withColumn("formatted", F.concat("text", F.lit(" *"))).withColumn("kind", F.expr(KIND)).withColumn("corrected", F.expr(ANSWER))
+    out = None
+    for kind in op.ACCEPT:
+        own = b.where(F.col("kind") == kind)
+        part = op.accept_html(own.drop("corrected"), own.where("corrected is not null").select(*KEY, "corrected"), kind)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("response_json", oracle("fx_btext", "SELECT doc_id, page_id, block_id, CASE WHEN block_id%4=3 THEN NULL ELSE 'v'||block_id END AS value FROM fx_btext"))
@@ -67,12 +157,32 @@ def accept_headers(spark, d):
     return op.accept_headers(b, b.select("doc_id").distinct().select("doc_id", body.alias("body")))
 
 
-@query("accept_page", oracle("fx_btext", "SELECT doc_id, page_id, block_id, CASE WHEN page_id%2=0 THEN (row_number() OVER (PARTITION BY doc_id, page_id ORDER BY block_id DESC)-1)::INT ELSE block_id END AS place FROM fx_btext"))
+# Answer of each page in the queries: which correction, and what is wrong with its ids.
+SORT = "CASE (doc_id + page_id) % 4 WHEN 0 THEN 'reorder' WHEN 1 THEN 'reorder_first' WHEN 2 THEN 'rewrite' ELSE 'no_corrections' END"
+
+
+@query(
+    "accept_page",
+    oracle(
+        "fx_btext",
+        f"""SELECT doc_id, page_id, block_id, '<p>'||text||'</p>' || CASE WHEN sort='rewrite' AND block_id%2=0 THEN '!' ELSE '' END AS html, sort='reorder_first' AS again,
+            CASE WHEN sort IN ('reorder','reorder_first') AND (page_id%2=0 OR n=1) THEN (row_number() OVER (PARTITION BY doc_id, page_id ORDER BY block_id DESC)-1)::INT ELSE block_id END AS place
+        FROM (SELECT *, {SORT} AS sort, count(*) OVER (PARTITION BY doc_id, page_id) AS n FROM fx_btext)""",
+    ),
+)
 def accept_page(spark, d):
+    """Ids in reverse, on odd pages without the last block; rewritten blocks end in `!`, on every other page as a text in the text."""
     b = _blocks(spark, d)
-    ids = F.reverse(F.array_sort(F.collect_list("block_id")))
-    orders = b.groupBy(*PAGE).agg(F.when(F.col("page_id") % 2 == 0, ids).otherwise(F.array(F.lit(77))).alias("ids"))
-    return op.accept_page(b, orders)
+    sort = F.expr(SORT)
+    ref = F.concat_ws("/", "page_id", "block_type", "block_id")
+    new = F.when(F.col("block_id") % 2 == 0, F.concat("html", F.lit("!"))).otherwise(F.col("html"))
+    row = F.struct("block_id", F.struct(F.when(sort == "rewrite", F.concat(F.lit(" /page/"), ref)).otherwise(ref).alias("id"), F.when(sort == "rewrite", new).alias("html")).alias("r"))
+    page = b.groupBy(*PAGE).agg(F.reverse(F.array_sort(F.collect_list(row))).alias("rows"))
+    kept = F.when((F.col("page_id") % 2 == 1) & (F.size("rows") > 1) & (sort != "rewrite"), F.slice("rows", 2, F.size("rows"))).otherwise(F.col("rows"))
+    items = F.to_json(F.transform(kept, lambda r: r["r"]))
+    whole = F.to_json(F.struct(sort.alias("correction_type"), items.alias("blocks")))
+    body = F.when(F.col("page_id") % 2 == 0, whole).otherwise(F.concat(F.lit('{"correction_type":"'), sort, F.lit('","blocks":'), items, F.lit("}")))
+    return op.accept_page(b, page.select(*PAGE, body.alias("body")))
 
 
 PAGES = PAGED + r", sp AS (SELECT doc_id, string_split_regex(md, '\{[0-9]+\}-{48}\n\n') AS p FROM pd), pp AS (SELECT doc_id, unnest(p[2:]) AS md, (generate_subscripts(p[2:],1)-1)::INT AS page FROM sp), ch AS (SELECT doc_id, floor(page/3)::INT AS chunk, string_agg(md, chr(10)||chr(10) ORDER BY page) AS md FROM pp GROUP BY ALL) "
@@ -107,7 +217,7 @@ def extraction_result(spark, d):
 @query("call_service")
 def call_service(spark, d):
     """The echo of a service: length of each prompt."""
-    requests = op.build_requests(_blocks(spark, d), "form", "{block_text}")
+    requests = op.build_requests(_blocks(spark, d), "complex", "{extracted_text}")
     return op.call_service(requests, lambda prompt: {"length": len(prompt), "tokens": len(prompt.split())})
 
 
@@ -119,7 +229,7 @@ def predict_pages(spark, d):
     def share(b):
         return b[[*PAGE, "block_id"]].assign(share=(b["x1"] - b["x0"]) * (b["y1"] - b["y0"]) / (612.0 * 792.0))
 
-    return op.predict_pages(pages, share, "doc_id long, page_id int, block_id int, share double")
+    return op.predict_pages(pages, share, "doc_id long, page_id int, block_id int, share double", batch_size=64)
 
 
 @query("text_error_labels", oracle("fx_btext", r"SELECT doc_id, page_id, block_id, CASE WHEN length(text)=0 OR len(regexp_extract_all(text,'\s+'))/greatest(1,len(regexp_extract_all(text,'\s+'))+len(regexp_extract_all(text,'\S')))>0.7 OR len(regexp_extract_all(text,'\n+'))/greatest(1,len(regexp_extract_all(text,'\n+'))+len(regexp_extract_all(text,'[^\n]')))>0.6 OR (length(replace(replace(text,' ',''),chr(10),''))>0 AND len(regexp_extract_all(text,'[\p{L}\p{N}]'))/greatest(1,length(replace(replace(text,' ',''),chr(10),'')))<0.3) THEN 'bad' ELSE 'good' END AS label FROM fx_btext"))
