@@ -54,7 +54,13 @@ def line_nearest_block(unassigned: DataFrame, blocks: DataFrame, most: float = 2
 
 
 def missing_blocks(unassigned: DataFrame, most: float = 20.0) -> DataFrame:
-    """Remaining lines with an island number: consecutive lines whose centres are close form one new block."""
+    """Remaining lines with an island number: consecutive lines whose centres are close form one new block.
+
+    Lines of a lone newline with an area of 1 or less are left out, and the lines around them are not consecutive.
+    """
+    if "text" in unassigned.columns:
+        area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+        unassigned = unassigned.where(~((F.col("text") == "\n") & (area <= 1)) | F.col("text").isNull())
     w = Window.partitionBy(*PAGE).orderBy("line_no")
     now = Box.of()
     before = Box(*(F.lag(k).over(w) for k in ("x0", "y0", "x1", "y1")))
@@ -62,18 +68,32 @@ def missing_blocks(unassigned: DataFrame, most: float = 20.0) -> DataFrame:
     return unassigned.withColumn("_new", (~F.coalesce(follows, F.lit(False))).cast("int")).withColumn("island", F.sum("_new").over(w)).drop("_new")
 
 
-def reading_order(lines: DataFrame, tol: float = 1.25, order: str = "line_no") -> DataFrame:
+# Fixed value: lines whose y, divided by this, rounds to one number are one row.
+ROW = 1.25
+
+
+def reading_order(lines: DataFrame, tol: float = ROW, order: str = "line_no") -> DataFrame:
     """Adds `place`: by rows of equal rounded y, then x."""
     w = Window.partitionBy(*PAGE).orderBy(F.rint(F.col("y0") / tol), "x0", order)
     return lines.withColumn("place", F.row_number().over(w))
 
 
-def attach_lines(assigned: DataFrame, blocks: DataFrame, lines: DataFrame) -> DataFrame:
-    """Blocks grown over their lines: n_lines and the outer box."""
-    inside = assigned.select(*PAGE, "line_no", "block_id").join(lines.select(*PAGE, "line_no", "x0", "y0", "x1", "y1"), [*PAGE, "line_no"])
-    own = inside.groupBy(*PAGE, "block_id").agg(F.count("*").alias("n_lines"), F.min("x0").alias("lx0"), F.min("y0").alias("ly0"), F.max("x1").alias("lx1"), F.max("y1").alias("ly1"))
+def attach_lines(assigned: DataFrame, blocks: DataFrame, lines: DataFrame, pages: DataFrame) -> DataFrame:
+    """Blocks grown over their lines: n_lines, line_order, the outer box, and the page's text_extraction_method.
+
+    lines(.., method): lines of one method stand in the order of their numbers, those of several in reading order, by
+    rows of equal rounded y, then x. A block without lines keeps its box and has no order and no method.
+    """
+    inside = assigned.select(*PAGE, "line_no", "block_id").join(lines.select(*PAGE, "line_no", "method", "x0", "y0", "x1", "y1"), [*PAGE, "line_no"])
+    read = F.array_sort(F.collect_list(F.struct(F.rint(F.col("y0") / ROW).alias("row"), "x0", "line_no")))
+    one = F.size(F.collect_set("method")) <= 1
+    order = F.when(one, F.array_sort(F.collect_list("line_no"))).otherwise(F.transform(read, lambda r: r.line_no))
+    sides = [F.min("x0").alias("lx0"), F.min("y0").alias("ly0"), F.max("x1").alias("lx1"), F.max("y1").alias("ly1")]
+    own = inside.groupBy(*PAGE, "block_id").agg(F.count("*").alias("n_lines"), order.alias("line_order"), *sides)
+    own = own.join(pages.select(*PAGE, F.col("method").alias("text_extraction_method")), PAGE, "left")
     b = blocks.select(*PAGE, "block_id", "block_type", "x0", "y0", "x1", "y1").join(own, [*PAGE, "block_id"], "left")
-    return b.select(*PAGE, "block_id", "block_type", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.least("x0", "lx0").alias("x0"), F.least("y0", "ly0").alias("y0"), F.greatest("x1", "lx1").alias("x1"), F.greatest("y1", "ly1").alias("y1"))
+    box = [F.least("x0", "lx0").alias("x0"), F.least("y0", "ly0").alias("y0"), F.greatest("x1", "lx1").alias("x1"), F.greatest("y1", "ly1").alias("y1")]
+    return b.select(*PAGE, "block_id", "block_type", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), "line_order", "text_extraction_method", *box)
 
 
 def line_overlap_check(lines: DataFrame, pages: DataFrame, most: int = 2, least_area: float = 0.1, margin: float = 5.0) -> DataFrame:
@@ -137,12 +157,25 @@ def ref_to_block(refs: DataFrame, blocks: DataFrame) -> DataFrame:
     return out.select(*PAGE, F.col("a_ref").alias("ref"), F.col("b_block_id").alias("block_id"), "distance")
 
 
+# The names of block types; other labels of a layout model are unknown.
+LABELS = [
+    "Line", "Span", "Char", "FigureGroup", "TableGroup", "ListGroup", "PictureGroup", "Page", "Caption", "Code", "Figure", "Footnote", "Form", "Equation",
+    "Handwriting", "TextInlineMath", "ListItem", "PageFooter", "PageHeader", "Picture", "SectionHeader", "Table", "Text", "TableOfContents", "Document",
+    "ComplexRegion", "TableCell", "Reference",
+]
+
+
 def place_layout(boxes: DataFrame, pages: DataFrame, image: tuple = (1224.0, 1584.0)) -> DataFrame:
-    """Boxes in order of position get ids 0, 1, ...; coordinates go from image to page and are clipped to it."""
+    """Boxes in order of position get ids 0, 1, ...; coordinates go from image to page and are clipped to it.
+
+    top_k (map of label to probability) keeps the labels that are block types.
+    """
     b = boxes.join(pages.select(*PAGE, "width", "height"), PAGE)
     clip = lambda c, size, of: F.least(F.greatest(F.col(c) * F.col(size) / of, F.lit(0.0)), F.col(size))
     seq = F.row_number().over(Window.partitionBy(*PAGE).orderBy("position", "block_id")) - 1
-    return b.select(*PAGE, seq.alias("block_id"), "block_type", clip("x0", "width", image[0]).alias("x0"), clip("y0", "height", image[1]).alias("y0"), clip("x1", "width", image[0]).alias("x1"), clip("y1", "height", image[1]).alias("y1"))
+    known = F.map_filter("top_k", lambda label, p: label.isin(LABELS))
+    box = [clip("x0", "width", image[0]).alias("x0"), clip("y0", "height", image[1]).alias("y0"), clip("x1", "width", image[0]).alias("x1"), clip("y1", "height", image[1]).alias("y1")]
+    return b.select(*PAGE, seq.alias("block_id"), "block_type", known.alias("top_k"), *box)
 
 
 def forced_layout(pages: DataFrame, block_type: str) -> DataFrame:

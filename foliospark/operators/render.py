@@ -193,19 +193,95 @@ def md_document(blocks: DataFrame, paginate: bool = False, separator: str = "-"
     return out
 
 
-def render_json(blocks: DataFrame) -> DataFrame:
-    """Per document one JSON text: pages with their blocks, in order."""
-    block = F.struct(F.col("block_id"), block_ref(F.col("page_id"), F.col("block_type"), F.col("block_id")).alias("id"), F.col("block_type"), F.col("html"))
-    pages = blocks.groupBy(*PAGE).agg(F.array_sort(F.collect_list(block)).alias("children"))
-    pages = pages.withColumn("children", F.transform("children", lambda b: F.struct(b.id.alias("id"), b.block_type.alias("block_type"), b.html.alias("html"))))
-    page = F.struct("page_id", F.concat(F.lit("/page/"), F.col("page_id").cast("string")).alias("id"), "children")
-    docs = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("page_id").alias("k"), page.alias("page")))).alias("pages"))
-    return docs.select("doc_id", F.to_json(F.transform("pages", lambda p: F.struct(p.page.id.alias("id"), p.page.children.alias("children")))).alias("json"))
+def corners(x0: str = "x0", y0: str = "y0", x1: str = "x1", y1: str = "y1") -> Column:
+    """The polygon of a box, clockwise from its upper left."""
+    return F.array(F.array(x0, y0), F.array(x1, y0), F.array(x1, y1), F.array(x0, y1))
 
 
-def render_chunks(blocks: DataFrame) -> DataFrame:
-    """One row for each top-level block: id, type, html, page, box, headings above, names of its images."""
+def content_refs(ids: Column) -> Column:
+    """Markup that stands for children, in their order."""
+    return F.array_join(F.transform(ids, lambda i: F.concat(F.lit("<content-ref src='"), i, F.lit("'></content-ref>"))), "")
+
+
+def json_nodes(blocks: DataFrame) -> DataFrame:
+    """One row for each top-level block: (doc_id, page_id, place, node, children).
+
+    blocks(doc_id, page_id, block_id, block_type, html, x0, y0, x1, y1) and, where there, parent_id (the block of the
+    same page that holds this one), place (default block_id), image (text of the picture) and section_hierarchy
+    (map<string, string>). A block and its children are one group of a single shuffle. A child whose parent is not in
+    the table stands for it. The html of a block with children is its own, or references to them where it is null.
+    """
+    has = lambda c, kind: F.col(c) if c in blocks.columns else F.lit(None).cast(kind)
     ref = block_ref(F.col("page_id"), F.col("block_type"), F.col("block_id"))
-    images = F.when(F.col("block_type").isin(IMAGES), F.concat(F.replace(ref, F.lit("/"), F.lit("_")), F.lit(".jpeg"))).otherwise("")
-    bbox = F.concat_ws(",", *[F.format_number(k, 2) for k in ("x0", "y0", "x1", "y1")])
-    return blocks.select("doc_id", ref.alias("id"), "block_type", "html", F.col("page_id").alias("page"), bbox.alias("bbox"), "hierarchy", images.alias("images"))
+    picture = has("image", "string")
+    empty = F.create_map().cast("map<string,string>")
+    images = F.when(F.col("block_type").isin(IMAGES) & picture.isNotNull(), F.create_map(ref, picture)).otherwise(empty)
+    leaf = F.struct(
+        ref.alias("id"),
+        "block_type",
+        "html",
+        corners().alias("polygon"),
+        F.array("x0", "y0", "x1", "y1").alias("bbox"),
+        F.coalesce(has("section_hierarchy", "map<string,string>"), empty).alias("section_hierarchy"),
+        images.alias("images"),
+    )
+    # Maps have no order, so rows are ordered by numbers that differ within a page before the struct is met.
+    parent = has("parent_id", "int")
+    rows = blocks.select(*PAGE, F.coalesce(parent, F.col("block_id")).alias("head"), parent.isNotNull().alias("inner"), F.coalesce(has("place", "int"), F.col("block_id")).alias("place"), "block_id", leaf.alias("leaf"))
+    by = lambda x, y: F.when((x.inner == y.inner) & (x.place == y.place), F.when(x.block_id < y.block_id, -1).when(x.block_id > y.block_id, 1).otherwise(0)).when((x.inner < y.inner) | ((x.inner == y.inner) & (x.place < y.place)), -1).otherwise(1)
+    g = rows.groupBy(*PAGE, "head").agg(F.array_sort(F.collect_list(F.struct("inner", "place", "block_id", "leaf")), by).alias("r"))
+    g = g.withColumn("node", F.col("r")[0]["leaf"]).withColumn("children", F.transform(F.slice("r", 2, F.size("r")), lambda x: x.leaf))
+    html = F.when(F.size("children") > 0, F.coalesce("node.html", content_refs(F.col("children.id")))).otherwise(F.coalesce("node.html", F.lit("")))
+    return g.select(*PAGE, F.col("r")[0]["place"].alias("place"), "head", F.col("node").withField("html", html).alias("node"), "children")
+
+
+def render_json(blocks: DataFrame, pages: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
+    """(doc_id, json): each document as a tree of pages, blocks and the blocks inside them.
+
+    Leaves have html, polygon, bbox, section_hierarchy and images; pages and blocks with children have children and
+    html that refers to them. metadata(doc_id, metadata) is any struct and stands beside the tree. Pages without
+    blocks have no children. A document's tree is one value.
+    """
+    n = F.col("node")
+    common = [n.id.alias("id"), n.block_type.alias("block_type"), n.html.alias("html"), n.polygon.alias("polygon"), n.bbox.alias("bbox")]
+    inner = F.size("children") > 0
+    node = F.struct(*common, F.when(inner, F.col("children")).alias("children"), n.section_hierarchy.alias("section_hierarchy"), F.when(~inner, n.images).alias("images"))
+    tops = json_nodes(blocks).groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("place", "head", F.struct(n.id.alias("id"), F.to_json(node).alias("json")).alias("b")))).alias("b"))
+    x = pages.select(*PAGE, "width", "height").join(tops, PAGE, "left")
+    ref = F.concat(F.lit("/page/"), F.col("page_id").cast("string"))
+    items = F.coalesce(F.transform("b", lambda b: b.b), F.array())
+    zero = F.lit(0.0)
+    x = x.withColumn("_zero", zero)
+    head = F.to_json(F.struct(ref.alias("id"), F.lit("Page").alias("block_type"), content_refs(F.transform(items, lambda i: i["id"])).alias("html"), corners("_zero", "_zero", "width", "height").alias("polygon"), F.array("_zero", "_zero", "width", "height").alias("bbox")))
+    page = F.concat(F.expr("substring(head, 1, length(head) - 1)"), F.lit(',"children":['), F.array_join(F.transform(items, lambda i: i["json"]), ","), F.lit("]}"))
+    docs = x.withColumn("head", head).withColumn("page", page).groupBy("doc_id").agg(joined(F.col("page"), ",", "page_id").alias("body"))
+    meta = F.lit("{}")
+    if metadata is not None:
+        docs = docs.join(metadata.select("doc_id", F.to_json("metadata").alias("meta")), "doc_id", "left")
+        meta = F.coalesce("meta", meta)
+    return docs.select("doc_id", F.concat(F.lit('{"children":['), "body", F.lit('],"block_type":"Document","metadata":'), meta, F.lit("}")).alias("json"))
+
+
+def unescaped(html: Column) -> Column:
+    for entity, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&amp;", "&")):
+        html = F.replace(html, F.lit(entity), F.lit(mark))
+    return html
+
+
+def render_chunks(blocks: DataFrame) -> DataFrame:
+    """One row for each top-level block: id, type, html with its children's in it, page, polygon, bbox, headings above, images.
+
+    Columns as in json_nodes. Pictures get an image tag with their id; images of children are the block's own.
+    """
+    image = lambda b: F.when(b.block_type.isin(IMAGES), F.concat(F.lit("<p>"), F.coalesce(b.html, F.lit("")), F.lit("<img src='"), b.id, F.lit("'></p>"))).otherwise(F.coalesce(b.html, F.lit("")))
+    n, c = F.col("node"), F.col("children")
+    placed = F.aggregate(c, n.html, lambda acc, b: F.replace(acc, content_refs(F.array(b.id)), image(b)))
+    html = F.when(F.size(c) > 0, unescaped(placed)).otherwise(image(n))
+    images = F.aggregate(c, n.images, lambda acc, b: F.map_concat(acc, b.images))
+    return json_nodes(blocks).select("doc_id", n.id.alias("id"), n.block_type.alias("block_type"), html.alias("html"), F.col("page_id").alias("page"), n.polygon.alias("polygon"), n.bbox.alias("bbox"), n.section_hierarchy.alias("section_hierarchy"), images.alias("images"))
+
+
+def page_info(pages: DataFrame) -> DataFrame:
+    """(doc_id, page, bbox, polygon) of each page, beside the chunks."""
+    x = pages.select("doc_id", F.col("page_id").alias("page"), F.lit(0.0).alias("zero"), "width", "height")
+    return x.select("doc_id", "page", F.array("zero", "zero", "width", "height").alias("bbox"), corners("zero", "zero", "width", "height").alias("polygon"))

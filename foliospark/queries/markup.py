@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import markup as op, quality as q
 from ..operators.aggregates import joined
+from ..operators.render import escaped
 from ..sources.fixtures import fixture, oracle
 from .registry import query
+from .render import ESC, POLY
 
 PAGE = ["doc_id", "page_id"]
 
@@ -197,7 +199,25 @@ def result_envelope(spark, d):
     return op.result_envelope(out, images)
 
 
-@query("render_ocr_json", oracle("fx_lines fx_boxes", ", e AS (SELECT doc_id, page_id, block_id, y0 FROM fx_boxes WHERE block_type='Equation'), u AS (SELECT doc_id, page_id, y0, 'Line' AS t, line_no AS id FROM fx_lines l WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.doc_id=l.doc_id AND e.page_id=l.page_id AND e.block_id=l.block_no) UNION ALL SELECT doc_id, page_id, y0, 'Equation', block_id FROM e) SELECT doc_id, page_id, '['||string_agg('{\"type\":\"'||t||'\",\"id\":'||id||'}', ',' ORDER BY y0, t, id)||']' AS children FROM u GROUP BY doc_id, page_id"))
+@query(
+    "render_ocr_json",
+    oracle(
+        "fx_lines fx_boxes fx_pages",
+        f""", e AS (SELECT *, '<math>'||block_id||'</math>' AS html FROM fx_boxes WHERE block_type='Equation' AND doc_id%5<>0),
+        c AS (SELECT *, unnest(range(1, least(3,length(text))::BIGINT+1)) AS k FROM fx_lines),
+        cj AS (SELECT doc_id, page_id, line_no, string_agg('{{"id":"/page/'||page_id||'/Char/'||(line_no*3+k)||'","block_type":"Char","text":'||to_json(substring(text,k,1))||',"polygon":'||{POLY('x0+5.0*k', 'y0', 'x0+5.0*k+5', 'y1')}||'}}', ',' ORDER BY k) AS cs FROM c GROUP BY ALL),
+        u AS (SELECT doc_id, page_id, 0 AS s, line_no AS n, '{{"id":"/page/'||page_id||'/Line/'||line_no||'","block_type":"Line","html":'||to_json({ESC('text')})||',"polygon":'||{POLY('x0', 'y0', 'x1', 'y1')}||',"children":['||coalesce(cs,'')||']}}' AS j
+            FROM fx_lines l LEFT JOIN cj USING (doc_id, page_id, line_no) WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.doc_id=l.doc_id AND e.page_id=l.page_id AND e.block_id=l.block_no)
+            UNION ALL SELECT doc_id, page_id, 1, block_id, '{{"id":"/page/'||page_id||'/Equation/'||block_id||'","block_type":"Equation","html":'||to_json(html)||',"polygon":'||{POLY('x0', 'y0', 'x1', 'y1')}||'}}' FROM e)
+        SELECT doc_id, page_id, '{{"id":"/page/'||page_id||'","block_type":"Page","polygon":'||{POLY('0.0', '0.0', '612.0', '792.0')}||',"children":['||coalesce(string_agg(j, ',' ORDER BY s, n),'')||']}}' AS json
+            FROM fx_pages LEFT JOIN u USING (doc_id, page_id) GROUP BY doc_id, page_id""",
+    ),
+)
 def render_ocr_json(spark, d):
-    lines, boxes = fx(spark, d, "lines", "boxes")
-    return op.render_ocr_json(lines, boxes.where("block_type = 'Equation'"))
+    """Equations of every fifth document are removed, so that their lines stay; the first three characters of a line are known."""
+    lines, boxes, pages = fx(spark, d, "lines", "boxes", "pages")
+    equations = boxes.where("block_type = 'Equation'").withColumn("html", F.concat(F.lit("<math>"), F.col("block_id").cast("string"), F.lit("</math>"))).withColumn("removed", F.col("doc_id") % 5 == 0)
+    k = F.explode(F.sequence(F.lit(1), F.least(F.lit(3), F.length("text"))))
+    at = F.col("x0") + 5 * F.col("k")
+    chars = lines.where("text <> ''").withColumn("k", k).select(*PAGE, "line_no", (F.col("line_no") * 3 + F.col("k")).alias("char_no"), F.substring("text", F.col("k"), F.lit(1)).alias("text"), at.alias("x0"), "y0", (at + 5).alias("x1"), "y1")
+    return op.render_ocr_json(lines.withColumn("html", escaped(F.col("text"))), equations, pages, chars)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import text as t
 from ..operators import aggregates as agg, render as op
@@ -132,9 +132,50 @@ def split_pages_md(spark, d):
     return split(markdown(spark, d, paginate=True))
 
 
-@query("render_json", oracle("fx_btext", TYPED + ", pj AS (SELECT doc_id, page_id, '{\"id\":\"/page/'||page_id||'\",\"children\":['||string_agg('{\"id\":\"/page/'||page_id||'/'||block_type||'/'||block_id||'\",\"block_type\":\"'||block_type||'\",\"html\":'||to_json(html)||'}', ',' ORDER BY block_id)||']}' AS j FROM bh GROUP BY doc_id, page_id) SELECT doc_id, '['||string_agg(j, ',' ORDER BY page_id)||']' AS json FROM pj GROUP BY doc_id"))
+# Blocks as a tree: list items of a page go into one group of number 100, which stands where the first of them stood;
+# block 2 is a figure with a picture; headings are above what follows on their page.
+POLY = lambda x0, y0, x1, y1: f"printf('[[%.1f,%.1f],[%.1f,%.1f],[%.1f,%.1f],[%.1f,%.1f]],\"bbox\":[%.1f,%.1f,%.1f,%.1f]', {x0},{y0}, {x1},{y0}, {x1},{y1}, {x0},{y1}, {x0},{y0},{x1},{y1})"
+TREE = (
+    TYPED
+    + f""", tr AS (SELECT doc_id, page_id, block_id, CASE WHEN block_id=2 THEN 'Figure' ELSE block_type END AS block_type, html, x0, y0, x1, y1, block_id AS place,
+        CASE WHEN block_type='ListItem' THEN 100 END AS parent_id, bool_or(block_type='SectionHeader') OVER (PARTITION BY doc_id, page_id) AND block_id>0 AS below FROM bh),
+    al AS (SELECT * FROM tr UNION ALL SELECT doc_id, page_id, 100, 'ListGroup', NULL, min(x0), min(y0), max(x1), max(y1), min(place), NULL, FALSE FROM tr WHERE parent_id IS NOT NULL GROUP BY doc_id, page_id),
+    nd AS (SELECT *, '/page/'||page_id||'/'||block_type||'/'||block_id AS id, {POLY('x0', 'y0', 'x1', 'y1')} AS boxes,
+        CASE WHEN below THEN '{{"1":"/page/'||page_id||'/SectionHeader/0"}}' ELSE '{{}}' END AS hier FROM al),
+    lf AS (SELECT *, '{{"id":"'||id||'","block_type":"'||block_type||'","html":'||to_json(html)||',"polygon":'||boxes||',"section_hierarchy":'||hier||',"images":'||CASE WHEN block_type='Figure' THEN '{{"'||id||'":"QQ=="}}' ELSE '{{}}' END||'}}' AS leaf,
+        CASE WHEN block_type='Figure' THEN '<p>'||html||'<img src='''||id||'''></p>' ELSE html END AS whole FROM nd),
+    kd AS (SELECT doc_id, page_id, string_agg('<content-ref src='''||id||'''></content-ref>', '' ORDER BY block_id) AS refs, string_agg(leaf, ',' ORDER BY block_id) AS kids, string_agg(whole, '' ORDER BY block_id) AS inside
+        FROM lf WHERE parent_id=100 GROUP BY ALL),
+    tp AS (SELECT lf.*, inside, CASE WHEN block_id=100 THEN '{{"id":"'||id||'","block_type":"ListGroup","html":'||to_json(refs)||',"polygon":'||boxes||',"children":['||kids||'],"section_hierarchy":{{}}}}' ELSE leaf END AS node
+        FROM lf LEFT JOIN kd ON kd.doc_id=lf.doc_id AND kd.page_id=lf.page_id AND lf.block_id=100 WHERE parent_id IS NULL) """
+)
+
+
+def _tree(spark, d):
+    x = _typed(spark, d)
+    item = F.col("block_type") == "ListItem"
+    page = Window.partitionBy(*PAGE)
+    below = (F.max((F.col("block_type") == "SectionHeader").cast("int")).over(page) == 1) & (F.col("block_id") > 0)
+    above = F.when(below, F.create_map(F.lit("1"), F.concat(F.lit("/page/"), F.col("page_id").cast("string"), F.lit("/SectionHeader/0"))))
+    x = x.select(*KEY, F.when(F.col("block_id") == 2, "Figure").otherwise(F.col("block_type")).alias("block_type"), "html", "x0", "y0", "x1", "y1", F.col("block_id").alias("place"), F.when(item, 100).alias("parent_id"), above.alias("section_hierarchy"), F.when(F.col("block_id") == 2, "QQ==").alias("image"))
+    sides = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.min("place").alias("place")]
+    groups = x.where("parent_id is not null").groupBy(*PAGE).agg(*sides).withColumn("block_id", F.lit(100)).withColumn("block_type", F.lit("ListGroup"))
+    return x.unionByName(groups, allowMissingColumns=True)
+
+
+@query(
+    "render_json",
+    oracle(
+        "fx_btext",
+        TREE
+        + f""", pj AS (SELECT doc_id, page_id, '{{"id":"/page/'||page_id||'","block_type":"Page","html":'||to_json(string_agg('<content-ref src='''||id||'''></content-ref>', '' ORDER BY place, block_id))||',"polygon":'||{POLY("0.0", "0.0", "612.0", "792.0")}||',"children":['||string_agg(node, ',' ORDER BY place, block_id)||']}}' AS j FROM tp GROUP BY doc_id, page_id)
+        SELECT doc_id, '{{"children":['||string_agg(j, ',' ORDER BY page_id)||'],"block_type":"Document","metadata":{{"pages":'||count(*)||'}}}}' AS json FROM pj GROUP BY doc_id""",
+    ),
+)
 def render_json(spark, d):
-    return op.render_json(_typed(spark, d))
+    pages = fixture(spark, d, "fx_pages")
+    metadata = pages.groupBy("doc_id").agg(F.struct(F.count("*").alias("pages")).alias("metadata"))
+    return op.render_json(_tree(spark, d), pages, metadata)
 
 
 @query("block_dump", oracle("fx_btext", "SELECT doc_id, page_id, '['||string_agg('{\"block_id\":'||block_id||',\"block_type\":\"'||block_type||'\",\"n_lines\":'||n_lines||'}', ',' ORDER BY block_id)||']' AS blocks FROM fx_btext GROUP BY ALL"))
@@ -143,9 +184,21 @@ def block_dump(spark, d):
     return fixture(spark, d, "fx_btext").groupBy(*PAGE).agg(F.to_json(F.array_sort(F.collect_list(F.struct("block_id", "block_type", "n_lines")))).alias("blocks"))
 
 
-@query("render_chunks", oracle("fx_btext", TYPED + "SELECT doc_id, '/page/'||page_id||'/'||block_type||'/'||block_id AS id, block_type, html, page_id AS page, printf('%.2f,%.2f,%.2f,%.2f',x0,y0,x1,y1) AS bbox, '' AS hierarchy, '' AS images FROM bh"))
+@query(
+    "render_chunks",
+    oracle(
+        "fx_btext",
+        TREE
+        + """SELECT doc_id, id, block_type, CASE WHEN block_id<>100 THEN whole ELSE replace(replace(replace(replace(replace(inside,'&lt;','<'),'&gt;','>'),'&quot;','"'),'&#x27;',chr(39)),'&amp;','&') END AS html,
+        page_id AS page, '{"polygon":'||boxes||'}' AS boxes, hier AS hierarchy, CASE WHEN block_type='Figure' THEN '{"'||id||'":"QQ=="}' ELSE '{}' END AS images, '[0.0,0.0,612.0,792.0]' AS page_bbox FROM tp""",
+    ),
+)
 def render_chunks(spark, d):
-    return op.render_chunks(_typed(spark, d).withColumn("hierarchy", F.lit("")))
+    """Chunks with the boxes of their pages; nested columns as JSON."""
+    x = op.render_chunks(_tree(spark, d))
+    info = op.page_info(fixture(spark, d, "fx_pages")).select("doc_id", "page", F.to_json("bbox").alias("page_bbox"))
+    x = x.select("doc_id", "id", "block_type", "html", "page", F.to_json(F.struct("polygon", "bbox")).alias("boxes"), F.to_json("section_hierarchy").alias("hierarchy"), F.to_json("images").alias("images"))
+    return x.join(info, ["doc_id", "page"])
 
 
 @query("collect_images", oracle("fx_btext", "SELECT doc_id, page_id, string_agg('_page_'||page_id||'_Figure_'||block_id||'.jpeg', ',' ORDER BY block_id) AS images FROM fx_btext WHERE block_id%4=2 GROUP BY ALL"))
