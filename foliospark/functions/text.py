@@ -131,9 +131,25 @@ def md_cleanup(text: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"(\n\s){3,}", "\n\n"))
 
 
+# Fixed value: elements whose text keeps its marks. Text in pre keeps its white space too.
+VERBATIM = ["pre", "code", "kbd", "samp", "math"]
+
+
 def md_escape(text: Column) -> Column:
-    """Underscore, star and dollar escaped, white space collapsed: for text outside code and math."""
-    return F.regexp_replace(F.regexp_replace(text, r"([_*$])", r"\\$1"), r"\s+", " ")
+    """Underscore, star and dollar escaped outside verbatim elements and tags; white space collapsed outside pre.
+
+    An element that is not closed, or one inside another of its own kind, ends at the first end tag or not at all.
+    """
+    whole = "|".join(rf"<{tag}\b[^>]*>.*?</{tag}>" for tag in VERBATIM)
+    tokens = F.regexp_extract_all(text, F.lit(rf"(?is)({whole}|<[a-z/][^>]*>|[^<]+|<)"), F.lit(1))
+
+    def one(token: Column) -> Column:
+        thin = F.regexp_replace(token, r"\s+", " ")
+        verbatim = F.regexp_like(token, F.lit(r"(?i)^<[a-z/]"))
+        return F.when(F.regexp_like(token, F.lit(r"(?i)^<pre\b")), token).when(verbatim, thin).otherwise(F.regexp_replace(thin, r"([_*$])", r"\\$1"))
+
+    plain = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"([_*$])", r"\\$1")
+    return F.when(F.contains(text, F.lit("<")), F.array_join(F.transform(tokens, one), "")).otherwise(plain)
 
 
 def unwrap_outer_p(html: Column) -> Column:

@@ -81,7 +81,16 @@ _block_query("md_paragraph", lambda x: [t.md_paragraph(F.concat(x, F.when(F.col(
 _block_query("md_heading", lambda x: [t.md_heading(x, F.col("block_id") % 4 + 1).alias("md")], "chr(10)||chr(10)||repeat('#',block_id%4+1)||' '||text||chr(10)||chr(10) AS md")
 _block_query("md_list", lambda x: [t.md_list(x, F.col("block_id") % 3).alias("md")], "repeat('  ',block_id%3)||'- '||text||chr(10) AS md")
 _block_query("md_math", lambda x: [t.md_math(x, F.when(F.col("block_id") % 2 == 0, "block").otherwise("inline")).alias("md")], "CASE WHEN block_id%2=0 THEN chr(10)||'$$'||text||'$$'||chr(10) ELSE ' $'||text||'$ ' END AS md")
-_block_query("md_escape", lambda x: [t.md_escape(F.concat(x, F.lit(" a_b*c$d\n e"))).alias("md")], r"regexp_replace(regexp_replace(text || ' a_b*c$d' || chr(10) || ' e', '([_*$])', '\\\1', 'g'), '\s+', ' ', 'g') AS md")
+# A text with marks outside and inside of every kind of verbatim element, and a lone angle bracket.
+MARKED = "concat(text, ' a_b*c$d', chr(10), ' e <code>x_y  z</code> 1 < 2_3 <pre>p_q', chr(10), chr(10), 'r</pre><b>u_v</b> <math>k_1', chr(10), '</math> $', text)"
+_block_query(
+    "md_escape",
+    lambda x: [t.md_escape(F.expr(MARKED)).alias("md")],
+    r"""array_to_string(list_transform(regexp_extract_all("""
+    + MARKED
+    + r""", '(?is)(<pre>.*?</pre>|<code>.*?</code>|<math>.*?</math>|<[a-z/][^>]*>|[^<]+|<)'), lambda k: CASE WHEN k LIKE '<pre>%' THEN k
+        WHEN regexp_matches(k, '^<[a-z/]') THEN regexp_replace(k,'\s+',' ','g') ELSE regexp_replace(regexp_replace(k,'\s+',' ','g'),'([_*$])','\\\1','g') END), '') AS md""",
+)
 _block_query("md_cleanup", lambda x: [t.md_cleanup(F.concat(F.lit("\n\n\n\n"), F.replace(x, F.lit(". "), F.lit("\n\n\n\n")), F.lit(" \n \n \n \n"))).alias("md")], rf"{TRIM(r"regexp_replace(regexp_replace(repeat(chr(10),4)||replace(text,'. ',repeat(chr(10),4))||' '||chr(10)||' '||chr(10)||' '||chr(10)||' '||chr(10), '\n{3,}', chr(10)||chr(10), 'g'), '(\n\s){3,}', chr(10)||chr(10), 'g')")} AS md")
 _block_query("unwrap_outer_p", lambda x: [t.unwrap_outer_p(F.when(F.col("block_id") % 2 == 0, F.concat(F.lit("<p class='a'>"), x, F.lit("</p>"))).otherwise(F.concat(F.lit("<p>a</p><p>"), x, F.lit("</p>")))).alias("html")], "CASE WHEN block_id%2=0 THEN text ELSE '<p>a</p><p>'||text||'</p>' END AS html")
 _block_query("unwrap_math", lambda x: [t.unwrap_math(F.when(F.col("block_id") % 2 == 0, F.concat(F.lit("<math display='inline'>\\\\ \\text{a} 5\\% "), F.regexp_replace(x, r"[\^_\\{}]", ""), F.lit("</math>"))).otherwise(F.concat(F.lit("<math>x^2 "), x, F.lit("</math>")))).alias("text")], rf"CASE WHEN block_id%2=0 THEN {TRIM(r"'a 5% '||regexp_replace(text,'[\^_\\{}]','','g')")} ELSE '<math>x^2 '||text||'</math>' END AS text")
