@@ -1,9 +1,11 @@
 """Hand-computed rows for the edges: ties, empty texts, zero area, odd spaces, plans."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from foliospark.functions import geometry as g, text as t
-from foliospark.operators import layout, notes, processors, tables
+from foliospark.operators import layout, notes, processors, render, responses, tables
 from foliospark.queries import QUERIES
 from foliospark.sources import files
 
@@ -88,3 +90,57 @@ def test_no_cartesian_products(spark):
     for name in ("line_to_block", "line_nearest_block", "layout_coverage", "contained_in_table", "text_to_cell", "notes_attach"):
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().toString()
         assert "CartesianProduct" not in plan, name
+
+
+def test_markdown_marks(spark):
+    got = one(spark, t.md_escape(F.lit("a_b  $ <pre>p_q\n\n r</pre> <i class='x_y'>1*2</i> <code>c_d  e</code> 3 < 4_5 <math>k_1")).alias("x")).x
+    assert got == "a\\_b \\$ <pre>p_q\n\n r</pre> <i class='x_y'>1\\*2</i> <code>c_d e</code> 3 < 4\\_5 <math>k\\_1"
+
+
+def test_answers_by_kind(spark):
+    """One block with 20 characters of text and an answer of each kind at the edge of its rule."""
+    block = spark.createDataFrame([(1, 0, 0, "<p>" + "x" * 13 + "</p>", "y" * 20, "y" * 20)], "doc_id int, page_id int, block_id int, html string, text string, formatted string")
+
+    def answer(kind, corrected):
+        r = spark.createDataFrame([(1, 0, 0, corrected)], "doc_id int, page_id int, block_id int, corrected string")
+        row = responses.accept_html(block, r, kind).first()
+        return row.errors, row.html if row.html != block.first().html else None, row.description
+
+    assert answer("form", None) == (1, None, None)
+    assert answer("form", "a" * 6) == (1, None, None) and answer("form", "a" * 7) == (0, "a" * 7, None)
+    assert answer("form", "```html\n<p>new text</p>\n```") == (0, "<p>new text</p>", None)
+    assert answer("complex", "No corrections") == (0, None, None) and answer("form", "No corrections") == (0, "No corrections", None)
+    assert answer("math", "") == (1, None, None) and answer("math", "a" * 12) == (0, "a" * 12, None)
+    assert answer("handwriting", "no corrections needed") == (0, "no corrections needed", None)
+    assert answer("equation", "a" * 6) == (1, None, None) and answer("equation", "a" * 7) == (0, "a" * 7, None)
+    assert answer("equation", "<math>a</math><math>") == (1, None, None)
+    assert answer("image_description", "a" * 9) == (1, None, None) and answer("image_description", "a" * 10) == (0, None, "a" * 10)
+
+
+def test_page_corrections(spark):
+    blocks = spark.createDataFrame([(1, p, b, "Text", "h") for p in range(5) for b in range(2)], "doc_id int, page_id int, block_id int, block_type string, html string")
+    bodies = [
+        (1, 0, '{"correction_type":"reorder_first","blocks":[{"id":"0/Text/1"},{"id":"0/Text/0"},{"id":"nonsense"}]}'),
+        (1, 1, '{"correction_type":"reorder","blocks":[{"id":"1/Text/1"},{"id":"2/Text/0"}]}'),
+        (1, 2, '{"correction_type":"rewrite","blocks":"[{\\"id\\":\\" /page/2/Text/1\\",\\"html\\":\\"n\\"},{\\"id\\":\\"/page/9/Text/1\\",\\"html\\":\\"m\\"}]"}'),
+        (1, 3, "no JSON"),
+    ]
+    out = responses.accept_page(blocks, spark.createDataFrame(bodies, "doc_id int, page_id int, body string")).orderBy("page_id", "block_id").collect()
+    assert [(r.place, r.html, r.again) for r in out[:2]] == [(1, "h", True), (0, "h", True)]
+    assert [(r.place, r.html) for r in out[2:6]] == [(0, "h"), (1, "h"), (0, "h"), (1, "n")]
+    assert [(r.place, r.html, r.again) for r in out[6:]] == [(0, "h", False), (1, "h", False)] * 2
+
+
+def test_trees_and_lines(spark):
+    schema = "doc_id int, page_id int, block_id int, block_type string, html string, x0 double, y0 double, x1 double, y1 double, parent_id int, place int"
+    rows = [(1, 0, 9, "ListGroup", None, 0.0, 0.0, 2.0, 2.0, None, 0), (1, 0, 4, "ListItem", "a &lt;", 0.0, 0.0, 2.0, 1.0, 9, 1), (1, 0, 3, "ListItem", "b", 0.0, 1.0, 2.0, 2.0, 9, 2), (1, 0, 1, "Text", "t &lt;", 0.0, 3.0, 2.0, 4.0, None, 5)]
+    blocks = spark.createDataFrame(rows, schema)
+    chunks = render.render_chunks(blocks).orderBy("id").collect()
+    assert [(c.id, c.html) for c in chunks] == [("/page/0/ListGroup/9", "a <b"), ("/page/0/Text/1", "t &lt;")]
+    pages = spark.createDataFrame([(1, 0, 10.0, 10.0), (1, 1, 10.0, 10.0)], "doc_id int, page_id int, width double, height double")
+    tree = json.loads(render.render_json(blocks, pages).first().json)
+    assert [p["id"] for p in tree["children"]] == ["/page/0", "/page/1"] and tree["children"][1]["children"] == []
+    assert [[c["id"] for c in b.get("children", [])] for b in tree["children"][0]["children"]] == [["/page/0/ListItem/4", "/page/0/ListItem/3"], []]
+
+    lines = spark.createDataFrame([(1, 0, 0, "a", 0.0, 0.0, 5.0, 5.0), (1, 0, 1, "\n", 0.0, 6.0, 0.1, 7.0), (1, 0, 2, "b", 0.0, 8.0, 5.0, 12.0), (1, 0, 3, "\n", 0.0, 9.0, 5.0, 12.0)], "doc_id int, page_id int, line_no int, text string, x0 double, y0 double, x1 double, y1 double")
+    assert [(r.line_no, r.island) for r in layout.missing_blocks(lines).orderBy("line_no").collect()] == [(0, 1), (2, 2), (3, 2)]
