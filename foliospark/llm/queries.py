@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, decontaminate, html_extract, language_id, license_scan, line_dedup, mixing, simhash, substring_dedup, token_align, toxicity
+from . import ann, decontaminate, html_extract, language_id, license_scan, line_dedup, mixing, simhash, source_audit, substring_dedup, token_align, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,5 +57,9 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.link_figures(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_simhash, op4_toxicity, op5_mixing, op6_line_dedup, op7_language_id, op8_html_extraction, op9_substring_dedup, op10_nearest_neighbours, op11_token_alignment)}
-ORACLES = {"op1_license_scan": license_scan.ORACLE, "op6_line_dedup": line_dedup.ORACLE}
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_simhash, op4_toxicity, op5_mixing, op6_line_dedup, op7_language_id, op8_html_extraction, op9_substring_dedup, op10_nearest_neighbours, op11_token_alignment, op12_source_divergence)}
+ORACLES = {"op1_license_scan": license_scan.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op12_source_divergence": source_audit.ORACLE}
