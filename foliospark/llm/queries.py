@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, decontaminate, html_extract, language_id, license_scan, line_dedup, mixing, simhash, source_audit, substring_dedup, token_align, toxicity
+from . import ann, chat_format, decontaminate, html_extract, language_id, license_scan, line_dedup, mixing, simhash, source_audit, substring_dedup, token_align, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -61,5 +61,11 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_simhash, op4_toxicity, op5_mixing, op6_line_dedup, op7_language_id, op8_html_extraction, op9_substring_dedup, op10_nearest_neighbours, op11_token_alignment, op12_source_divergence)}
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return chat_format.digests(chat_format.windows(turns.unionByName(probe)))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_simhash, op4_toxicity, op5_mixing, op6_line_dedup, op7_language_id, op8_html_extraction, op9_substring_dedup, op10_nearest_neighbours, op11_token_alignment, op12_source_divergence, op13_chat_format)}
 ORACLES = {"op1_license_scan": license_scan.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op12_source_divergence": source_audit.ORACLE}

@@ -38,18 +38,24 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def byte_tokenizer(byte_bpe: bytes):
+    """A byte-level tokenizer from the content of its file, and its tokens' ids by their bytes; special tokens are left out."""
+    import tiktoken
+
+    raw = json.loads(byte_bpe)
+    special = {t["id"] for t in raw["added_tokens"] if t["special"]}
+    byte_of = _byte_of()
+    ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in raw["model"]["vocab"].items() if i not in special}
+    return tiktoken.Encoding("own", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}), ranks
+
+
 class Pair:
     """Both tokenizers, made from the contents of their files, with each id's bytes."""
 
     def __init__(self, byte_bpe: bytes, piece_bpe: bytes):
         import sentencepiece
-        import tiktoken
 
-        raw = json.loads(byte_bpe)
-        special = {t["id"] for t in raw["added_tokens"] if t["special"]}
-        byte_of = _byte_of()
-        ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in raw["model"]["vocab"].items() if i not in special}
-        self.a = tiktoken.Encoding("a", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+        self.a, ranks = byte_tokenizer(byte_bpe)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=piece_bpe)
         self.a_bytes = [b""] * (1 + max(ranks.values()))
         for t, i in ranks.items():
@@ -168,12 +174,10 @@ class Aligned:
         return [flat[s : max(s, e - 1)] for s, e in zip(ends, ends[1:], strict=False)]
 
 
-def _files(path: str, byte_bpe: str, piece_bpe: str) -> tuple[bytes, bytes]:
-    def content(name):
-        with open(f"{path}/{name}", "rb") as f:
-            return f.read()
-
-    return content(byte_bpe), content(piece_bpe)
+def content(path: str, name: str) -> bytes:
+    """A vocabulary file, read by the driver."""
+    with open(f"{path}/{name}", "rb") as f:
+        return f.read()
 
 
 def _parts(batches: Iterator[pa.RecordBatch], files: tuple[bytes, bytes]) -> Iterator[tuple[pa.RecordBatch, Aligned]]:
@@ -199,7 +203,7 @@ def align(docs: DataFrame, path: str = VOCABULARIES, byte_bpe: str = BYTE_BPE, p
     what the tokens spell have empty arrays. Rows are kept as they are: repeated or null ids do no harm, other columns
     are left out. Very long texts are aligned whole, alone.
     """
-    files = _files(path, byte_bpe, piece_bpe)
+    files = content(path, byte_bpe), content(path, piece_bpe)
 
     def rows(batches):
         for part, al in _parts(batches, files):
@@ -283,7 +287,7 @@ def link_figures(docs: DataFrame, path: str = VOCABULARIES, byte_bpe: str = BYTE
 
     A tile holds about TILE links or one document, so that memory is bounded by the longest text.
     """
-    files, kind = _files(path, byte_bpe, piece_bpe), docs.schema["doc_id"].dataType.simpleString()
+    files, kind = (content(path, byte_bpe), content(path, piece_bpe)), docs.schema["doc_id"].dataType.simpleString()
     longs = "array<bigint>"
     tiles = stored(docs.select("doc_id", "text").mapInArrow(lambda batches: _tiles(batches, files), f"tile bigint, dictionary {longs}, totals {longs}, doc_ids array<{kind}>, n_a {longs}, n_b {longs}, n_groups {longs}, sha array<string>, sizes {longs}, slots binary, times binary"))
     counts = stored(tiles.select(F.explode(F.arrays_zip("dictionary", "totals")).alias("x")).groupBy(F.col("x.dictionary").alias("pair")).agg(F.sum("x.totals").alias("n")))
