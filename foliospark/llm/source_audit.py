@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import ascii_lower, stored
 
-#: A run of ASCII letters and all characters beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: A term is a run of ASCII letters and all characters beyond ASCII; what stands between terms.
+TERM, BETWEEN = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Documents of its language in which a term must stand; added to each count; terms listed of each group.
 LEAST_DOCS, ADDED, LISTED = 30, 5, 50
 #: Cells (terms x sources) that one task compares at once.
@@ -26,7 +26,7 @@ SENT = 1 << 20
 
 
 def _terms(docs: DataFrame) -> DataFrame:
-    text = F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(TERM), F.lit(0))
+    text = F.array_remove(F.split(ascii_lower(F.col("text")), BETWEEN), "")
     return docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")), text.alias("terms"))
 
 
