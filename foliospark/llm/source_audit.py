@@ -1,6 +1,6 @@
 """Source divergence audit: how the sources of each language differ in their use of terms.
 
-Strings come late. Only 63-bit digests of terms are counted and shuffled, one row for each group and digest. Digests of
+Strings come late. Only 64-bit digests of terms are counted and shuffled, one row for each group and digest. Digests of
 terms that are frequent enough get their smallest and their largest string; where these differ, two terms share the
 digest, and it is split by counting its terms as strings. Texts are joined back to the rows that are given out alone.
 
@@ -31,19 +31,22 @@ def _terms(docs: DataFrame) -> DataFrame:
 
 
 def _digest(term: Column, bits: int) -> Column:
-    """An even number: the lowest bit is free."""
-    return F.shiftleft(F.xxhash64(term).bitwiseAND(F.lit((1 << bits) - 1)), 1)
+    return _cut(F.xxhash64(term), bits)
+
+
+def _cut(digest: Column, bits: int) -> Column:
+    return digest if bits == 64 else digest.bitwiseAND(F.lit((1 << bits) - 1))
 
 
 def _counted(words: DataFrame, bits: int, least: int) -> DataFrame:
     """(lang, source, d, n) of digests in at least `least` documents of their language; n occurrences.
 
-    Each occurrence is a row of the digest, each document's first one a row with the lowest bit set besides.
+    A document gives two lists, its digests and its different digests, and both are counted in one pass.
     """
-    digests = words.select("lang", "source", F.transform("terms", lambda t: _digest(t, bits)).alias("ds"))
-    rows = digests.select("lang", "source", F.explode(F.concat("ds", F.transform(F.array_distinct("ds"), lambda d: d.bitwiseOR(F.lit(1))))).alias("x"))
-    first = F.col("x").bitwiseAND(F.lit(1))
-    counts = rows.groupBy("lang", "source", F.col("x").bitwiseAND(F.lit(-2)).alias("d")).agg(F.sum(1 - first).alias("n"), F.sum(first).alias("docs"))
+    digests = words.select("lang", "source", F.transform("terms", lambda t: F.xxhash64(t)).alias("ds"))
+    lists = digests.select("lang", "source", F.posexplode(F.array("ds", F.array_distinct("ds"))).alias("first", "ds"))
+    rows = lists.select("lang", "source", "first", F.explode("ds").alias("d")).withColumn("d", _cut(F.col("d"), bits))
+    counts = rows.groupBy("lang", "source", "d").agg(F.sum(1 - F.col("first")).alias("n"), F.sum("first").alias("docs"))
     # a term has one row for each source here
     return counts.withColumn("docs", F.sum("docs").over(Window.partitionBy("lang", "d"))).where(F.col("docs") >= least).drop("docs")
 
@@ -113,7 +116,7 @@ def _pairs(counts: DataFrame, groups: DataFrame) -> DataFrame:
     return sums.where("source <> item").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
 
 
-def audit(docs: DataFrame, least: int = LEAST_DOCS, listed: int = LISTED, bits: int = 63) -> DataFrame:
+def audit(docs: DataFrame, least: int = LEAST_DOCS, listed: int = LISTED, bits: int = 64) -> DataFrame:
     """(lang, source, part, item, value, rank) over docs (text, lang, source).
 
     Part `pair`: for each source of a language every other one with the sum of the differences of their shares over the
@@ -122,7 +125,7 @@ def audit(docs: DataFrame, least: int = LEAST_DOCS, listed: int = LISTED, bits:
 
     Null text, lang and source are empty strings; each row is a document, repeated ones too; ids and other columns are
     not read. Groups without kept terms stand in the pairs, with a value of 0 if their language keeps none. Very long
-    texts count whole. An empty table gives an empty result. `bits` of the digest are 63; tests take few to make collisions.
+    texts count whole. An empty table gives an empty result. `bits` of the digest are 64; tests take few to make collisions.
     """
     words = _terms(docs)
     counts, texts = _kept(words, bits, least)
