@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html.entities
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -47,6 +48,31 @@ def escape5(text: Column) -> Column:
     return text
 
 
+def _entities() -> dict[str, str]:
+    """Names of character references as the standard library has them, and numbers that stand for Windows characters."""
+    windows = {f"#{n}": bytes([n]).decode("cp1252", "ignore") or "\ufffd" for n in range(0x80, 0xA0)}
+    return {k: v for k, v in html.entities.html5.items()} | windows
+
+
+def html_unescape(text: Column) -> Column:
+    """All named and numbered character references decoded; unknown names stay, and so do names run into a word."""
+    parts = F.split(text, r"(?=&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});?)|(?<=;)")
+    # both lists are folded into one literal
+    names = F.map_from_arrays(*(F.split(F.lit("\u0001".join(x)), "\u0001") for x in zip(*_entities().items())))
+
+    def one(p: Column) -> Column:
+        ref = F.regexp_extract(p, r"^&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31};?)", 1)
+        number = F.when(F.lower(F.substring(ref, 2, 1)) == "x", F.conv(F.substring(ref, 3, 6), 16, 10)).otherwise(F.substring(ref, 2, 7)).cast("int")
+        known = F.element_at(names, F.when(ref.startswith("#"), F.concat(F.lit("#"), number.cast("string"))).otherwise(ref))
+        bad = (number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF)
+        char = F.when(bad, "\ufffd").otherwise(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+        rest = F.substring(p, F.length(ref) + 2, F.length(p))
+        rest = F.when(ref.startswith("#"), F.regexp_replace(rest, "^;", "")).otherwise(rest)
+        return F.when(ref == "", p).when(known.isNotNull(), F.concat(known, rest)).when(ref.startswith("#"), F.concat(char, rest)).otherwise(p)
+
+    return F.when(text.contains("&"), F.array_join(F.transform(parts, one), "")).otherwise(text)
+
+
 def escape3(text: Column) -> Column:
     for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         text = F.replace(text, F.lit(char), F.lit(entity))

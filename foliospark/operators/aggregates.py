@@ -33,6 +33,29 @@ def page_stats(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     return pages.select(*PAGE, "method").join(per, PAGE, "left").select(*PAGE, "method", F.coalesce("block_counts", F.lit("")).alias("block_counts"))
 
 
+def doc_metadata(blocks: DataFrame, pages: DataFrame, toc: DataFrame) -> DataFrame:
+    """(doc_id, metadata): table_of_contents and page_stats of each document, as structs.
+
+    pages(doc_id, page_id, method); toc(doc_id, page_id, place, title, heading_level, x0, y0, x1, y1). A page's block
+    types stand by falling count, equal ones as they first stand on the page; its counters are summed over blocks'
+    llm_request_count, llm_error_count and llm_tokens_used, 0 where they are missing.
+    """
+    names = ["llm_request_count", "llm_error_count", "llm_tokens_used"]
+    counters = [F.sum(F.coalesce(F.col(c), F.lit(0)) if c in blocks.columns else F.lit(0)).cast("long").alias(c) for c in names]
+    types = blocks.groupBy(*PAGE, "block_type").agg(F.count("*").alias("n"), F.min("block_id").alias("first"), *counters)
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "first", "block_type", "n")))
+    counts = F.transform(ordered, lambda r: F.struct(r["block_type"].alias("block_type"), r["n"].alias("n")))
+    per = types.groupBy(*PAGE).agg(counts.alias("block_counts"), F.struct(*[F.sum(c).alias(c) for c in names]).alias("block_metadata"))
+    none = F.array().cast("array<struct<block_type:string,n:bigint>>")
+    zero = F.struct(*[F.lit(0).cast("long").alias(c) for c in names])
+    page = F.struct("page_id", F.col("method").alias("text_extraction_method"), F.coalesce("block_counts", none).alias("block_counts"), F.coalesce("block_metadata", zero).alias("block_metadata"))
+    stats = pages.select(*PAGE, "method").join(per, PAGE, "left").groupBy("doc_id").agg(F.array_sort(F.collect_list(page)).alias("page_stats"))
+    polygon = F.array(F.array("x0", "y0"), F.array("x1", "y0"), F.array("x1", "y1"), F.array("x0", "y1"))
+    items = toc.select("doc_id", F.struct("page_id", "place", F.struct("title", "heading_level", "page_id", polygon.alias("polygon")).alias("item")).alias("i"))
+    items = items.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list("i")), lambda i: i["item"]).alias("toc"))
+    return stats.join(items, "doc_id", "left").select("doc_id", F.struct(F.coalesce("toc", F.array()).alias("table_of_contents"), "page_stats").alias("metadata"))
+
+
 def block_type_topk(blocks: DataFrame, k: int) -> DataFrame:
     counts = blocks.groupBy("doc_id", "block_type").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "block_type"))

@@ -164,10 +164,10 @@ def heading_levels(heights: DataFrame, levels: int = 4, merge: float = 0.25, def
     return out.select(*PAGE, "block_id", "line_height", level.cast("int").alias("heading_level"))
 
 
-def toc(headers: DataFrame) -> DataFrame:
-    """(doc_id, title, level, page_id, place) of section headers in order."""
+def toc(headers: DataFrame, boxes: bool = False) -> DataFrame:
+    """(doc_id, title, level, page_id, place) of section headers in order; with boxes, x0, y0, x1, y1 as well."""
     w = Window.partitionBy("doc_id").orderBy("page_id", "block_id")
-    return headers.select("doc_id", F.regexp_replace("text", r"(?U)^\s+|\s+$", "").alias("title"), "heading_level", "page_id", F.row_number().over(w).alias("place"))
+    return headers.select("doc_id", F.regexp_replace("text", r"(?U)^\s+|\s+$", "").alias("title"), "heading_level", "page_id", F.row_number().over(w).alias("place"), *(["x0", "y0", "x1", "y1"] if boxes else []))
 
 
 def list_continuation(groups: DataFrame) -> DataFrame:

@@ -7,11 +7,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import text as t
 from ..functions.geometry import block_ref
 from .aggregates import joined
+from .trees import IMAGES, children_of, content_refs, descendants, image_html, optional, pages_in_order, resolved
 
 PAGE = ["doc_id", "page_id"]
 # Formats in order of precedence, with their tags.
 TAGS = [("italic", "i"), ("bold", "b"), ("math", "math"), ("highlight", "mark"), ("subscript", "sub"), ("superscript", "sup"), ("underline", "u"), ("small", "small"), ("code", "code")]
-IMAGES = ["Picture", "Figure"]
 
 
 def escaped(text: Column) -> Column:
@@ -198,90 +198,142 @@ def corners(x0: str = "x0", y0: str = "y0", x1: str = "x1", y1: str = "y1") -> C
     return F.array(F.array(x0, y0), F.array(x1, y0), F.array(x1, y1), F.array(x0, y1))
 
 
-def content_refs(ids: Column) -> Column:
-    """Markup that stands for children, in their order."""
-    return F.array_join(F.transform(ids, lambda i: F.concat(F.lit("<content-ref src='"), i, F.lit("'></content-ref>"))), "")
+def _tree(blocks: DataFrame) -> DataFrame:
+    """The pages of blocks in order, a leaf with all that is rendered; see render_json for the columns."""
+    ref = block_ref(F.col("page_id"), F.col("block_type"), F.col("block_id"))
+    hierarchy = F.to_json("section_hierarchy") if "section_hierarchy" in blocks.columns else F.lit(None).cast("string")
+    box = [corners().alias("polygon"), F.array("x0", "y0", "x1", "y1").alias("bbox")]
+    html, image = optional(blocks, "html", "string").alias("html"), optional(blocks, "image", "string").alias("image")
+    leaf = F.struct(ref.alias("ref"), "block_type", html, image, F.coalesce(hierarchy, F.lit("{}")).alias("hierarchy"), *box)
+    return pages_in_order(blocks, leaf)
+
+
+def _open_json(*fields: Column) -> Column:
+    """An object without its closing brace."""
+    x = F.to_json(F.struct(*fields))
+    return F.substring(x, F.lit(1), F.length(x) - 1)
+
+
+def _pictures(of: Column) -> Column:
+    """(ref, image) of a node and all below it."""
+    own = lambda n: n.leaf.block_type.isin(IMAGES) & n.leaf.image.isNotNull()
+    return F.transform(F.filter(descendants(F.col("nodes"), of), own), lambda x: F.struct(x.leaf.ref, x.leaf.image))
 
 
-def json_nodes(blocks: DataFrame) -> DataFrame:
-    """One row for each top-level block: (doc_id, page_id, place, node, children).
+def render_json(blocks: DataFrame, pages: DataFrame, metadata: DataFrame | None = None, with_metadata: bool = True) -> DataFrame:
+    """(doc_id, json): each document as a tree of pages, blocks and the blocks inside them, to any depth.
 
     blocks(doc_id, page_id, block_id, block_type, html, x0, y0, x1, y1) and, where there, parent_id (the block of the
     same page that holds this one), place (default block_id), image (text of the picture) and section_hierarchy
-    (map<string, string>). A block and its children are one group of a single shuffle. A child whose parent is not in
-    the table stands for it. The html of a block with children is its own, or references to them where it is null.
-    """
-    has = lambda c, kind: F.col(c) if c in blocks.columns else F.lit(None).cast(kind)
-    ref = block_ref(F.col("page_id"), F.col("block_type"), F.col("block_id"))
-    picture = has("image", "string")
-    empty = F.create_map().cast("map<string,string>")
-    images = F.when(F.col("block_type").isin(IMAGES) & picture.isNotNull(), F.create_map(ref, picture)).otherwise(empty)
-    leaf = F.struct(
-        ref.alias("id"),
-        "block_type",
-        "html",
-        corners().alias("polygon"),
-        F.array("x0", "y0", "x1", "y1").alias("bbox"),
-        F.coalesce(has("section_hierarchy", "map<string,string>"), empty).alias("section_hierarchy"),
-        images.alias("images"),
-    )
-    # Maps have no order, so rows are ordered by numbers that differ within a page before the struct is met.
-    parent = has("parent_id", "int")
-    rows = blocks.select(*PAGE, F.coalesce(parent, F.col("block_id")).alias("head"), parent.isNotNull().alias("inner"), F.coalesce(has("place", "int"), F.col("block_id")).alias("place"), "block_id", leaf.alias("leaf"))
-    by = lambda x, y: F.when((x.inner == y.inner) & (x.place == y.place), F.when(x.block_id < y.block_id, -1).when(x.block_id > y.block_id, 1).otherwise(0)).when((x.inner < y.inner) | ((x.inner == y.inner) & (x.place < y.place)), -1).otherwise(1)
-    g = rows.groupBy(*PAGE, "head").agg(F.array_sort(F.collect_list(F.struct("inner", "place", "block_id", "leaf")), by).alias("r"))
-    g = g.withColumn("node", F.col("r")[0]["leaf"]).withColumn("children", F.transform(F.slice("r", 2, F.size("r")), lambda x: x.leaf))
-    html = F.when(F.size("children") > 0, F.coalesce("node.html", content_refs(F.col("children.id")))).otherwise(F.coalesce("node.html", F.lit("")))
-    return g.select(*PAGE, F.col("r")[0]["place"].alias("place"), "head", F.col("node").withField("html", html).alias("node"), "children")
-
-
-def render_json(blocks: DataFrame, pages: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
-    """(doc_id, json): each document as a tree of pages, blocks and the blocks inside them.
-
-    Leaves have html, polygon, bbox, section_hierarchy and images; pages and blocks with children have children and
-    html that refers to them. metadata(doc_id, metadata) is any struct and stands beside the tree. Pages without
-    blocks have no children. A document's tree is one value.
+    (map<string, string>). Every node has id, type, html, polygon, bbox and section_hierarchy; blocks without children
+    have images, others children, and html that refers to these where they have none. metadata(doc_id, metadata) is any
+    struct and stands beside the tree. Pages without blocks have no children. A document's tree is one value.
+
+    Nodes are written one after the other as they stand on the page; where the next one is less deep, its elders close.
     """
-    n = F.col("node")
-    common = [n.id.alias("id"), n.block_type.alias("block_type"), n.html.alias("html"), n.polygon.alias("polygon"), n.bbox.alias("bbox")]
-    inner = F.size("children") > 0
-    node = F.struct(*common, F.when(inner, F.col("children")).alias("children"), n.section_hierarchy.alias("section_hierarchy"), F.when(~inner, n.images).alias("images"))
-    tops = json_nodes(blocks).groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("place", "head", F.struct(n.id.alias("id"), F.to_json(node).alias("json")).alias("b")))).alias("b"))
-    x = pages.select(*PAGE, "width", "height").join(tops, PAGE, "left")
+    depth = lambda n: F.size(n.path)
+    nodes = F.col("nodes")
+
+    def written(n: Column, i: Column) -> Column:
+        after = F.coalesce(depth(F.get(nodes, i + 1)), F.lit(1))
+        holds = after > depth(n)
+        refs = content_refs(F.transform(children_of(nodes, n.block_id), lambda k: k.leaf.ref))
+        html = F.coalesce(n.leaf.html, F.when(holds, refs).otherwise(""))
+        fields = [n.leaf.ref.alias("id"), n.leaf.block_type.alias("block_type"), html.alias("html"), n.leaf.polygon.alias("polygon"), n.leaf.bbox.alias("bbox")]
+        images = F.when(n.leaf.block_type.isin(IMAGES) & n.leaf.image.isNotNull(), F.to_json(F.create_map(n.leaf.ref, n.leaf.image))).otherwise("{}")
+        comma = F.when(i + 1 < F.size(nodes), ",").otherwise("")
+        closed = F.concat(F.lit(',"images":'), images, F.lit("}"), F.repeat(F.lit("]}"), depth(n) - after), comma)
+        return F.concat(_open_json(*fields), F.lit(',"section_hierarchy":'), n.leaf.hierarchy, F.when(holds, ',"children":[').otherwise(closed))
+
+    tops = F.transform(F.filter(nodes, lambda n: depth(n) == 1), lambda n: n.leaf.ref)
+    inside = _tree(blocks).select(*PAGE, F.array_join(F.transform(nodes, written), "").alias("inside"), content_refs(tops).alias("refs"))
+    x = pages.select(*PAGE, "width", "height").join(inside, PAGE, "left").withColumn("zero", F.lit(0.0))
     ref = F.concat(F.lit("/page/"), F.col("page_id").cast("string"))
-    items = F.coalesce(F.transform("b", lambda b: b.b), F.array())
-    zero = F.lit(0.0)
-    x = x.withColumn("_zero", zero)
-    head = F.to_json(F.struct(ref.alias("id"), F.lit("Page").alias("block_type"), content_refs(F.transform(items, lambda i: i["id"])).alias("html"), corners("_zero", "_zero", "width", "height").alias("polygon"), F.array("_zero", "_zero", "width", "height").alias("bbox")))
-    page = F.concat(F.expr("substring(head, 1, length(head) - 1)"), F.lit(',"children":['), F.array_join(F.transform(items, lambda i: i["json"]), ","), F.lit("]}"))
-    docs = x.withColumn("head", head).withColumn("page", page).groupBy("doc_id").agg(joined(F.col("page"), ",", "page_id").alias("body"))
-    meta = F.lit("{}")
-    if metadata is not None:
+    box = [corners("zero", "zero", "width", "height").alias("polygon"), F.array("zero", "zero", "width", "height").alias("bbox")]
+    head = _open_json(ref.alias("id"), F.lit("Page").alias("block_type"), F.coalesce("refs", F.lit("")).alias("html"), *box)
+    page = F.concat(head, F.lit(',"children":['), F.coalesce("inside", F.lit("")), F.lit("]}"))
+    docs = x.select("doc_id", "page_id", page.alias("page")).groupBy("doc_id").agg(joined(F.col("page"), ",", "page_id").alias("body"))
+    tail = [F.lit(',"metadata":{}')] if with_metadata else []
+    if metadata is not None and with_metadata:
         docs = docs.join(metadata.select("doc_id", F.to_json("metadata").alias("meta")), "doc_id", "left")
-        meta = F.coalesce("meta", meta)
-    return docs.select("doc_id", F.concat(F.lit('{"children":['), "body", F.lit('],"block_type":"Document","metadata":'), meta, F.lit("}")).alias("json"))
+        tail = [F.lit(',"metadata":'), F.coalesce("meta", F.lit("{}"))]
+    return docs.select("doc_id", F.concat(F.lit('{"children":['), "body", F.lit('],"block_type":"Document"'), *tail, F.lit("}")).alias("json"))
+
+
+def _tops(blocks: DataFrame, images: bool = True) -> DataFrame:
+    """(doc_id, page_id, tops): the top-level blocks of each page in order, with leaf, html of all they hold, images."""
+    inner = lambda n: F.element_at(F.filter("r", lambda x: x.block_id == n.block_id), 1).html
+    plain = lambda n: image_html(n.leaf.block_type, n.leaf.html, n.leaf.ref) if images else F.coalesce(n.leaf.html, F.lit(""))
+    top = lambda n: F.struct(n.leaf.alias("leaf"), F.when(n.inner, inner(n)).otherwise(plain(n)).alias("html"), _pictures(n).alias("images"))
+    rows = _tree(blocks).withColumn("r", resolved(F.col("nodes"), images))
+    return rows.select(*PAGE, F.transform(F.filter("nodes", lambda n: F.size(n.path) == 1), top).alias("tops"))
 
 
-def unescaped(html: Column) -> Column:
-    for entity, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&amp;", "&")):
-        html = F.replace(html, F.lit(entity), F.lit(mark))
-    return html
+def _chunk(page: Column, c: Column) -> Column:
+    leaf = c.leaf
+    hierarchy = F.from_json(leaf.hierarchy, "map<string,string>").alias("section_hierarchy")
+    return F.struct(leaf.ref.alias("id"), leaf.block_type.alias("block_type"), c.html.alias("html"), page.alias("page"), leaf.polygon.alias("polygon"), leaf.bbox.alias("bbox"), hierarchy, F.map_from_entries(c.images).alias("images"))
 
 
 def render_chunks(blocks: DataFrame) -> DataFrame:
-    """One row for each top-level block: id, type, html with its children's in it, page, polygon, bbox, headings above, images.
+    """One row for each top-level block: id, type, html with all that it holds, page, polygon, bbox, headings above, images.
 
-    Columns as in json_nodes. Pictures get an image tag with their id; images of children are the block's own.
+    Columns as in render_json. Pictures get an image tag with their id; images of blocks inside are the block's own. In
+    markup of a block with children character references are decoded; what stands in their place is as it was.
     """
-    image = lambda b: F.when(b.block_type.isin(IMAGES), F.concat(F.lit("<p>"), F.coalesce(b.html, F.lit("")), F.lit("<img src='"), b.id, F.lit("'></p>"))).otherwise(F.coalesce(b.html, F.lit("")))
-    n, c = F.col("node"), F.col("children")
-    placed = F.aggregate(c, n.html, lambda acc, b: F.replace(acc, content_refs(F.array(b.id)), image(b)))
-    html = F.when(F.size(c) > 0, unescaped(placed)).otherwise(image(n))
-    images = F.aggregate(c, n.images, lambda acc, b: F.map_concat(acc, b.images))
-    return json_nodes(blocks).select("doc_id", n.id.alias("id"), n.block_type.alias("block_type"), html.alias("html"), F.col("page_id").alias("page"), n.polygon.alias("polygon"), n.bbox.alias("bbox"), n.section_hierarchy.alias("section_hierarchy"), images.alias("images"))
+    rows = _tops(blocks).select(*PAGE, F.explode_outer("tops").alias("c"))
+    return rows.select("doc_id", _chunk(F.col("page_id"), F.col("c")).alias("c")).select("doc_id", "c.*")
 
 
 def page_info(pages: DataFrame) -> DataFrame:
     """(doc_id, page, bbox, polygon) of each page, beside the chunks."""
     x = pages.select("doc_id", F.col("page_id").alias("page"), F.lit(0.0).alias("zero"), "width", "height")
     return x.select("doc_id", "page", F.array("zero", "zero", "width", "height").alias("bbox"), corners("zero", "zero", "width", "height").alias("polygon"))
+
+
+def chunks_json(blocks: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, json): a document's chunks in their order, and what is known of its pages."""
+    chunks = _tops(blocks).select(*PAGE, F.transform("tops", lambda c: F.to_json(_chunk(F.col("page_id"), c))).alias("chunks"))
+    found = chunks.groupBy("doc_id").agg(joined(F.array_join("chunks", ","), ",", "page_id").alias("chunks"))
+    info = F.concat(F.lit('"'), F.col("page").cast("string"), F.lit('":'), F.to_json(F.struct("bbox", "polygon")))
+    known = page_info(pages).groupBy("doc_id").agg(joined(info, ",", "page").alias("info"))
+    json = F.concat(F.lit('{"blocks":['), F.coalesce("chunks", F.lit("")), F.lit('],"page_info":{'), "info", F.lit("}}"))
+    return known.join(found, "doc_id", "left").select("doc_id", json.alias("json"))
+
+
+def tree_html(blocks: DataFrame) -> DataFrame:
+    """(doc_id, html): the markup of the top-level blocks with all that they hold."""
+    html = F.array_join(F.transform("tops", lambda c: c.html), "")
+    return _tops(blocks, images=False).groupBy("doc_id").agg(merged_tags(joined(html, "", "page_id")).alias("html"))
+
+
+# Output formats and the extensions of their files.
+FORMATS = {"markdown": "md", "html": "html", "json": "json", "chunks": "json"}
+
+
+def document_texts(blocks: DataFrame, pages: DataFrame, output_format: str) -> DataFrame:
+    """(doc_id, text, ext): each document in one of FORMATS, without metadata.
+
+    blocks as in render_json; for Markdown with `md` besides, null for blocks that only hold others.
+    """
+    if output_format not in FORMATS:
+        raise ValueError(f"output format {output_format!r} is none of {', '.join(FORMATS)}")
+    if output_format == "markdown":
+        out = md_document(blocks.where("md IS NOT NULL")).select("doc_id", F.col("md").alias("text"))
+    elif output_format == "html":
+        out = tree_html(blocks).select("doc_id", F.col("html").alias("text"))
+    else:
+        out = render_json(blocks, pages, with_metadata=False) if output_format == "json" else chunks_json(blocks, pages)
+        out = out.select("doc_id", F.col("json").alias("text"))
+    return out.withColumn("ext", F.lit(FORMATS[output_format]))
+
+
+def block_dump(blocks: DataFrame, pages: DataFrame, images: tuple[str, ...] = ("image", "lowres_image", "highres_image")) -> DataFrame:
+    """(doc_id, dump): a document's pages as JSON with all their columns, all blocks of each as children; no images."""
+    rows, kept = blocks.drop(*images), pages.drop(*images)
+    child = F.to_json(F.struct(*[F.col(c) for c in rows.columns if c not in PAGE]))
+    inside = rows.groupBy(*PAGE).agg(joined(child, ",", "block_id").alias("_inside"))
+    head = _open_json(*[F.col(c) for c in kept.columns if c != "doc_id"])
+    page = F.concat(head, F.lit(',"children":['), F.coalesce("_inside", F.lit("")), F.lit("]}"))
+    x = kept.join(inside, PAGE, "left").select(*PAGE, page.alias("page"))
+    return x.groupBy("doc_id").agg(F.concat(F.lit("["), joined(F.col("page"), ",", "page_id"), F.lit("]")).alias("dump"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import layout, processors as op
+from ..operators import aggregates as agg, layout, processors as op
 from ..sources.fixtures import fixture, oracle
 from .registry import query
 
@@ -182,11 +182,21 @@ def det_conf_filter(spark, d):
     return fx(spark, d, "lines")[0].where((40 + 6 * (F.col("line_no") % 10)) / 100 > 0.8).select(*PAGE, "line_no")
 
 
-@query("doc_metadata", oracle("fx_btext fx_boxes", ", tc AS (SELECT doc_id, count(*) AS n_toc FROM fx_btext WHERE block_type='SectionHeader' GROUP BY ALL), ps AS (SELECT doc_id, count(DISTINCT page_id) AS n_pages, count(*) AS n_blocks FROM fx_boxes GROUP BY ALL) SELECT doc_id, n_pages, n_blocks, coalesce(n_toc,0) AS n_toc FROM ps LEFT JOIN tc USING (doc_id)"))
-def doc_metadata(spark, d):
-    boxes, btext = fx(spark, d, "boxes", "btext")
-    pages = boxes.groupBy("doc_id").agg(F.countDistinct("page_id").alias("n_pages"), F.count("*").alias("n_blocks"))
-    heads = btext.where("block_type = 'SectionHeader'").groupBy("doc_id").agg(F.count("*").alias("n_toc"))
-    return pages.join(heads, "doc_id", "left").select("doc_id", "n_pages", "n_blocks", F.coalesce("n_toc", F.lit(0)).alias("n_toc"))
+META = """, bl AS (SELECT *, block_id%3 AS q, coalesce(length(html), 0) AS tk FROM fx_tree),
+    bt AS (SELECT doc_id, page_id, block_type, count(*) AS n, min(block_id) AS first, sum(q) AS q, sum(tk) AS tk FROM bl GROUP BY ALL),
+    ps AS (SELECT doc_id, page_id, string_agg('{"block_type":"'||block_type||'","n":'||n||'}', ',' ORDER BY n DESC, first) AS c, sum(q) AS q, sum(tk) AS tk FROM bt GROUP BY ALL),
+    pg AS (SELECT doc_id, '['||string_agg('{"page_id":'||page_id||',"text_extraction_method":"'||method||'","block_counts":['||coalesce(c, '')||'],"block_metadata":{"llm_request_count":'||coalesce(q, 0)||',"llm_error_count":0,"llm_tokens_used":'||coalesce(tk, 0)||'}}', ',' ORDER BY page_id)||']' AS stats
+        FROM fx_pages LEFT JOIN ps USING (doc_id, page_id) GROUP BY doc_id),
+    tc AS (SELECT doc_id, string_agg('{"title":'||to_json(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '^\\s+|\\s+$', '', 'g'))||',"heading_level":'||(1+page_id%3)||',"page_id":'||page_id
+        ||printf(',"polygon":[[%.1f,%.1f],[%.1f,%.1f],[%.1f,%.1f],[%.1f,%.1f]]}', x0, y0, x1, y0, x1, y1, x0, y1), ',' ORDER BY page_id, block_id) AS toc FROM fx_tree WHERE block_type='SectionHeader' GROUP BY doc_id)
+    SELECT doc_id, '{"table_of_contents":['||coalesce(toc, '')||'],"page_stats":'||stats||'}' AS metadata FROM pg LEFT JOIN tc USING (doc_id)"""
 
 
+@query("doc_metadata", oracle("fx_tree fx_pages", META))
+def doc_metadata(spark, d):
+    """Contents with boxes, and per page the method, block types by falling count and summed counters, as JSON."""
+    blocks, pages = fx(spark, d, "tree", "pages")
+    heads = blocks.where("block_type = 'SectionHeader'").withColumn("text", F.regexp_replace("html", "<[^>]+>", "")).withColumn("heading_level", 1 + F.col("page_id") % 3)
+    counted = blocks.withColumn("llm_request_count", F.col("block_id") % 3).withColumn("llm_tokens_used", F.length("html"))
+    out = agg.doc_metadata(counted, pages, op.toc(heads, boxes=True))
+    return out.withColumn("metadata", F.to_json("metadata"))

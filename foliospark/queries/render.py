@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import text as t
-from ..operators import aggregates as agg, render as op
+from ..operators import aggregates as agg, render as op, trees
 from ..sources.fixtures import fixture, oracle
 from .registry import query
 
@@ -90,12 +90,6 @@ def doc_html(spark, d):
     return op.doc_html(_typed(spark, d))
 
 
-@query("resolve_refs", oracle("fx_btext", TYPED + "SELECT doc_id, page_id, '<p>'||string_agg(html,'' ORDER BY block_id)||'</p>' AS html FROM bh GROUP BY ALL"))
-def resolve_refs(spark, d):
-    """Children stand where the parent's references are: an ordered concatenation inside the parent's tag."""
-    return _typed(spark, d).groupBy(*PAGE).agg(F.concat(F.lit("<p>"), agg.joined(F.col("html"), "", "block_id"), F.lit("</p>")).alias("html"))
-
-
 @query("block_type_override", oracle("fx_btext", TYPED + "SELECT doc_id, page_id, block_id, CASE WHEN block_type='Caption' THEN '<figcaption>'||text||'</figcaption>' ELSE html END AS html FROM bh"))
 def block_type_override(spark, d):
     own = {"Caption": F.concat(F.lit("<figcaption>"), "text", F.lit("</figcaption>"))}
@@ -132,67 +126,83 @@ def split_pages_md(spark, d):
     return split(markdown(spark, d, paginate=True))
 
 
-# Blocks as a tree: list items of a page go into one group of number 100, which stands where the first of them stood;
-# block 2 is a figure with a picture; headings are above what follows on their page.
+# Blocks as a tree (fx_tree): paths from the top, the next node's depth, references of children.
 POLY = lambda x0, y0, x1, y1: f"printf('[[%.1f,%.1f],[%.1f,%.1f],[%.1f,%.1f],[%.1f,%.1f]],\"bbox\":[%.1f,%.1f,%.1f,%.1f]', {x0},{y0}, {x1},{y0}, {x1},{y1}, {x0},{y1}, {x0},{y0},{x1},{y1})"
-TREE = (
-    TYPED
-    + f""", tr AS (SELECT doc_id, page_id, block_id, CASE WHEN block_id=2 THEN 'Figure' ELSE block_type END AS block_type, html, x0, y0, x1, y1, block_id AS place,
-        CASE WHEN block_type='ListItem' THEN 100 END AS parent_id, bool_or(block_type='SectionHeader') OVER (PARTITION BY doc_id, page_id) AND block_id>0 AS below FROM bh),
-    al AS (SELECT * FROM tr UNION ALL SELECT doc_id, page_id, 100, 'ListGroup', NULL, min(x0), min(y0), max(x1), max(y1), min(place), NULL, FALSE FROM tr WHERE parent_id IS NOT NULL GROUP BY doc_id, page_id),
-    nd AS (SELECT *, '/page/'||page_id||'/'||block_type||'/'||block_id AS id, {POLY('x0', 'y0', 'x1', 'y1')} AS boxes,
-        CASE WHEN below THEN '{{"1":"/page/'||page_id||'/SectionHeader/0"}}' ELSE '{{}}' END AS hier FROM al),
-    lf AS (SELECT *, '{{"id":"'||id||'","block_type":"'||block_type||'","html":'||to_json(html)||',"polygon":'||boxes||',"section_hierarchy":'||hier||',"images":'||CASE WHEN block_type='Figure' THEN '{{"'||id||'":"QQ=="}}' ELSE '{{}}' END||'}}' AS leaf,
-        CASE WHEN block_type='Figure' THEN '<p>'||html||'<img src='''||id||'''></p>' ELSE html END AS whole FROM nd),
-    kd AS (SELECT doc_id, page_id, string_agg('<content-ref src='''||id||'''></content-ref>', '' ORDER BY block_id) AS refs, string_agg(leaf, ',' ORDER BY block_id) AS kids, string_agg(whole, '' ORDER BY block_id) AS inside
-        FROM lf WHERE parent_id=100 GROUP BY ALL),
-    tp AS (SELECT lf.*, inside, CASE WHEN block_id=100 THEN '{{"id":"'||id||'","block_type":"ListGroup","html":'||to_json(refs)||',"polygon":'||boxes||',"children":['||kids||'],"section_hierarchy":{{}}}}' ELSE leaf END AS node
-        FROM lf LEFT JOIN kd ON kd.doc_id=lf.doc_id AND kd.page_id=lf.page_id AND lf.block_id=100 WHERE parent_id IS NULL) """
-)
+TREE = f""", walk AS (
+        SELECT doc_id, page_id, block_id, [place*1000+block_id] AS path FROM fx_tree WHERE parent_id IS NULL
+        UNION ALL SELECT t.doc_id, t.page_id, t.block_id, list_append(walk.path, t.place*1000+t.block_id)
+        FROM fx_tree AS t JOIN walk ON t.doc_id=walk.doc_id AND t.page_id=walk.page_id AND t.parent_id=walk.block_id),
+    nd AS (SELECT t.*, path, len(path) AS depth, lead(len(path)) OVER (PARTITION BY doc_id, page_id ORDER BY path) AS nx,
+        page_ref||block_type||'/'||block_id AS id, {POLY('x0', 'y0', 'x1', 'y1')} AS boxes,
+        CASE WHEN below THEN '{{"1":"'||page_ref||'SectionHeader/0"}}' ELSE '{{}}' END AS hier,
+        CASE WHEN image IS NULL THEN '{{}}' ELSE '{{"'||page_ref||block_type||'/'||block_id||'":"'||image||'"}}' END AS own_image
+        FROM fx_tree AS t JOIN walk USING (doc_id, page_id, block_id)),
+    kd AS (SELECT doc_id, page_id, parent_id AS block_id, string_agg('<content-ref src='''||id||'''></content-ref>', '' ORDER BY path) AS refs
+        FROM nd WHERE depth>1 GROUP BY ALL)"""
+DECODED = "replace(replace(replace(n.html, '&eacute;', 'é'), '&#8212;', '—'), '&amp;', '&')"
+
+
+def _levels(leaf: str, h: str = "h") -> str:
+    """From the deepest level up: the markup of a node with its children's in it."""
+    out = f", {h}5 AS (SELECT doc_id, page_id, parent_id, path, id, html AS whole FROM nd WHERE FALSE)"
+    for k in (4, 3, 2, 1):
+        out += f""", {h}{k} AS (SELECT n.doc_id, n.page_id, n.block_id, n.parent_id, n.path, n.id, n.block_type, n.boxes, n.hier,
+            CASE WHEN ks IS NULL THEN {leaf} WHEN n.html IS NULL THEN array_to_string(ws, '')
+                ELSE replace(replace({DECODED}, ks[1], ws[1]), coalesce(ks[2], '~'), coalesce(ws[2], '~')) END AS whole, ks IS NOT NULL AS inner_
+            FROM nd AS n LEFT JOIN (SELECT doc_id, page_id, parent_id AS block_id, list('<content-ref src='''||id||'''></content-ref>' ORDER BY path) AS ks,
+                list(whole ORDER BY path) AS ws FROM {h}{k + 1} GROUP BY ALL) AS k USING (doc_id, page_id, block_id) WHERE n.depth={k})"""
+    return out
+
+
+WHOLE = _levels("CASE WHEN n.block_type='Figure' THEN '<p>'||n.html||'<img src='''||n.id||'''></p>' ELSE coalesce(n.html, '') END")
+BELOW = """, im AS (SELECT a.doc_id, a.page_id, a.block_id, '{'||string_agg('"'||f.id||'":"'||f.image||'"', ',' ORDER BY f.path)||'}' AS images
+    FROM nd AS a JOIN nd AS f ON a.doc_id=f.doc_id AND a.page_id=f.page_id AND f.image IS NOT NULL AND f.path[1:len(a.path)]=a.path GROUP BY ALL)"""
+PAGES_JSON = f""", pj AS (SELECT p.doc_id, p.page_id, '{{"id":"/page/'||p.page_id||'","block_type":"Page","html":'||to_json(coalesce(string_agg('<content-ref src='''||id||'''></content-ref>', '' ORDER BY path) FILTER (depth=1), ''))
+        ||',"polygon":'||{POLY("0.0", "0.0", "612.0", "792.0")}||',"children":['||coalesce(string_agg('{{"id":"'||id||'","block_type":"'||block_type||'","html":'||to_json(coalesce(html, refs, ''))||',"polygon":'||boxes||',"section_hierarchy":'||hier
+            ||CASE WHEN nx>depth THEN ',"children":[' ELSE ',"images":'||own_image||'}}'||repeat(']}}', depth-coalesce(nx, 1))||CASE WHEN nx IS NULL THEN '' ELSE ',' END END, '' ORDER BY path), '')||']}}' AS j
+        FROM fx_pages AS p LEFT JOIN (nd LEFT JOIN kd USING (doc_id, page_id, block_id)) AS n USING (doc_id, page_id) GROUP BY p.doc_id, p.page_id)"""
+JSON_DOCS = """SELECT doc_id, '{"children":['||string_agg(j, ',' ORDER BY page_id)||'],"block_type":"Document"%s}' AS json FROM pj GROUP BY doc_id"""
 
 
 def _tree(spark, d):
-    x = _typed(spark, d)
-    item = F.col("block_type") == "ListItem"
-    page = Window.partitionBy(*PAGE)
-    below = (F.max((F.col("block_type") == "SectionHeader").cast("int")).over(page) == 1) & (F.col("block_id") > 0)
-    above = F.when(below, F.create_map(F.lit("1"), F.concat(F.lit("/page/"), F.col("page_id").cast("string"), F.lit("/SectionHeader/0"))))
-    x = x.select(*KEY, F.when(F.col("block_id") == 2, "Figure").otherwise(F.col("block_type")).alias("block_type"), "html", "x0", "y0", "x1", "y1", F.col("block_id").alias("place"), F.when(item, 100).alias("parent_id"), above.alias("section_hierarchy"), F.when(F.col("block_id") == 2, "QQ==").alias("image"))
-    sides = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.min("place").alias("place")]
-    groups = x.where("parent_id is not null").groupBy(*PAGE).agg(*sides).withColumn("block_id", F.lit(100)).withColumn("block_type", F.lit("ListGroup"))
-    return x.unionByName(groups, allowMissingColumns=True)
+    x = fixture(spark, d, "fx_tree")
+    return x.withColumn("section_hierarchy", F.when(F.col("below"), F.create_map(F.lit("1"), F.concat("page_ref", F.lit("SectionHeader/0")))))
 
 
-@query(
-    "render_json",
-    oracle(
-        "fx_btext",
-        TREE
-        + f""", pj AS (SELECT doc_id, page_id, '{{"id":"/page/'||page_id||'","block_type":"Page","html":'||to_json(string_agg('<content-ref src='''||id||'''></content-ref>', '' ORDER BY place, block_id))||',"polygon":'||{POLY("0.0", "0.0", "612.0", "792.0")}||',"children":['||string_agg(node, ',' ORDER BY place, block_id)||']}}' AS j FROM tp GROUP BY doc_id, page_id)
-        SELECT doc_id, '{{"children":['||string_agg(j, ',' ORDER BY page_id)||'],"block_type":"Document","metadata":{{"pages":'||count(*)||'}}}}' AS json FROM pj GROUP BY doc_id""",
-    ),
-)
+@query("resolve_refs", oracle("fx_tree", TREE + WHOLE + "".join(f" {'UNION ALL' if k > 1 else ''} SELECT doc_id, page_id, block_id::INT AS block_id, whole AS html FROM h{k} WHERE inner_" for k in (1, 2, 3, 4))))
+def resolve_refs(spark, d):
+    return trees.resolve_refs(_tree(spark, d))
+
+
+@query("collect_images", oracle("fx_tree", TREE + BELOW + " SELECT doc_id, page_id, block_id::INT AS block_id, images FROM im"))
+def collect_images(spark, d):
+    return trees.collect_images(_tree(spark, d)).withColumn("images", F.to_json("images"))
+
+
+@query("render_json", oracle("fx_tree fx_pages", TREE + PAGES_JSON + JSON_DOCS % ""","metadata":{"pages":'||count(*)||'}"""))
 def render_json(spark, d):
     pages = fixture(spark, d, "fx_pages")
     metadata = pages.groupBy("doc_id").agg(F.struct(F.count("*").alias("pages")).alias("metadata"))
     return op.render_json(_tree(spark, d), pages, metadata)
 
 
-@query("block_dump", oracle("fx_btext", "SELECT doc_id, page_id, '['||string_agg('{\"block_id\":'||block_id||',\"block_type\":\"'||block_type||'\",\"n_lines\":'||n_lines||'}', ',' ORDER BY block_id)||']' AS blocks FROM fx_btext GROUP BY ALL"))
-def block_dump(spark, d):
-    """Per page its blocks as JSON, without image columns."""
-    return fixture(spark, d, "fx_btext").groupBy(*PAGE).agg(F.to_json(F.array_sort(F.collect_list(F.struct("block_id", "block_type", "n_lines")))).alias("blocks"))
-
-
 @query(
-    "render_chunks",
+    "block_dump",
     oracle(
-        "fx_btext",
-        TREE
-        + """SELECT doc_id, id, block_type, CASE WHEN block_id<>100 THEN whole ELSE replace(replace(replace(replace(replace(inside,'&lt;','<'),'&gt;','>'),'&quot;','"'),'&#x27;',chr(39)),'&amp;','&') END AS html,
-        page_id AS page, '{"polygon":'||boxes||'}' AS boxes, hier AS hierarchy, CASE WHEN block_type='Figure' THEN '{"'||id||'":"QQ=="}' ELSE '{}' END AS images, '[0.0,0.0,612.0,792.0]' AS page_bbox FROM tp""",
+        "fx_tree fx_pages",
+        """, ch AS (SELECT doc_id, page_id, string_agg('{"block_id":'||block_id||',"block_type":"'||block_type||'"'||coalesce(',"parent_id":'||parent_id, '')||coalesce(',"html":'||to_json(html), '')||'}', ',' ORDER BY block_id) AS c FROM fx_tree GROUP BY ALL)
+        SELECT doc_id, '['||string_agg('{"page_id":'||page_id||',"width":612.0,"height":792.0,"method":"'||method||'","children":['||coalesce(c, '')||']}', ',' ORDER BY page_id)||']' AS dump FROM fx_pages LEFT JOIN ch USING (doc_id, page_id) GROUP BY doc_id""",
     ),
 )
+def block_dump(spark, d):
+    blocks = _tree(spark, d).select(*KEY, "block_type", "parent_id", "html", "image")
+    return op.block_dump(blocks, fixture(spark, d, "fx_pages").select(*PAGE, "width", "height", "method"))
+
+
+CHUNK = f"""{TREE}{WHOLE}{BELOW}, ck AS (SELECT h1.*, coalesce(images, '{{}}') AS images FROM h1 LEFT JOIN im USING (doc_id, page_id, block_id))"""
+
+
+@query("render_chunks", oracle("fx_tree", CHUNK + """ SELECT doc_id, id, block_type, whole AS html, page_id AS page, '{"polygon":'||boxes||'}' AS boxes, hier AS hierarchy, images, '[0.0,0.0,612.0,792.0]' AS page_bbox FROM ck"""))
 def render_chunks(spark, d):
     """Chunks with the boxes of their pages; nested columns as JSON."""
     x = op.render_chunks(_tree(spark, d))
@@ -201,19 +211,28 @@ def render_chunks(spark, d):
     return x.join(info, ["doc_id", "page"])
 
 
-@query("collect_images", oracle("fx_btext", "SELECT doc_id, page_id, string_agg('_page_'||page_id||'_Figure_'||block_id||'.jpeg', ',' ORDER BY block_id) AS images FROM fx_btext WHERE block_id%4=2 GROUP BY ALL"))
-def collect_images(spark, d):
-    b = fixture(spark, d, "fx_btext").where("block_id % 4 = 2")
-    name = F.concat(F.lit("_page_"), F.col("page_id").cast("string"), F.lit("_Figure_"), F.col("block_id").cast("string"), F.lit(".jpeg"))
-    return b.groupBy(*PAGE).agg(agg.joined(name, ",", "block_id").alias("images"))
+CHUNKS_JSON = f""", cb AS (SELECT doc_id, string_agg('{{"id":"'||id||'","block_type":"'||block_type||'","html":'||to_json(whole)||',"page":'||page_id||',"polygon":'||boxes||',"section_hierarchy":'||hier||',"images":'||images||'}}', ',' ORDER BY page_id, path) AS b FROM ck GROUP BY doc_id),
+    pi AS (SELECT doc_id, string_agg('"'||page_id||'":{{"bbox":[0.0,0.0,612.0,792.0],"polygon":[[0.0,0.0],[612.0,0.0],[612.0,792.0],[0.0,792.0]]}}', ',' ORDER BY page_id) AS i FROM fx_pages GROUP BY doc_id)"""
+PLAIN_TEXT = "string_agg(regexp_replace(html, '<[^>]+>', '', 'g')||chr(10)||chr(10), '' ORDER BY page_id, block_id)"
 
 
-@query("format_dispatch", oracle("fx_btext", TYPED + ", h AS (SELECT doc_id, string_agg(html,'' ORDER BY page_id, block_id) AS body FROM bh GROUP BY ALL) SELECT doc_id, CASE doc_id%2 WHEN 0 THEN 'html' ELSE 'chunks' END AS ext, CASE doc_id%2 WHEN 0 THEN body ELSE length(body)::VARCHAR END AS body FROM h"))
+@query(
+    "format_dispatch",
+    oracle(
+        "fx_tree fx_pages",
+        CHUNK + _levels("coalesce(n.html, '')", "g") + PAGES_JSON + CHUNKS_JSON
+        + f""" SELECT doc_id, {CLEANED(PLAIN_TEXT)} AS text, 'md' AS ext FROM fx_tree WHERE block_id<100 AND html IS NOT NULL AND doc_id%4=0 GROUP BY doc_id
+        UNION ALL SELECT doc_id, string_agg(whole, '' ORDER BY page_id, path), 'html' FROM g1 WHERE doc_id%4=1 GROUP BY doc_id
+        UNION ALL SELECT doc_id, json, 'json' FROM ({JSON_DOCS % ''}) WHERE doc_id%4=2
+        UNION ALL SELECT doc_id, '{{"blocks":['||coalesce(b, '')||'],"page_info":{{'||i||'}}}}', 'json' FROM pi LEFT JOIN cb USING (doc_id) WHERE doc_id%4=3""",
+    ),
+)
 def format_dispatch(spark, d):
-    """The text of the format that each document asks for."""
-    x = op.doc_html(_typed(spark, d))
-    even = F.col("doc_id") % 2 == 0
-    return x.select("doc_id", F.when(even, "html").otherwise("chunks").alias("ext"), F.when(even, F.col("html")).otherwise(F.length("html").cast("string")).alias("body"))
+    """Each document in the format that it asks for."""
+    md = F.when(F.col("block_id") < 100, F.concat(t.strip_tags(F.col("html")), F.lit("\n\n")))
+    blocks, pages = _tree(spark, d).withColumn("md", md), fixture(spark, d, "fx_pages")
+    texts = [op.document_texts(blocks.where(F.col("doc_id") % 4 == k), pages.where(F.col("doc_id") % 4 == k), fmt) for k, fmt in enumerate(op.FORMATS)]
+    return texts[0].unionByName(texts[1]).unionByName(texts[2]).unionByName(texts[3])
 
 
 @query("md_cell_text", oracle("fx_cells", "SELECT table_id, cell_id, replace(replace(text,'$','\\$'),'<br>','<br>') AS md FROM fx_cells"))
