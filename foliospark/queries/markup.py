@@ -84,17 +84,34 @@ def slides_to_html(spark, d):
     return op.slides_to_html(p)
 
 
-SPAN_HTML = "'lead '||CASE span_id%4 WHEN 0 THEN '<b>'||t||'</b>' WHEN 1 THEN '<a href=''u'||line_no||'''>'||t||'</a>' WHEN 2 THEN '<sup>'||t||'</sup>' ELSE '<math>'||t||'</math>' END"
-SPAN_ROWS = ", s AS (SELECT doc_id, line_no, span_id, regexp_replace(text,'[<>]','','g') AS t FROM fx_spans), h AS (SELECT doc_id, line_no, span_id, 0 AS seq, 'plain' AS type, 'lead ' AS content, NULL AS url, false AS has_superscript, false AS has_subscript FROM s UNION ALL SELECT doc_id, line_no, span_id, 1, CASE span_id%4 WHEN 0 THEN 'bold' WHEN 3 THEN 'math' ELSE 'plain' END, t, CASE WHEN span_id%4=1 THEN 'u'||line_no END, span_id%4=2, false FROM s) "
+# Nested elements of one name, unclosed and stray tags, an element with several children, wrapped links, empty elements.
+SPAN_HTML = """CASE (line_no+span_id)%8 WHEN 0 THEN '<b>'||t||'<b>x</b>y</b> tail' WHEN 1 THEN '<a href="u'||line_no||'"><i>'||t||'</i></a>' WHEN 2 THEN '<sup>'||t
+    WHEN 3 THEN '<math>'||t||chr(10)||'</math></i> z' WHEN 4 THEN '<a href="v">'||t||'<br>w</a>end' WHEN 5 THEN '<u>'||t||'</u><br/>q' WHEN 6 THEN '<i><b>'||t||'</i> after' ELSE '<span>'||t||'<a href="k">l</a></span>' END"""
+INLINE_SQL = "CASE name WHEN 'b' THEN 'bold' WHEN 'i' THEN 'italic' WHEN 'math' THEN 'math' WHEN 'sub' THEN 'plain' WHEN 'sup' THEN 'plain' WHEN 'span' THEN 'plain' END"
+ENDED_SQL = f"""CASE WHEN {INLINE_SQL} IS NOT NULL THEN [{{'type': {INLINE_SQL}, 'content': CASE WHEN name='math' THEN replace(txt, chr(10), chr(92)||'n') ELSE txt END, 'url': url, 'sup': name='sup', 'sub': name='sub'}}]
+    WHEN seen AND NOT broken AND txt<>'' THEN [{{'type': 'plain', 'content': txt, 'url': url, 'sup': false, 'sub': false}}] ELSE [] END"""
+SPAN_ROWS = f""", s AS (SELECT doc_id, line_no, span_id, regexp_replace(text, '[<>&]', '', 'g') AS t FROM fx_spans),
+    tk AS (SELECT doc_id, line_no, span_id, regexp_extract_all('lead '||{SPAN_HTML}, '(?s)(<[^>]*>|[^<]+)') AS ts FROM s),
+    go AS (WITH RECURSIVE g AS (SELECT doc_id, line_no, span_id, ts, 1 AS i, []::VARCHAR[] AS st, '' AS name, NULL::VARCHAR AS url, '' AS txt, false AS seen, false AS closed, false AS broken,
+            []::STRUCT("type" VARCHAR, content VARCHAR, url VARCHAR, sup BOOLEAN, sub BOOLEAN)[] AS o FROM tk
+        UNION ALL SELECT doc_id, line_no, span_id, ts, i+1,
+            CASE op WHEN 'open' THEN list_append(st, n) WHEN 'close' THEN CASE WHEN p>0 THEN st[1:p-1] ELSE st END ELSE st END,
+            CASE WHEN op='open' AND len(st)=0 THEN n ELSE name END, CASE WHEN op='open' AND len(st)=0 THEN nullif(regexp_extract(k, 'href="([^"]*)', 1), '') ELSE url END,
+            CASE WHEN op='open' AND len(st)=0 THEN '' WHEN op='text' AND len(st)>0 THEN txt||k ELSE txt END,
+            CASE WHEN op='open' AND len(st)=0 THEN false WHEN op='text' AND len(st)>0 THEN true ELSE seen END,
+            CASE WHEN op='open' AND len(st)=0 THEN false WHEN (op='void' AND len(st)>0) OR (op='close' AND p>1) THEN true ELSE closed END,
+            CASE WHEN op='open' AND len(st)=0 THEN false WHEN op IN ('open','text','void') THEN broken OR (len(st)>0 AND (seen OR closed)) ELSE broken END,
+            CASE WHEN op='text' AND len(st)=0 THEN list_append(o, {{'type': 'plain', 'content': k, 'url': NULL, 'sup': false, 'sub': false}}) WHEN op='close' AND p=1 THEN list_concat(o, {ENDED_SQL}) ELSE o END
+        FROM (SELECT *, coalesce(list_max([CASE WHEN st[x]=n THEN x ELSE 0 END FOR x IN generate_series(1, len(st))]), 0) AS p
+            FROM (SELECT *, ts[i] AS k, regexp_extract(ts[i], '^</?([a-z]+)', 1) AS n, CASE WHEN ts[i] NOT LIKE '<%' THEN 'text' WHEN ts[i] LIKE '</%' THEN 'close' WHEN ts[i] LIKE '<br%' THEN 'void' ELSE 'open' END AS op FROM g WHERE i<=len(ts)) a) b)
+        SELECT doc_id, line_no, span_id, CASE WHEN len(st)>0 THEN list_concat(o, {ENDED_SQL}) ELSE o END AS o FROM g WHERE i=len(ts)+1),
+    h AS (SELECT doc_id, line_no, span_id, (x-1)::INT AS seq, o[x].type AS type, o[x].content AS content, o[x].url AS url, o[x].sup AS has_superscript, o[x].sub AS has_subscript FROM (SELECT *, unnest(generate_series(1, len(o))) AS x FROM go) q) """
 SKEY = ["doc_id", "line_no", "span_id"]
 
 
 def _parsed(spark, d):
-    s = fx(spark, d, "spans")[0].withColumn("t", F.regexp_replace("text", "[<>]", ""))
-    m = F.col("span_id") % 4
-    tag = lambda name, attr="": F.concat(F.lit(f"<{name}"), attr if attr else F.lit(""), F.lit(">"), "t", F.lit(f"</{name}>"))
-    body = F.when(m == 0, tag("b")).when(m == 1, F.concat(F.lit("<a href='u"), F.col("line_no").cast("string"), F.lit("'>"), "t", F.lit("</a>"))).when(m == 2, tag("sup")).otherwise(tag("math"))
-    return op.html_to_spans(s.select(*SKEY, F.concat(F.lit("lead "), body).alias("html")), SKEY)
+    s = fx(spark, d, "spans")[0].withColumn("t", F.regexp_replace("text", "[<>&]", ""))
+    return op.html_to_spans(s.select(*SKEY, F.concat(F.lit("lead "), F.expr(SPAN_HTML)).alias("html")), SKEY)
 
 
 @query("html_to_spans", oracle("fx_spans", SPAN_ROWS + "SELECT * FROM h"))
@@ -102,7 +119,7 @@ def html_to_spans(spark, d):
     return _parsed(spark, d)
 
 
-@query("add_math_spans", oracle("fx_spans", SPAN_ROWS + "SELECT doc_id, line_no, span_id, seq, CASE WHEN seq=1 THEN content||chr(10) ELSE content END AS content FROM h"))
+@query("add_math_spans", oracle("fx_spans", SPAN_ROWS + "SELECT doc_id, line_no, span_id, seq, CASE WHEN seq=max(seq) OVER (PARTITION BY doc_id, line_no, span_id) THEN content||chr(10) ELSE content END AS content FROM h"))
 def add_math_spans(spark, d):
     return op.add_math_spans(_parsed(spark, d), SKEY).select(*SKEY, "seq", "content")
 
