@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators import layout, processors, render
 from ..operators.aggregates import joined
-from ..streaming.intake import shared_dir
+from ..sources.outputs import shared_folder
 
 PAGE = layout.PAGE
 
@@ -47,7 +47,7 @@ def make_blocks(c: Corpus) -> Corpus:
     both = old.withColumn("island", F.lit(0).cast("long")).unionByName(new)
     place = Window.partitionBy(*PAGE).orderBy(F.col("block_id").asc_nulls_first(), "island")
     blocks = both.withColumn("block_id", F.row_number().over(place)).drop("island")
-    shared_dir(blocks.sparkSession)
+    shared_folder(blocks.sparkSession)
     return replace(c, blocks=blocks.checkpoint())  # the steps after this read the blocks several times
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..sources import files as f
+from ..sources import files as f, outputs
 from ..sources.fixtures import fixture, oracle
 from .registry import query
 
@@ -120,6 +122,19 @@ def epub_image_join(spark, d):
     return refs.withColumn("file_name", F.replace("src", F.lit("../"), F.lit(""))).join(images, "file_name", "left").select("page_id", F.coalesce("data", "src").alias("src"))
 
 
-@query("scan_files", "SELECT page_id, length(html) AS size FROM pages")
+LISTED = f"""WITH x AS (SELECT 'p'||page_id||CASE page_id%3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.html' ELSE '.exe' END AS name, CASE page_id%6 WHEN 0 THEN '%PDF-' ELSE '' END||html AS content FROM pages),
+    y AS (SELECT name, octet_length(encode(content)) AS size, left(hex(content), 16) AS head_hex FROM x),
+    z AS (SELECT name, size, {REASON} AS reason FROM y) SELECT name, CASE WHEN reason='Unsupported file type' THEN 0 ELSE size END AS size, reason FROM z"""
+
+
+@query("scan_files", LISTED)
 def scan_files(spark, d):
-    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.length("html").cast("long").alias("size"))
+    """The pages as files of one folder, with another folder inside; listed, and each asked whether it is admitted."""
+    folder, n = f"{outputs.shared_folder(spark)}/scan-{uuid.uuid4().hex}", F.col("page_id")
+    name = F.concat(F.lit("p"), n.cast("string"), F.when(n % 3 == 0, ".pdf").when(n % 3 == 1, ".html").otherwise(".exe"))
+    content = F.encode(F.concat(F.when(n % 6 == 0, "%PDF-").otherwise(""), "html"), "utf-8")
+    docs = spark.read.parquet(f"{d}/pages.parquet").select(F.lit("in").alias("name"), F.lit("txt").alias("ext"), F.lit("").alias("text"), F.create_map(name, content).alias("images"))
+    outputs.write_documents(docs, folder)
+    outputs.write_documents(docs.limit(1), f"{folder}/in")
+    found = outputs.scan_files(spark, f"{folder}/in", head=8).where(F.col("name").startswith("p"))
+    return f.admit_files(found).select("name", "size", "reason")

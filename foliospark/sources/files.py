@@ -1,10 +1,10 @@
-"""File listings: admission, routing, naming, and the outputs beside them."""
+"""File listings: admission, routing and naming."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Accepted extensions, types by leading bytes, and the service's limits.
 EXTENSIONS = [".pdf", ".jpg", ".jpeg", ".png", ".gif", ".webp", ".bmp", ".tiff", ".tif"]
@@ -14,11 +14,6 @@ MAX_SIZE, MAX_BATCH = 50 * 1024 * 1024, 50
 PROVIDERS = [("image", ["jpg", "jpeg", "png", "gif", "webp", "bmp", "tiff", "tif"]), ("pdf", ["pdf"]), ("docx", ["docx", "doc", "odt"]), ("xlsx", ["xlsx", "xls", "ods"]), ("pptx", ["pptx", "ppt", "odp"]), ("epub", ["epub"]), ("html", ["html"])]
 
 
-def scan_files(spark: SparkSession, path: str) -> DataFrame:
-    """Regular files of a folder, not its subfolders: path, size, modification time, content (read only when asked for)."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path)
-
-
 def sanitize_name(name: Column) -> Column:
     return F.element_at(F.split(name, "/"), -1)
 
@@ -128,9 +123,3 @@ def result_name(name: Column, kind: str) -> Column:
     # Endings of the results.
     ending = {"markdown": ".md", "notes": "_notes.txt", "crop": "_notes_crop.png"}[kind]
     return F.regexp_replace(name, r"\.[^.]+$", ending)
-
-
-def write_outputs(df: DataFrame, path: str) -> None:
-    """(doc_id, ext, text, metadata) as text and metadata tables, split by ext."""
-    df.select("doc_id", "ext", "text").write.mode("overwrite").partitionBy("ext").parquet(f"{path}/outputs")
-    df.select("doc_id", "metadata").write.mode("overwrite").json(f"{path}/meta")

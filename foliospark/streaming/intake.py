@@ -6,20 +6,13 @@ Parquet table under the session's shared checkpoint folder, with its own checkpo
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.files import admit_files
-
-
-def shared_dir(spark: SparkSession) -> str:
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="foliospark-"))
-    return sc.getCheckpointDir()
+from ..sources.outputs import shared_folder
 
 
 def read_arrivals(spark: SparkSession, path: str) -> DataFrame:
@@ -56,6 +49,6 @@ def stream_convert(stream: DataFrame, convert: Callable[[DataFrame], DataFrame],
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All that is there now, as a table."""
     spark = stream.sparkSession
-    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/data").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/data")
