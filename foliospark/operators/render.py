@@ -146,9 +146,17 @@ def block_html(block_type: Column, child: Column, level: Column, code: Column |
 
 
 def merged_tags(html: Column) -> Column:
-    """Neighbouring bold and italic runs joined; a hyphen between two formulas becomes a space."""
+    """Neighbouring bold and italic runs joined until none are left; a hyphen between two formulas becomes a space.
+
+    One pass joins any chain of neighbours. Ends that stand one after the other (nested elements) need a pass for each,
+    so that there are as many passes as the longest row of ends has.
+    """
     for tag in ("b", "i"):
-        html = F.regexp_replace(F.regexp_replace(html, rf"</{tag}>\s+<{tag}>", " "), rf"</{tag}><{tag}>", "")
+        end, begin = f"</{tag}>", f"<{tag}>"
+        rows = F.transform(F.regexp_extract_all(html, F.lit(rf"((?:{end}\s*)+)"), 1), lambda r: F.regexp_count(r, F.lit(end)))
+        passes = F.when(F.regexp_like(html, F.lit(rf"{end}\s*{end}\s*{begin}")), F.array_max(rows)).otherwise(1)
+        once = lambda h, _: F.replace(F.regexp_replace(h, rf"{end}\s+{begin}", " "), F.lit(end + begin), F.lit(""))  # noqa: E731, B023
+        html = F.aggregate(F.sequence(F.lit(1), passes), html, once)
     return F.regexp_replace(html, r'-</math>\s*<math(?: display="inline")?>', " ")
 
 

@@ -104,11 +104,36 @@ def list_indent(items: DataFrame, pages: DataFrame, indent: float = 0.01) -> Dat
 
 
 def list_nest(items: DataFrame) -> DataFrame:
-    """Adds parent_id: the closest item before that is less indented, in its group. items have list_indent_level."""
-    w = Window.partitionBy(*PAGE, "group_id").orderBy("block_id").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.collect_list(F.struct("block_id", "list_indent_level")).over(w)
-    less = F.filter(before, lambda b: b.list_indent_level < F.col("list_indent_level"))
-    return items.withColumn("parent_id", F.try_element_at(less, F.lit(-1)).block_id)
+    """Adds parent_id: the closest item before that is less indented, in its group; boxes grow by those of their children.
+
+    items are (doc_id, page_id, group_id, block_id, list_indent_level) and, where there, x0, y0, x1, y1. An item's box
+    takes in its own children as they were, not what these take in themselves. A group is folded once, with the stack of
+    items that are still open; the boxes are a second aggregation of the same partitioning.
+    """
+    rows = F.array_sort(F.collect_list(F.struct("block_id", "list_indent_level")))
+    kind = "struct<open:array<struct<block_id:int,level:int>>,out:array<struct<block_id:int,parent_id:int>>>"
+    start = F.struct(F.array().cast("array<struct<block_id:int,level:int>>").alias("open"), F.array().cast("array<struct<block_id:int,parent_id:int>>").alias("out")).cast(kind)
+
+    def step(acc, x):
+        # levels rise along the stack, so that what stays is its beginning
+        kept = F.filter(acc.open, lambda o: o.level < x.list_indent_level)
+        me = F.struct(x.block_id.cast("int").alias("block_id"), x.list_indent_level.cast("int").alias("level"))
+        pair = F.struct(x.block_id.cast("int").alias("block_id"), F.try_element_at(kept, F.lit(-1)).block_id.alias("parent_id"))
+        return F.struct(F.array_append(kept, me).alias("open"), F.array_append(acc.out, pair).alias("out")).cast(kind)
+
+    group, box = [*PAGE, "group_id"], ["x0", "y0", "x1", "y1"]
+    whole = F.array_sort(F.collect_list(F.struct("block_id", F.struct(*items.columns).alias("item"))))
+    g = items.groupBy(*group).agg(whole.alias("r"), F.aggregate(rows, start, step).out.alias("out"))
+    both = F.zip_with("r", "out", lambda r, o: F.struct(r.item.alias("item"), o.parent_id.alias("parent_id")))
+    out = g.select(F.explode_outer(both).alias("b")).select("b.item.*", "b.parent_id")
+    if not set(box) <= set(items.columns):
+        return out
+    grown = [f(c).alias(f"_{c}") for c, f in zip(box, (F.min, F.min, F.max, F.max), strict=True)]
+    key = [F.col(c).alias(f"_k_{c}") for c in group]
+    reach = out.where("parent_id is not null").groupBy(*key, F.col("parent_id").alias("_k_block_id")).agg(*grown)
+    same = [F.col(c) == F.col(f"_k_{c}") for c in (*group, "block_id")]
+    wide = {c: (F.least if c in ("x0", "y0") else F.greatest)(F.col(c), F.coalesce(F.col(f"_{c}"), F.col(c))) for c in box}
+    return out.join(reach, same, "left").withColumns(wide).select(*items.columns, "parent_id")
 
 
 def blockquote(blocks: DataFrame, indent: float = 0.1, tol: float = 0.01) -> DataFrame:

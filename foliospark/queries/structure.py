@@ -59,15 +59,30 @@ ITEMS = ", it AS (SELECT doc_id, page_id, block_id, x0+block_id*37%5*20 AS x0, y
 LEVELS = ITEMS + ", pr AS (SELECT a.doc_id, a.page_id, a.i, (SELECT max(b.i) FROM sg b WHERE b.doc_id=a.doc_id AND b.page_id=a.page_id AND b.seg=a.seg AND b.i<a.i AND b.x0+6.12<a.x0) AS p FROM sg a) "
 
 
-@query("list_indent")
+# A recursive walk over a page's items with the stack as two lists; an item after a column break stands alone on it.
+INDENTS = """, it AS (SELECT doc_id, page_id, block_id, x0+block_id*37%5*20 AS x0, y0, x0+block_id*37%5*20+30 AS x1, row_number() OVER w AS i, lead(x0+block_id*37%5*20) OVER w AS nx, lead(y0) OVER w AS ny
+        FROM fx_boxes WINDOW w AS (PARTITION BY doc_id, page_id ORDER BY block_id)),
+    go AS (WITH RECURSIVE g AS (SELECT doc_id, page_id, 0::BIGINT AS i, NULL::BIGINT AS block_id, NULL::INT AS level, [{'x': x0, 'y': y0, 'l': 0}] AS st FROM it WHERE i=1
+        UNION ALL SELECT doc_id, page_id, i, block_id, lv, CASE WHEN coalesce(nx>x1, false) THEN [{'x': nx, 'y': ny, 'l': 0}] ELSE list_append(k, {'x': x0, 'y': y0, 'l': lv}) END
+        FROM (SELECT *, CASE WHEN len(k)>0 AND y0>k[-1].y THEN k[-1].l+1 ELSE 0 END AS lv
+            FROM (SELECT it.*, list_filter(g.st, lambda s: s.x+6.12<it.x0) AS k FROM g JOIN it ON it.doc_id=g.doc_id AND it.page_id=g.page_id AND it.i=g.i+1) a) b) SELECT * FROM g)
+    SELECT doc_id, page_id, block_id, level AS list_indent_level FROM go WHERE i>0"""
+
+
+@query("list_indent", oracle("fx_boxes", INDENTS))
 def list_indent(spark, d):
     return op.list_indent(_items(spark, d), fx(spark, d, "pages")[0]).select(*KEY, "list_indent_level")
 
 
-@query("list_nest", oracle("fx_boxes", "SELECT a.doc_id, a.page_id, a.block_id, (SELECT max(b.block_id) FROM fx_boxes b WHERE b.doc_id=a.doc_id AND b.page_id=a.page_id AND b.block_id<a.block_id AND b.block_id*37%5<a.block_id*37%5) AS parent_id FROM fx_boxes a"))
+NESTED = """, p AS (SELECT a.*, (SELECT max(b.block_id) FROM fx_boxes AS b WHERE b.doc_id=a.doc_id AND b.page_id=a.page_id AND b.block_id<a.block_id AND b.block_id*37%5<a.block_id*37%5) AS parent_id FROM fx_boxes AS a),
+    r AS (SELECT doc_id, page_id, parent_id AS block_id, min(x0) AS u0, min(y0) AS v0, max(x1) AS u1, max(y1) AS v1 FROM p WHERE parent_id IS NOT NULL GROUP BY ALL)
+    SELECT doc_id, page_id, block_id, parent_id, least(x0, coalesce(u0, x0)) AS x0, least(y0, coalesce(v0, y0)) AS y0, greatest(x1, coalesce(u1, x1)) AS x1, greatest(y1, coalesce(v1, y1)) AS y1 FROM p LEFT JOIN r USING (doc_id, page_id, block_id)"""
+
+
+@query("list_nest", oracle("fx_boxes", NESTED))
 def list_nest(spark, d):
-    items = fx(spark, d, "boxes")[0].select(*KEY, F.lit(1).alias("group_id"), (F.col("block_id") * 37 % 5).alias("list_indent_level"))
-    return op.list_nest(items).select(*KEY, "parent_id")
+    items = fx(spark, d, "boxes")[0].select(*KEY, F.lit(1).alias("group_id"), (F.col("block_id") * 37 % 5).alias("list_indent_level"), "x0", "y0", "x1", "y1")
+    return op.list_nest(items).select(*KEY, "parent_id", "x0", "y0", "x1", "y1")
 
 
 @query("blockquote", "WITH RECURSIVE " + oracle("fx_btext", ", b AS (SELECT doc_id, page_id, block_id, block_type, n_lines, x0+CASE block_id%4 WHEN 1 THEN 60 WHEN 2 THEN 60 WHEN 3 THEN 120 ELSE 0 END AS x0, 40+block_id*70 AS y0, x1+CASE block_id%4 WHEN 3 THEN 60 ELSE 0 END AS x1, 40+block_id*70+40 AS y1 FROM fx_btext), q AS (SELECT *, row_number() OVER w AS i, coalesce(block_type='Text' AND n_lines>=2 AND lead(block_type) OVER w='Text', false) AS pr, coalesce(lead(x0) OVER w>x0+0.1*(x1-x0) AND lead(y0) OVER w>y1, false) AS op, coalesce(abs(lead(x1) OVER w-x1)<0.01*(x1-x0) AND abs(lead(x0) OVER w-x0)<0.01*(x1-x0), false) AS ev, coalesce(lead(n_lines) OVER w>=2, false) AS tl FROM b WINDOW w AS (PARTITION BY doc_id, page_id ORDER BY block_id)), f AS (SELECT doc_id, page_id, i, block_id, 0 AS lv, pr, op, ev, tl FROM q WHERE i=1 UNION ALL SELECT q.doc_id, q.page_id, q.i, q.block_id, CASE WHEN NOT f.pr THEN 0 WHEN f.lv>0 THEN CASE WHEN f.op THEN f.lv+1 WHEN f.ev THEN f.lv ELSE 0 END WHEN f.tl AND f.op THEN 1 ELSE 0 END, q.pr, q.op, q.ev, q.tl FROM f JOIN q ON q.doc_id=f.doc_id AND q.page_id=f.page_id AND q.i=f.i+1) SELECT doc_id, page_id, block_id, lv AS blockquote_level FROM f")[5:])
