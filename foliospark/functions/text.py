@@ -248,3 +248,47 @@ def font_name_formats(font: Column, flags: Column) -> Column:
     name = F.lower(F.coalesce(font, F.lit("")))
     own = F.array_compact(F.array(F.when(F.contains(name, F.lit("bold")), F.lit("bold")), F.when(F.contains(name, F.lit("ital")), F.lit("italic"))))
     return F.array_union(font_flag_formats(flags), own)
+
+
+#: Bits of a word in indel_ratio: a sum of two words and a carry fits a long.
+WORD = 62
+
+
+def indel_ratio(a: Column, b: Column) -> Column:
+    """100 * 2 LCS / (both lengths), 100 for two empty texts; null counts as empty.
+
+    The longest common subsequence is found with a bit for each character of `a`, as longs: each character of `b` adds
+    the words of its own places to the row, with a carry from word to word, and the bits that end as 0 are the length.
+    """
+    x, y = (F.split(F.coalesce(c, F.lit("")), "") for c in (a, b))
+    x, y = F.array_remove(x, ""), F.array_remove(y, "")
+    words = lambda chars: F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(chars) / WORD).cast("int") - 1))
+    bits = lambda chars, c: F.aggregate(F.reverse(chars), F.lit(0).cast("long"), lambda s, k: F.shiftleft(s, 1) + (k == c).cast("long"))
+    full = F.lit((1 << WORD) - 1)
+
+    def counted(s: Column) -> Column:
+        places = F.transform(s["letters"], lambda c: F.transform(words(s["x"]), lambda w: bits(F.slice(s["x"], w * WORD + 1, WORD), c)))
+        return F.struct(s["x"].alias("x"), s["y"].alias("y"), F.map_from_arrays(s["letters"], places).alias("places"))
+
+    def length(s: Column) -> Column:
+        def step(row, c):
+            mine = F.element_at(s["places"], c)
+
+            def word(acc, i):
+                v, m = F.get(row, i), F.get(mine, i)
+                total = v + v.bitwiseAND(m) + acc["carry"]
+                kept = total.bitwiseOR(v - v.bitwiseAND(m)).bitwiseAND(full)
+                return F.struct(F.shiftright(total, WORD).alias("carry"), F.array_append(acc["out"], kept).alias("out"))
+
+            start = F.struct(F.lit(0).cast("long").alias("carry"), F.array().cast("array<bigint>").alias("out"))
+            return F.when(mine.isNull(), row).otherwise(F.aggregate(words(s["x"]), start, word, lambda acc: acc["out"]))
+
+        row = F.aggregate(s["y"], F.transform(words(s["x"]), lambda _: full), step)
+        ones = F.aggregate(row, F.lit(0).cast("int"), lambda n, v: n + F.bit_count(v))
+        return F.size(row) * WORD - ones
+
+    # each struct is made once and read by the next lambda: names for values that are used several times
+    once = lambda value, f: F.get(F.transform(F.array(value), f), 0)
+    state = once(F.struct(x.alias("x"), y.alias("y"), F.array_distinct(x).alias("letters")), counted)
+    ratio = lambda s: F.when(F.size(s["x"]) + F.size(s["y"]) == 0, 100.0).otherwise(200.0 * length(s) / (F.size(s["x"]) + F.size(s["y"])))
+    return F.when(a == b, 100.0).otherwise(once(state, ratio))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.geometry import Box, bbox_gap
-from ..functions.text import RAISED, clean_header_text, strip
+from ..functions.text import RAISED, clean_header_text, indel_ratio, strip
 
 PAGE = ["doc_id", "page_id"]
 
@@ -59,29 +58,6 @@ def common_elements(first_texts: DataFrame, ratio: float = 0.2, least: int = 3,
     return x.where((F.col("n") >= least) & ((F.col("k") >= ratio * F.col("n")) | (F.col("longest") >= streak)) & (F.col("k") > 3)).select("doc_id", "text", "k")
 
 
-@F.pandas_udf(T.DoubleType())
-def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """100 * 2 LCS / (both lengths), in Arrow batches; rows of the pattern's bits are updated word by word (big integers)."""
-
-    def one(x: str, y: str) -> float:
-        if not x and not y:
-            return 100.0
-        if x == y:
-            return 100.0
-        where: dict[str, int] = {}
-        for i, c in enumerate(x):
-            where[c] = where.get(c, 0) | 1 << i
-        full = (1 << len(x)) - 1
-        row = full
-        for c in y:
-            hit = row & where.get(c, 0)
-            row = ((row + hit) | (row - hit)) & full
-        lcs = len(x) - bin(row).count("1")
-        return 200.0 * lcs / (len(x) + len(y))
-
-    return pd.Series([one(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=float)
-
-
 def ignore_common(blocks: DataFrame, common: DataFrame, score: float = 90.0) -> DataFrame:
     """Blocks whose cleaned text is nearly a common text of their document. Lengths that can't reach the score are left out first."""
     c = common.select("doc_id", F.col("text").alias("common"))
@@ -95,13 +71,18 @@ def ignore_common(blocks: DataFrame, common: DataFrame, score: float = 90.0) ->
 def group_lists(blocks: DataFrame, pages: DataFrame, gap: float = 0.1) -> DataFrame:
     """List items with `list_group`: runs of items whose gap to the one before is small; single items have none."""
     b = blocks.join(pages.select(*PAGE, "height"), PAGE)
+    return with_list_groups(b, gap).where("block_type = 'ListItem'").drop("height")
+
+
+def with_list_groups(b: DataFrame, gap: float = 0.1) -> DataFrame:
+    """Blocks with the height of their page get list_group; blocks that are no list items have none."""
     w = Window.partitionBy(*PAGE).orderBy("block_id")
     before = Box(*(F.lag(k).over(w) for k in ("x0", "y0", "x1", "y1")))
     joins = (F.lag("block_type").over(w) == "ListItem") & (bbox_gap(before, Box.of()) < gap * F.col("height"))
     b = b.withColumn("_new", F.when((F.col("block_type") == "ListItem") & F.coalesce(joins, F.lit(False)), 0).otherwise(1))
-    b = b.withColumn("_run", F.sum("_new").over(w)).where("block_type = 'ListItem'")
+    b = b.withColumn("_run", F.sum("_new").over(w))
     n = F.count("*").over(Window.partitionBy(*PAGE, "_run"))
-    return b.withColumn("list_group", F.when(n > 1, F.col("_run"))).drop("_new", "_run", "height")
+    return b.withColumn("list_group", F.when((n > 1) & (F.col("block_type") == "ListItem"), F.col("_run"))).drop("_new", "_run")
 
 
 def unmark_lists(items: DataFrame) -> DataFrame:
@@ -118,6 +99,38 @@ def code_format(lines: DataFrame) -> DataFrame:
     return x.groupBy(*by).agg(F.rtrim(joined(F.col("line"), "\n", "line_no")).alias("code"))
 
 
+def code_text(lines: Column) -> Column:
+    """code_format for an array of lines(line_no, x0, x1, text) in order."""
+    total = lambda f: F.aggregate(lines, F.lit(0.0), lambda s, x: s + f(x))
+    size = total(lambda x: x.x1 - x.x0) / F.nullif(total(lambda x: F.length(x.text).cast("double")), F.lit(0.0))
+    left = F.array_min(F.transform(lines, lambda x: x.x0))
+    indent = lambda x: F.when(size > 0, ((x.x0 - left) / size).cast("int")).otherwise(0)
+    return F.rtrim(F.array_join(F.transform(lines, lambda x: F.concat(F.repeat(F.lit(" "), indent(x)), x.text)), "\n"))
+
+
+def with_running(blocks: DataFrame, ratio: float = 0.2, least: int = 3, streak: int = 3, score: float = 90.0) -> DataFrame:
+    """Adds `running` to first and last blocks of pages whose text repeats over the document, or nearly does.
+
+    common_elements and ignore_common as windows over documents, for first blocks and for last ones by themselves. The
+    common texts of a document are few: each stands on more than three pages.
+    """
+    page = Window.partitionBy(*PAGE)
+    b = blocks.withColumn("_t", clean_header_text(F.col("text")))
+    for side, edge in (("_f", F.min), ("_l", F.max)):
+        b = b.withColumn(side, F.col("block_id") == edge("block_id").over(page))
+        own, same = ["doc_id", side], ["doc_id", side, "_t"]
+        in_order = lambda keys: Window.partitionBy(*keys).orderBy("page_id")
+        b = b.withColumns({"_n": F.count("*").over(Window.partitionBy(*own)), "_k": F.count("*").over(Window.partitionBy(*same)), "_run": F.row_number().over(in_order(own)) - F.row_number().over(in_order(same))})
+        b = b.withColumn("_long", F.count("*").over(Window.partitionBy(*same, "_run"))).withColumn("_longest", F.max("_long").over(Window.partitionBy(*same)))
+        common = F.col(side) & (F.col("_n") >= least) & ((F.col("_k") >= ratio * F.col("_n")) | (F.col("_longest") >= streak)) & (F.col("_k") > 3)
+        b = b.withColumn(f"_c{side}", F.collect_set(F.when(common, F.col("_t"))).over(Window.partitionBy("doc_id")))
+    n = F.length("_t")
+    reach = lambda c: 200.0 * F.least(n, F.length(c)) >= score * (n + F.length(c))
+    near = lambda c: (c == F.col("_t")) | (reach(c) & (indel_ratio(F.col("_t"), c) > score))
+    hit = (F.col("_f") & F.exists("_c_f", near)) | (F.col("_l") & F.exists("_c_l", near))
+    return b.withColumn("running", hit).drop("_t", "_f", "_l", "_n", "_k", "_run", "_long", "_longest", "_c_f", "_c_l")
+
+
 def footnote_superscript(spans: DataFrame, blocks: DataFrame) -> DataFrame:
     """The first span of each footnote, and whether it begins with digits or marks."""
     foot = blocks.where("block_type = 'Footnote'").select(*PAGE, F.col("block_id").alias("block_no"))
@@ -133,35 +146,48 @@ def linenum_spans(spans: DataFrame, ratio: float = 0.6) -> DataFrame:
     return first.withColumn("share", share).where((F.col("share") > ratio) & F.col("numeric")).select(*PAGE, "line_no", "span_id")
 
 
-def linenum_blocks(blocks: DataFrame, ratio: float = 0.6) -> DataFrame:
-    """Tall narrow blocks made of numbers."""
+def is_line_numbers(ratio: float = 0.6) -> Column:
+    """A tall narrow block made of numbers."""
     tokens = F.filter(F.split("text", r"\s+"), lambda x: x != "")
     digits = F.filter(tokens, lambda x: x.rlike(r"^\d+$"))
     share = F.try_divide(F.size(digits), F.size(tokens))
-    return blocks.where((F.size(tokens) >= 4) & (share > ratio) & (F.col("y1") - F.col("y0") > F.col("x1") - F.col("x0")))
+    return F.coalesce((F.size(tokens) >= 4) & (share > ratio) & (F.col("y1") - F.col("y0") > F.col("x1") - F.col("x0")), F.lit(False))
+
+
+def linenum_blocks(blocks: DataFrame, ratio: float = 0.6) -> DataFrame:
+    return blocks.where(is_line_numbers(ratio))
 
 
 def heading_levels(heights: DataFrame, levels: int = 4, merge: float = 0.25, default: int = 2, tol: float = 0.99) -> DataFrame:
-    """Adds heading_level. heights is (doc_id, page_id, block_id, line_height).
+    """Adds heading_level. heights is (doc_id, page_id, block_id, line_height) of headings.
 
     With more headings than levels, a document's heights are cut at their `levels - 1` largest gaps, and adjacent
     clusters merge unless the taller mean less a quarter is still above the smaller mean. Levels count from the
     tallest cluster; a heading takes the first whose least height times `tol` it reaches, else the default.
     """
-    w = Window.partitionBy("doc_id").orderBy(F.desc("line_height"), "page_id", "block_id")
+    return with_heading_levels(heights, F.lit(True), levels, merge, default, tol)
+
+
+def with_heading_levels(blocks: DataFrame, heading: Column, levels: int = 4, merge: float = 0.25, default: int = 2, tol: float = 0.99) -> DataFrame:
+    """heading_levels over blocks of which some are headings; the others get null. Windows over documents, no join."""
+    own = ["doc_id", "_heading"]
+    w = Window.partitionBy(*own).orderBy(F.desc("line_height"), "page_id", "block_id")
     gap = F.coalesce(F.lag("line_height").over(w) - F.col("line_height"), F.lit(0.0))
-    h = heights.withColumns({"_n": F.count("*").over(Window.partitionBy("doc_id")), "_gap": gap, "_i": F.row_number().over(w)})
-    cut_rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("_gap"), "_i"))
-    h = h.withColumn("_cut", ((cut_rank <= levels - 1) & (F.col("_gap") > 0)).cast("int")).withColumn("_cluster", F.sum("_cut").over(Window.partitionBy("doc_id").orderBy("_i")))
-    c = h.groupBy("doc_id", "_cluster").agg(F.avg("line_height").alias("mean"), F.min("line_height").alias("low"))
-    up = Window.partitionBy("doc_id").orderBy("_cluster")
-    apart = F.lag("mean").over(up) * (1 - merge) >= F.col("mean")
-    c = c.withColumn("_start", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("level", F.sum("_start").over(up))
-    ranges = c.groupBy("doc_id", "level").agg(F.min("low").alias("low"))
-    fits = h.join(ranges, "doc_id").where(F.col("low") * tol <= F.col("line_height")).groupBy(*PAGE, "block_id").agg(F.min("level").alias("found"))
-    out = h.join(fits, [*PAGE, "block_id"], "left")
-    level = F.when(F.col("_n") > levels, F.coalesce("found", F.lit(default))).otherwise(F.lit(default))
-    return out.select(*PAGE, "block_id", "line_height", level.cast("int").alias("heading_level"))
+    h = blocks.withColumn("_heading", heading).withColumns({"_n": F.count("*").over(Window.partitionBy(*own)), "_gap": gap, "_i": F.row_number().over(w)})
+    cut_rank = F.row_number().over(Window.partitionBy(*own).orderBy(F.desc("_gap"), "_i"))
+    in_order = Window.partitionBy(*own).orderBy("_i")
+    h = h.withColumn("_cut", ((cut_rank <= levels - 1) & (F.col("_gap") > 0)).cast("int")).withColumn("_cluster", F.sum("_cut").over(in_order))
+    h = h.withColumn("_mean", F.avg("line_height").over(Window.partitionBy(*own, "_cluster")))
+    # at the first of a cluster the one before is the cluster above
+    apart = (F.col("_cut") == 1) & (F.lag("_mean").over(in_order) * (1 - merge) >= F.col("_mean"))
+    h = h.withColumn("_level", 1 + F.sum(F.coalesce(apart, F.lit(False)).cast("int")).over(in_order))
+    h = h.withColumn("_low", F.min("line_height").over(Window.partitionBy(*own, "_level")))
+    # at most as many as levels
+    lows = F.collect_set(F.struct("_level", "_low")).over(Window.partitionBy(*own))
+    h = h.withColumn("_lows", F.when(F.col("_heading"), lows))
+    found = F.array_min(F.transform(F.filter("_lows", lambda r: r["_low"] * tol <= F.col("line_height")), lambda r: r["_level"]))
+    level = F.when(F.col("_n") > levels, F.coalesce(found, F.lit(default))).otherwise(F.lit(default))
+    return h.withColumn("heading_level", F.when(F.col("_heading"), level.cast("int"))).drop("_heading", "_n", "_gap", "_i", "_cut", "_cluster", "_mean", "_level", "_low", "_lows")
 
 
 def toc(headers: DataFrame, boxes: bool = False) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.geometry import Box, bbox_gap, intersection_area
 from .layout import PAGE, renamed
@@ -19,7 +19,11 @@ def group_captions(blocks: DataFrame, pages: DataFrame, gap: float = 0.05) -> Da
 
     A caption before a block belongs to it unless the block before that caption has taken it as its next one.
     """
-    b = blocks.join(pages.select(*PAGE, "height"), PAGE)
+    return with_caption_groups(blocks.join(pages.select(*PAGE, "height"), PAGE), gap).drop("height")
+
+
+def with_caption_groups(b: DataFrame, gap: float = 0.05) -> DataFrame:
+    """group_captions for blocks with the height of their page."""
     w = _page()
     side = lambda f: Box(*(f(k).over(w) for k in ("x0", "y0", "x1", "y1")))
     main = F.col("block_type").isin(GROUPED)
@@ -29,7 +33,7 @@ def group_captions(blocks: DataFrame, pages: DataFrame, gap: float = 0.05) -> Da
     free = ~F.coalesce(F.lag("_next", 2).over(w), F.lit(False))
     b = b.withColumn("_prev", F.col("_near_prev") & free)
     owner = F.when(F.col("_next") | F.col("_prev"), F.col("block_id")).when(F.lag("_next").over(w), F.lag("block_id").over(w)).when(F.lead("_prev").over(w), F.lead("block_id").over(w))
-    return b.withColumn("group_of", owner).drop("_next", "_prev", "_near_prev", "height")
+    return b.withColumn("group_of", owner).drop("_next", "_prev", "_near_prev")
 
 
 def reorder_sliced(blocks: DataFrame, spans: DataFrame, pages: DataFrame) -> DataFrame:
@@ -62,18 +66,37 @@ def linenum_edges(spans: DataFrame, least_lines: int = 4, least_length: int = 10
 
 def text_continuation(blocks: DataFrame, lines: DataFrame, pages: DataFrame, gap: float = 0.02) -> DataFrame:
     """Adds has_continuation to text blocks: the text goes on in the next column or on the next page."""
-    own = lines.withColumn("_w", F.col("x1") - F.col("x0"))
-    agg = own.groupBy(*PAGE, F.col("block_no").alias("block_id")).agg(F.count("*").alias("n"), F.ceil(F.min("x0")).alias("min_x"), F.min_by("x0", "line_no").alias("first_x"), F.floor(F.max(F.when(F.col("_w") > 1, F.col("x1")))).alias("max_x"), F.max_by("x1", F.when(F.col("_w") > 1, F.col("line_no"))).alias("last_x"), F.max_by("text", F.when(F.col("_w") > 1, F.col("line_no"))).alias("last_text"))
-    b = blocks.where(~F.col("block_type").isin("PageHeader", "PageFooter")).join(agg, [*PAGE, "block_id"], "left").join(pages.select(*PAGE, "width", "height"), PAGE)
-    w = Window.partitionBy("doc_id").orderBy("page_id", "block_id")
-    n = {k: F.lead(k).over(w) for k in ("page_id", "block_type", "x0", "y0", "n", "min_x", "first_x", "width", "height")}
+    rows = F.array_sort(F.collect_list(F.struct("line_no", "x0", "x1", "text")))
+    own = lines.groupBy(*PAGE, F.col("block_no").alias("block_id")).agg(rows.alias("lines"))
+    b = blocks.where(~F.col("block_type").isin("PageHeader", "PageFooter")).join(own, [*PAGE, "block_id"], "left").join(pages.select(*PAGE, "width", "height"), PAGE)
+    return with_continuation(b, gap).select(*PAGE, "block_id", "has_continuation")
+
+
+def with_continuation(blocks: DataFrame, gap: float = 0.02) -> DataFrame:
+    """text_continuation for blocks with their lines(line_no, x0, x1, text) in order and the size of their page.
+
+    Headers and footers of pages are passed over.
+    """
+    wide = F.filter("lines", lambda x: x.x1 - x.x0 > 1)
+    edges = {
+        "_n": F.nullif(F.size("lines"), F.lit(0)),
+        "_min_x": F.ceil(F.array_min(F.transform("lines", lambda x: x.x0))),
+        "_first_x": F.get("lines", F.lit(0)).x0,
+        "_max_x": F.floor(F.array_max(F.transform(wide, lambda x: x.x1))),
+        "_last_x": F.try_element_at(wide, F.lit(-1)).x1,
+        "_last_text": F.try_element_at(wide, F.lit(-1)).text,
+        "_aside": F.col("block_type").isin("PageHeader", "PageFooter"),
+    }
+    b = blocks.withColumns(edges).withColumn("_n", F.when(F.col("_n") > 0, F.col("_n")))
+    w = Window.partitionBy("doc_id", "_aside").orderBy("page_id", "block_id")
+    n = {k: F.lead(k).over(w) for k in ("page_id", "block_type", "x0", "y0", "_n", "_min_x", "_first_x", "width", "height")}
     column = (n["page_id"] == F.col("page_id")) & (F.floor(n["y0"]) <= F.ceil("y0")) & (n["x0"] > F.col("x1") + (F.col("x1") - F.col("x0")) * gap)
     page = n["page_id"] != F.col("page_id")
     quadrant = (n["x0"] < F.floor(n["width"] / 2)) & (n["y0"] < F.floor(n["height"] / 2))
-    indented = F.when(n["n"].isNotNull(), n["first_x"] > n["min_x"]).otherwise(True)
-    open_end = (F.col("last_x") >= F.col("max_x")) | F.regexp_like(F.trim("last_text"), F.lit(r"[\p{Ll}\d][-—¬]\s?$"))
-    goes = (F.col("block_type") == "Text") & (F.col("n") >= 2) & (n["block_type"] == "Text") & n["n"].isNotNull() & open_end & ~indented & ((quadrant & page) | column)
-    return b.select(*PAGE, "block_id", F.coalesce(goes, F.lit(False)).alias("has_continuation"))
+    indented = F.when(n["_n"].isNotNull(), n["_first_x"] > n["_min_x"]).otherwise(True)
+    open_end = (F.col("_last_x") >= F.col("_max_x")) | F.regexp_like(F.trim("_last_text"), F.lit(r"[\p{Ll}\d][-—¬]\s?$"))
+    goes = (F.col("block_type") == "Text") & (F.col("_n") >= 2) & (n["block_type"] == "Text") & n["_n"].isNotNull() & open_end & ~indented & ((quadrant & page) | column)
+    return b.withColumn("has_continuation", F.coalesce(goes, F.lit(False))).drop(*edges)
 
 
 def list_indent(items: DataFrame, pages: DataFrame, indent: float = 0.01) -> DataFrame:
@@ -83,11 +106,17 @@ def list_indent(items: DataFrame, pages: DataFrame, indent: float = 0.01) -> Dat
     """
     rows = F.array_sort(F.collect_list(F.struct("block_id", "x0", "y0", "x1")))
     g = items.join(pages.select(*PAGE, "width"), PAGE).groupBy(*PAGE, "group_id").agg(rows.alias("items"), F.first("width").alias("width"))
-    tol = F.col("width") * indent
-    g = g.withColumn("items", F.transform("items", lambda x, i: F.struct(x.block_id.alias("block_id"), x.x0.alias("x0"), x.y0.alias("y0"), x.x1.alias("x1"), F.get(F.col("items"), i + 1).x0.alias("nx0"), F.get(F.col("items"), i + 1).y0.alias("ny0"))))
+    after = lambda i: F.get(F.col("items"), i + 1)
+    g = g.withColumn("items", F.transform("items", lambda x, i: F.struct(x.block_id.alias("block_id"), x.x0.alias("x0"), x.y0.alias("y0"), x.x1.alias("x1"), after(i).x0.alias("nx0"), after(i).y0.alias("ny0"))))
+    out = g.select(*PAGE, "group_id", F.explode(indent_levels(F.col("items"), F.col("width") * indent)).alias("o"))
+    return out.select(*PAGE, "group_id", "o.block_id", F.col("o.level").alias("list_indent_level"))
+
+
+def indent_levels(items: Column, tol: Column) -> Column:
+    """(block_id, level) of the items of one group in order; nx0 and ny0 are where the next one starts."""
     kind = "struct<stack:array<struct<x0:double,y0:double,level:int>>,out:array<struct<block_id:int,level:int>>>"
     entry = "struct<x0:double,y0:double,level:int>"
-    first = F.get(F.col("items"), 0)
+    first = F.get(items, 0)
     start = F.struct(F.array(F.struct(first.x0.alias("x0"), first.y0.alias("y0"), F.lit(0).alias("level"))).alias("stack"), F.array().cast("array<struct<block_id:int,level:int>>").alias("out")).cast(kind)
 
     def step(acc, x):
@@ -99,8 +128,7 @@ def list_indent(items: DataFrame, pages: DataFrame, indent: float = 0.01) -> Dat
         stack = F.when(F.coalesce(x.nx0 > x.x1, F.lit(False)), reset).otherwise(F.array_append(keep, me))
         return F.struct(stack.alias("stack"), F.array_append(acc.out, F.struct(x.block_id.alias("block_id"), level.alias("level"))).alias("out")).cast(kind)
 
-    out = g.select(*PAGE, "group_id", F.explode(F.aggregate("items", start, step).out).alias("o"))
-    return out.select(*PAGE, "group_id", "o.block_id", F.col("o.level").alias("list_indent_level"))
+    return F.aggregate(items, start, step).out
 
 
 def list_nest(items: DataFrame) -> DataFrame:
@@ -142,17 +170,29 @@ def blockquote(blocks: DataFrame, indent: float = 0.1, tol: float = 0.01) -> Dat
     blocks are (doc_id, page_id, block_id, block_type, n_lines, x0, y0, x1, y1). A block of two lines or more opens
     a quote at the next text block when that is indented and below; the quote goes on while edges align.
     """
-    w = _page()
-    nxt = {k: F.lead(k).over(w) for k in ("block_type", "n_lines", "x0", "y0", "x1")}
-    width = F.col("x1") - F.col("x0")
-    b = blocks.withColumns({
-        "_pair": F.coalesce((F.col("block_type") == "Text") & (F.col("n_lines") >= 2) & (nxt["block_type"] == "Text"), F.lit(False)),
-        "_open": F.coalesce((nxt["x0"] > F.col("x0") + indent * width) & (nxt["y0"] > F.col("y1")), F.lit(False)),
-        "_even": F.coalesce((F.abs(nxt["x1"] - F.col("x1")) < tol * width) & (F.abs(nxt["x0"] - F.col("x0")) < tol * width), F.lit(False)),
-        "_tall": F.coalesce(nxt["n_lines"] >= 2, F.lit(False)),
-    })
-    rows = F.array_sort(F.collect_list(F.struct("block_id", "_pair", "_open", "_even", "_tall")))
-    g = b.groupBy(*PAGE).agg(rows.alias("rows"))
+    rows = F.array_sort(F.collect_list(F.struct("block_id", *quote_flags(indent, tol))))
+    g = blocks.withColumns({f"_{k}": F.lead(k).over(_page()) for k in QUOTED}).groupBy(*PAGE).agg(rows.alias("rows"))
+    out = g.select(*PAGE, F.explode(quote_levels(F.col("rows"))).alias("o"))
+    return out.select(*PAGE, "o.block_id", F.col("o.level").alias("blockquote_level"))
+
+
+QUOTED = ("block_type", "n_lines", "x0", "y0", "x1")
+
+
+def quote_flags(indent: float = 0.1, tol: float = 0.01) -> list[Column]:
+    """What a block and its next one (columns with _ before them) have to do with each other."""
+    c, width = F.col, F.col("x1") - F.col("x0")
+    flags = {
+        "_pair": (c("block_type") == "Text") & (c("n_lines") >= 2) & (c("_block_type") == "Text"),
+        "_open": (c("_x0") > c("x0") + indent * width) & (c("_y0") > c("y1")),
+        "_even": (F.abs(c("_x1") - c("x1")) < tol * width) & (F.abs(c("_x0") - c("x0")) < tol * width),
+        "_tall": c("_n_lines") >= 2,
+    }
+    return [F.coalesce(f, F.lit(False)).alias(k) for k, f in flags.items()]
+
+
+def quote_levels(rows: Column) -> Column:
+    """(block_id, level) of a page's blocks (block_id and quote_flags) in order."""
     kind = "struct<next:int,out:array<struct<block_id:int,level:int>>>"
     start = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<block_id:int,level:int>>").alias("out")).cast(kind)
 
@@ -162,8 +202,7 @@ def blockquote(blocks: DataFrame, indent: float = 0.1, tol: float = 0.01) -> Dat
         new = F.when(~x["_pair"], 0).when(level > 0, going).when(x["_tall"] & x["_open"], 1).otherwise(0)
         return F.struct(new.alias("next"), F.array_append(acc.out, F.struct(x.block_id.alias("block_id"), level.alias("level"))).alias("out")).cast(kind)
 
-    out = g.select(*PAGE, F.explode(F.aggregate("rows", start, step).out).alias("o"))
-    return out.select(*PAGE, "o.block_id", F.col("o.level").alias("blockquote_level"))
+    return F.aggregate(rows, start, step).out
 
 
 def math_candidates(blocks: DataFrame, lines: DataFrame, ratio: float = 0.4) -> DataFrame:
