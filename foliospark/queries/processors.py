@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
+from ..functions.text import indel_ratio as indel
 from ..operators import aggregates as agg, layout, processors as op
 from ..sources.fixtures import fixture, oracle
 from .registry import query
@@ -60,11 +61,23 @@ def ignore_common(spark, d):
     return op.ignore_common(r.select(*KEY, F.col("rtext").alias("text")), common)
 
 
-@query("indel_ratio")
+# The row of bits in two words of 120 bits; a step for each character of the other text.
+RATIO = """, s AS (SELECT doc_id, line_no, text AS a, lead(text) OVER (PARTITION BY doc_id ORDER BY line_no) AS b FROM fx_lines),
+    x AS (SELECT doc_id, line_no, string_split(a, '') AS xs, string_split(b, '') AS ys FROM s WHERE b IS NOT NULL),
+    go AS (WITH RECURSIVE g AS (SELECT doc_id, line_no, xs, ys, 1 AS i, (1::HUGEINT<<120)-1 AS lo, (1::HUGEINT<<120)-1 AS hi FROM x
+        UNION ALL SELECT doc_id, line_no, xs, ys, i+1, ((lo+m0)|(lo-m0))&ones, ((hi+m1+((lo+m0)>>120))|(hi-m1))&ones
+        FROM (SELECT *, (1::HUGEINT<<120)-1 AS ones,
+                lo & coalesce(list_sum([CASE WHEN xs[k]=ys[i] THEN 1::HUGEINT<<(k-1) ELSE 0::HUGEINT END FOR k IN generate_series(1, least(120, len(xs)))]), 0)::HUGEINT AS m0,
+                hi & coalesce(list_sum([CASE WHEN xs[k]=ys[i] THEN 1::HUGEINT<<(k-121) ELSE 0::HUGEINT END FOR k IN generate_series(121, len(xs))]), 0)::HUGEINT AS m1 FROM g WHERE i<=len(ys)) q)
+        SELECT doc_id, line_no, len(xs) AS n, len(ys) AS m, 240-bit_count(lo)-bit_count(hi) AS lcs FROM g WHERE i=len(ys)+1)
+    SELECT doc_id, line_no, round(200.0*lcs/(n+m), 6) AS score FROM go"""
+
+
+@query("indel_ratio", oracle("fx_lines", RATIO))
 def indel_ratio(spark, d):
-    a = fx(spark, d, "btext")[0].select(*KEY, "text")
-    b = a.select(*PAGE, (F.col("block_id") - 1).alias("block_id"), F.col("text").alias("other"))
-    return a.join(b, KEY).select(*KEY, op.indel_ratio(F.col("text"), F.col("other")).alias("score"))
+    """Each line of a document against the next one."""
+    x = fx(spark, d, "lines")[0].withColumn("other", F.lead("text").over(Window.partitionBy("doc_id").orderBy("line_no")))
+    return x.where("other is not null").select("doc_id", "line_no", F.round(indel(F.col("text"), F.col("other")), 6).alias("score"))
 
 
 LISTS = ", b AS (SELECT *, lag(block_type) OVER w AS pt, lag(x0) OVER w AS u0, lag(y0) OVER w AS v0, lag(x1) OVER w AS u1, lag(y1) OVER w AS v1 FROM fx_boxes WINDOW w AS (PARTITION BY doc_id, page_id ORDER BY block_id)), r AS (SELECT *, sum(CASE WHEN block_type='ListItem' AND pt='ListItem' AND (CASE WHEN least(x1,u1)>greatest(x0,u0) AND least(y1,v1)>greatest(y0,v0) THEN 0 ELSE sqrt(greatest(0::DOUBLE,u0-x1,x0-u1)**2+greatest(0::DOUBLE,v0-y1,y0-v1)**2) END)<0.1*792 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page_id ORDER BY block_id) AS run FROM b), g AS (SELECT doc_id, page_id, block_id, CASE WHEN count(*) OVER (PARTITION BY doc_id, page_id, run)>1 THEN run::BIGINT END AS list_group FROM r WHERE block_type='ListItem') "
