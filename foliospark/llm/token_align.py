@@ -86,9 +86,9 @@ class Pair:
 
 
 def gallop(short: np.ndarray, long: np.ndarray, steps: int = 64) -> np.ndarray:
-    """For each value of short its first index in long that is not smaller. Both ascend; long's last is short's largest or more.
+    """For each value of short its first index in long that is not smaller. Both ascend; long's last is no smaller than short's.
 
-    The values are taken in strips of `steps`. All strips walk on together: each doubles its step from where it found
+    The values are taken in strips of `steps` (2 or more). All strips walk on together: each doubles its step from where it found
     its last value, until it is past the next one, and then halves the gap. Strips start where their first values are
     found, by the same search over the first values alone.
     """
