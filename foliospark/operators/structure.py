@@ -72,30 +72,35 @@ def text_continuation(blocks: DataFrame, lines: DataFrame, pages: DataFrame, gap
     return with_continuation(b, gap).select(*PAGE, "block_id", "has_continuation")
 
 
+def line_edges() -> dict[str, Column]:
+    """What with_continuation needs to know of a block's lines; with these columns there, it does without the lines."""
+    wide = F.filter("lines", lambda x: x.x1 - x.x0 > 1)
+    return {
+        "_e_n": F.when(F.size("lines") > 0, F.size("lines")),
+        "_e_min_x": F.ceil(F.array_min(F.transform("lines", lambda x: x.x0))),
+        "_e_first_x": F.get("lines", F.lit(0)).x0,
+        "_e_max_x": F.floor(F.array_max(F.transform(wide, lambda x: x.x1))),
+        "_e_last_x": F.try_element_at(wide, F.lit(-1)).x1,
+        "_e_last_text": F.try_element_at(wide, F.lit(-1)).text,
+        "_e_aside": F.col("block_type").isin("PageHeader", "PageFooter"),
+    }
+
+
 def with_continuation(blocks: DataFrame, gap: float = 0.02) -> DataFrame:
     """text_continuation for blocks with their lines(line_no, x0, x1, text) in order and the size of their page.
 
     Headers and footers of pages are passed over.
     """
-    wide = F.filter("lines", lambda x: x.x1 - x.x0 > 1)
-    edges = {
-        "_n": F.nullif(F.size("lines"), F.lit(0)),
-        "_min_x": F.ceil(F.array_min(F.transform("lines", lambda x: x.x0))),
-        "_first_x": F.get("lines", F.lit(0)).x0,
-        "_max_x": F.floor(F.array_max(F.transform(wide, lambda x: x.x1))),
-        "_last_x": F.try_element_at(wide, F.lit(-1)).x1,
-        "_last_text": F.try_element_at(wide, F.lit(-1)).text,
-        "_aside": F.col("block_type").isin("PageHeader", "PageFooter"),
-    }
-    b = blocks.withColumns(edges).withColumn("_n", F.when(F.col("_n") > 0, F.col("_n")))
-    w = Window.partitionBy("doc_id", "_aside").orderBy("page_id", "block_id")
-    n = {k: F.lead(k).over(w) for k in ("page_id", "block_type", "x0", "y0", "_n", "_min_x", "_first_x", "width", "height")}
+    edges = line_edges()
+    b = blocks if set(edges) <= set(blocks.columns) else blocks.withColumns(edges)
+    w = Window.partitionBy("doc_id", "_e_aside").orderBy("page_id", "block_id")
+    n = {k: F.lead(k).over(w) for k in ("page_id", "block_type", "x0", "y0", "_e_n", "_e_min_x", "_e_first_x", "width", "height")}
     column = (n["page_id"] == F.col("page_id")) & (F.floor(n["y0"]) <= F.ceil("y0")) & (n["x0"] > F.col("x1") + (F.col("x1") - F.col("x0")) * gap)
     page = n["page_id"] != F.col("page_id")
     quadrant = (n["x0"] < F.floor(n["width"] / 2)) & (n["y0"] < F.floor(n["height"] / 2))
-    indented = F.when(n["_n"].isNotNull(), n["_first_x"] > n["_min_x"]).otherwise(True)
-    open_end = (F.col("_last_x") >= F.col("_max_x")) | F.regexp_like(F.trim("_last_text"), F.lit(r"[\p{Ll}\d][-—¬]\s?$"))
-    goes = (F.col("block_type") == "Text") & (F.col("_n") >= 2) & (n["block_type"] == "Text") & n["_n"].isNotNull() & open_end & ~indented & ((quadrant & page) | column)
+    indented = F.when(n["_e_n"].isNotNull(), n["_e_first_x"] > n["_e_min_x"]).otherwise(True)
+    open_end = (F.col("_e_last_x") >= F.col("_e_max_x")) | F.regexp_like(F.trim("_e_last_text"), F.lit(r"[\p{Ll}\d][-—¬]\s?$"))
+    goes = (F.col("block_type") == "Text") & (F.col("_e_n") >= 2) & (n["block_type"] == "Text") & n["_e_n"].isNotNull() & open_end & ~indented & ((quadrant & page) | column)
     return b.withColumn("has_continuation", F.coalesce(goes, F.lit(False))).drop(*edges)
 
 

@@ -130,6 +130,11 @@ def format_code(c: Corpus) -> Corpus:
     return replace(c, blocks=c.blocks.withColumn("code", F.when(F.col("block_type") == "Code", processors.code_text(F.col("lines")))))
 
 
+def measure_lines(c: Corpus) -> Corpus:
+    """Blocks keep what later steps need to know of their lines, instead of the lines."""
+    return replace(c, blocks=c.blocks.withColumns(structure.line_edges()).drop("lines"))
+
+
 def group_lists(c: Corpus) -> Corpus:
     """Adds list_group to runs of list items; single items become text, laid_type keeps what they were."""
     b = processors.with_list_groups(c.blocks.withColumn("laid_type", F.col("block_type")))
@@ -186,7 +191,7 @@ def order_blocks(c: Corpus) -> Corpus:
     return replace(c, blocks=c.blocks.withColumn("place", F.row_number().over(Window.partitionBy(*PAGE).orderBy(rank, "block_id"))))
 
 
-DEFAULT: list[Processor] = [make_blocks, format_code, drop_running, drop_line_numbers, group_lists, group_captions, indent_blocks, set_levels, join_paragraphs, order_blocks]
+DEFAULT: list[Processor] = [make_blocks, format_code, measure_lines, drop_running, drop_line_numbers, group_lists, group_captions, indent_blocks, set_levels, join_paragraphs, order_blocks]
 
 
 def with_processors(corpus: Corpus, functions: list[Processor] | None = None) -> Corpus:
