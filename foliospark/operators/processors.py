@@ -225,6 +225,21 @@ def equation_candidates(blocks: DataFrame, pages: DataFrame, least: float = 0.06
     return x.where(F.lit(redo) | ((F.col("y1") - F.col("y0")) / F.col("height") >= least)).drop("height")
 
 
+def picture_candidates(blocks: DataFrame, extract_images: bool = True, types: tuple[str, ...] = ("Picture", "Figure")) -> DataFrame:
+    """Blocks that get a description: pictures and figures, but none where images are taken out as files."""
+    return blocks.where(F.col("block_type").isin(*types) & F.lit(not extract_images))
+
+
+def form_candidates(blocks: DataFrame, cells: DataFrame, types: tuple[str, ...] = ("Form",)) -> DataFrame:
+    """Forms that hold table cells: cells(doc_id, page_id, block_id) name the form that they stand in."""
+    return blocks.where(F.col("block_type").isin(*types)).join(cells.select(*PAGE, "block_id").distinct(), [*PAGE, "block_id"], "left_semi")
+
+
+def det_conf_filter(lines: DataFrame, least: float = 0.8) -> DataFrame:
+    """Detected lines whose confidence is above the least; a null confidence is not."""
+    return lines.where(F.col("confidence") > least)
+
+
 def handwriting_candidates(blocks: DataFrame, lines: DataFrame) -> DataFrame:
     n = lines.groupBy(*PAGE, F.col("block_no").alias("block_id")).agg(F.count("*").alias("n"))
     x = blocks.join(n, [*PAGE, "block_id"], "left")

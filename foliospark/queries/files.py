@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..operators import markup
 from ..sources import files as f, outputs
 from ..sources.fixtures import fixture, oracle
 from .registry import query
@@ -119,7 +120,7 @@ def epub_image_join(spark, d):
     refs = spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("src"))
     images = refs.where(F.length("src") % 2 == 0).select(F.col("src").alias("file_name"), F.concat(F.lit("data:"), "src").alias("data")).distinct()
     refs = refs.withColumn("src", F.when(F.col("page_id") % 2 == 1, F.concat(F.lit("../"), "src")).otherwise(F.col("src")))
-    return refs.withColumn("file_name", F.replace("src", F.lit("../"), F.lit(""))).join(images, "file_name", "left").select("page_id", F.coalesce("data", "src").alias("src"))
+    return markup.epub_image_join(refs, images, ["page_id"])
 
 
 LISTED = f"""WITH x AS (SELECT 'p'||page_id||CASE page_id%3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.html' ELSE '.exe' END AS name, CASE page_id%6 WHEN 0 THEN '%PDF-' ELSE '' END||html AS content FROM pages),

@@ -178,7 +178,7 @@ def handwriting_candidates(spark, d):
 @query("picture_candidates", oracle("fx_boxes", "SELECT doc_id, page_id, block_id FROM fx_boxes WHERE block_type IN ('Picture','Figure','Table')"))
 def picture_candidates(spark, d):
     b = fx(spark, d, "boxes")[0].withColumn("block_type", F.when(F.col("block_type") == "Table", "Figure").otherwise(F.col("block_type")))
-    return b.where(F.col("block_type").isin("Picture", "Figure")).select(*KEY)
+    return op.picture_candidates(b, extract_images=False).select(*KEY)
 
 
 FULL, SKIP = ["SectionHeader", "ListItem", "Footnote", "Text", "Caption"], ["Table", "Equation"]
@@ -192,7 +192,7 @@ def ocr_mode(spark, d):
 
 @query("det_conf_filter", oracle("fx_lines", "SELECT doc_id, page_id, line_no FROM fx_lines WHERE 40+6*(line_no%10)>80"))
 def det_conf_filter(spark, d):
-    return fx(spark, d, "lines")[0].where((40 + 6 * (F.col("line_no") % 10)) / 100 > 0.8).select(*PAGE, "line_no")
+    return op.det_conf_filter(fx(spark, d, "lines")[0].withColumn("confidence", (40 + 6 * (F.col("line_no") % 10)) / 100)).select(*PAGE, "line_no")
 
 
 META = """, bl AS (SELECT *, block_id%3 AS q, coalesce(length(html), 0) AS tk FROM fx_tree),

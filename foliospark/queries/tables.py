@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import tables as op
+from ..operators import processors, tables as op
 from ..sources.fixtures import fixture, oracle
 from .registry import query
 
@@ -122,11 +122,13 @@ def cell_rebase(spark, d):
     return op.cell_rebase(c, t, (1224.0, 1584.0), (612.0, 792.0)).select("table_id", "cell_id", *[F.round(k, 6).alias(k) for k in ("x0", "y0", "x1", "y1")])
 
 
-@query("form_candidates", oracle("fx_cells", "SELECT table_id FROM fx_cells WHERE row_id>=3 GROUP BY table_id"))
+@query("form_candidates", oracle("fx_tree", "SELECT doc_id, page_id, block_id FROM fx_tree AS t WHERE block_type='Table' AND page_id%2=0 AND EXISTS (SELECT 1 FROM fx_tree AS c WHERE c.doc_id=t.doc_id AND c.page_id=t.page_id AND c.parent_id=t.block_id)"))
 def form_candidates(spark, d):
-    """Forms that have table cells: here a form per table, cells from the fourth row on."""
-    c = _cells(spark, d)
-    return c.select("table_id").distinct().join(c.where("row_id >= 3"), "table_id", "left_semi")
+    """The tables of even pages are taken for forms."""
+    b = fixture(spark, d, "fx_tree")
+    forms = b.withColumn("block_type", F.when((F.col("block_type") == "Table") & (F.col("page_id") % 2 == 0), "Form").otherwise(F.col("block_type")))
+    cells = b.where("block_type = 'TableCell'").select("doc_id", "page_id", F.col("parent_id").alias("block_id"))
+    return processors.form_candidates(forms, cells).select("doc_id", "page_id", "block_id")
 
 
 @query("sheet_to_html", "WITH o AS (SELECT o_orderpriority AS sheet, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey)-1 AS row, o_orderkey, o_orderstatus, o_custkey FROM orders), r AS (SELECT sheet, row, '<tr>' || CASE WHEN row=0 THEN '<td rowspan=\"2\" colspan=\"2\">' || o_orderkey || '</td>' WHEN row=1 THEN '' ELSE '<td>' || o_orderkey || '</td><td>' || o_orderstatus || '</td>' END || '<td>' || o_custkey || '</td></tr>' AS html FROM o) SELECT sheet, '<h1>' || sheet || '</h1><table>' || string_agg(html, '' ORDER BY row) || '</table>' AS html FROM r GROUP BY sheet")
