@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.markdown import markdown_html
 from ..functions.geometry import block_ref
 from ..functions.text import strip
 from .aggregates import joined
@@ -105,7 +106,7 @@ def accept_html(blocks: DataFrame, responses: DataFrame, kind: str) -> DataFrame
     A missing answer and one that is too short count as an error and leave the block as it is; so does an equation
     that is empty, not longer than the share or without equally many opened and closed formulas. An answer that says
     that nothing needs a correction leaves it without an error. Descriptions go to their own column; answers in
-    Markdown (complex, handwriting) stay Markdown, for the caller to turn into HTML.
+    Markdown (complex, handwriting) become HTML.
     """
     keep_phrase, least, fence = ACCEPT[kind]
     source = {"image_description": "text", "handwriting": "text"}.get(kind) or PLACES[kind][1]
@@ -123,6 +124,7 @@ def accept_html(blocks: DataFrame, responses: DataFrame, kind: str) -> DataFrame
     text = new
     if fence:
         text = strip(F.regexp_replace(F.regexp_replace(strip(new), rf"^```({fence})?", ""), r"`+$", ""))
+        text = markdown_html(text) if fence == "markdown" else text
     good = ~failed & ~keep
     describes = kind == "image_description"
     html = F.col("html") if describes else F.when(good, text).otherwise(F.col("html"))

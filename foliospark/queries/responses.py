@@ -103,8 +103,8 @@ def page_requests(spark, d):
 
 # Answers of several lengths and forms, by the number of words in a block's first line.
 ANSWER = """CASE (length(text) + block_id) % 9 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'No corrections needed.' WHEN 3 THEN 'no corrections'
-    WHEN 4 THEN concat('<math>x</math> <math>', text) WHEN 5 THEN concat('<math>', text, '</math>') WHEN 6 THEN concat('```html', text, '```')
-    WHEN 7 THEN substring(text, 1, cast(floor(length(text) * (block_id + 1) / 10) AS int)) ELSE concat(' ```markdown', text, '``` ') END"""
+    WHEN 4 THEN concat('<math>x</math> <math>', translate(text, '*_[]`', '')) WHEN 5 THEN concat('<math>', translate(text, '*_[]`', ''), '</math>') WHEN 6 THEN concat('```html', translate(text, '*_[]`', ''), '```')
+    WHEN 7 THEN substring(translate(text, '*_[]`', ''), 1, cast(floor(length(translate(text, '*_[]`', '')) * (block_id + 1) / 10) AS int)) ELSE concat(' ```markdown', translate(text, '*_[]`', ''), '``` ') END"""
 
 
 @query(
@@ -120,7 +120,8 @@ ANSWER = """CASE (length(text) + block_id) % 9 WHEN 0 THEN NULL WHEN 1 THEN '' W
         SELECT doc_id, page_id, block_id, failed::INT AS errors, CASE WHEN kind='image_description' AND NOT failed THEN c END AS description,
             CASE WHEN failed OR keep OR kind='image_description' THEN html WHEN fence IS NULL THEN c
                 WHEN fence='html' THEN regexp_replace(regexp_replace(regexp_replace(regexp_replace(c,'^\\s+|\\s+$','','g'),'^```(html)?',''),'`+$',''),'^\\s+|\\s+$','','g')
-                ELSE regexp_replace(regexp_replace(regexp_replace(regexp_replace(c,'^\\s+|\\s+$','','g'),'^```(markdown)?',''),'`+$',''),'^\\s+|\\s+$','','g') END AS html FROM f""",
+                WHEN plain LIKE '<math>%' THEN plain WHEN plain='' THEN '' ELSE '<p>'||replace(plain, '&', '&amp;')||'</p>' END AS html
+        FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(c,'^\\s+|\\s+$','','g'),'^```(markdown)?',''),'`+$',''),'^\\s+|\\s+$','','g') AS plain FROM f) p""",
     ),
 )
 def accept_html(spark, d):
