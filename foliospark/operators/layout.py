@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.geometry import Box, bbox_gap, center_distance, intersection_area, intersection_pct
@@ -110,18 +112,37 @@ def line_overlap_check(lines: DataFrame, pages: DataFrame, most: int = 2, least_
 NOT_COVERED = ["Figure", "Picture", "Table", "FigureGroup", "PictureGroup", "TableGroup"]
 
 
+def gathered(tables: dict[str, DataFrame]) -> DataFrame:
+    """One row a page with an array of rows for each table, empty where a page has none: a single shuffle of them all."""
+    rows = [t.select(*PAGE, F.struct(*[c for c in t.columns if c not in PAGE]).alias(name)) for name, t in tables.items()]
+    both = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), rows)
+    return both.groupBy(*PAGE).agg(*[F.collect_list(name).alias(name) for name in tables])
+
+
+def ocr_placeholders(detected: DataFrame, pages: DataFrame, scale: float = 2.0) -> DataFrame:
+    """Detected lines of pages that are to be read as empty lines, their boxes in page scale, with place in reading order.
+
+    pages has method, `ocr` for pages to read; scale is that of the image that the lines were found in.
+    """
+    x = detected.join(pages.where("method = 'ocr'").select(*PAGE), PAGE, "left_semi")
+    return reading_order(x.withColumns({k: F.col(k) / scale for k in ("x0", "y0", "x1", "y1")}).withColumn("text", F.lit("")))
+
+
 def layout_coverage(blocks: DataFrame, lines: DataFrame, pages: DataFrame, least: float = 0.25) -> DataFrame:
     """Per page: enough of the text blocks meet a line; without blocks yes, without lines no; one Text block over most of the page passes."""
-    text = blocks.where(~F.col("block_type").isin(NOT_COVERED))
-    met = box_intersections(text.select(*PAGE, "block_id", "x0", "y0", "x1", "y1"), lines.select(*PAGE, "line_no", "x0", "y0", "x1", "y1")).select(*PAGE, F.col("a_block_id").alias("block_id")).distinct().withColumn("met", F.lit(1))
-    page = Box(F.lit(0.0), F.lit(0.0), F.col("width"), F.col("height"))
-    whole = (F.col("block_type") == "Text") & (intersection_pct(page, Box.of()) > 0.8)
-    t = text.join(met, [*PAGE, "block_id"], "left").join(pages.select(*PAGE, "width", "height"), PAGE)
-    share = t.groupBy(*PAGE).agg(F.count("*").alias("n"), F.sum(F.coalesce("met", F.lit(0))).alias("met"), F.bool_or(whole).alias("whole"))
-    n_lines = lines.groupBy(*PAGE).agg(F.count("*").alias("n_lines"))
-    out = pages.select(*PAGE).join(share, PAGE, "left").join(n_lines, PAGE, "left")
-    ok = F.when(F.col("n").isNull(), True).when(F.col("n_lines").isNull(), False).otherwise((F.col("met") / F.col("n") >= least) | ((F.col("n") == 1) & F.col("whole")))
-    return out.select(*PAGE, ok.alias("ok"))
+    sides = ["x0", "y0", "x1", "y1"]
+    text = blocks.where(~F.col("block_type").isin(NOT_COVERED)).select(*PAGE, "block_type", *sides)
+    g = gathered({"blocks": text, "lines": lines.select(*PAGE, *sides), "sizes": pages.select(*PAGE, "width", "height")})
+    box = lambda x: Box(*(x[k] for k in sides))
+    met = F.size(F.filter("blocks", lambda b: F.exists("lines", lambda x: intersection_area(box(b), box(x)) > 0)))
+    n = F.size("blocks")
+
+    def fills(b, size):
+        return (b.block_type == "Text") & (intersection_pct(Box(F.lit(0.0), F.lit(0.0), size.width, size.height), box(b)) > 0.8)
+
+    whole = F.exists("blocks", lambda b: fills(b, F.get("sizes", F.lit(0))))
+    ok = F.when(n == 0, True).when(F.size("lines") == 0, False).otherwise((met / n >= least) | ((n == 1) & whole))
+    return g.where(F.size("sizes") > 0).select(*PAGE, ok.alias("ok"))
 
 
 def route_pages(pages: DataFrame, coverage: DataFrame, overlaps: DataFrame, disable_ocr: bool = False, force_ocr: bool = False) -> DataFrame:

@@ -9,9 +9,9 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.markdown import markdown_html
 from ..functions.geometry import block_ref
-from ..functions.text import strip
+from ..functions.markdown import markdown_html
+from ..functions.text import detect_bad_text, strip
 from .aggregates import joined
 
 PAGE = ["doc_id", "page_id"]
@@ -241,3 +241,9 @@ def predict_pages(pages: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame],
                 yield fn(b.iloc[at : at + step])
 
     return pages.mapInPandas(run, schema)
+
+
+def text_error_labels(texts: DataFrame, text: str = "text", fn: Callable[[pd.Series], pd.Series] | None = None) -> DataFrame:
+    """Adds label, good or bad. fn is the user's model, on Arrow batches of texts; without it the rule of detect_bad_text."""
+    label = F.when(detect_bad_text(F.col(text)), "bad").otherwise("good") if fn is None else F.pandas_udf(fn, "string")(F.col(text))
+    return texts.withColumn("label", label)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import detect_bad_text
 from ..operators import responses as op
 from ..sources.fixtures import fixture, oracle
 from .registry import query
@@ -236,4 +235,4 @@ def predict_pages(spark, d):
 @query("text_error_labels", oracle("fx_btext", r"SELECT doc_id, page_id, block_id, CASE WHEN length(text)=0 OR len(regexp_extract_all(text,'\s+'))/greatest(1,len(regexp_extract_all(text,'\s+'))+len(regexp_extract_all(text,'\S')))>0.7 OR len(regexp_extract_all(text,'\n+'))/greatest(1,len(regexp_extract_all(text,'\n+'))+len(regexp_extract_all(text,'[^\n]')))>0.6 OR (length(replace(replace(text,' ',''),chr(10),''))>0 AND len(regexp_extract_all(text,'[\p{L}\p{N}]'))/greatest(1,length(replace(replace(text,' ',''),chr(10),'')))<0.3) THEN 'bad' ELSE 'good' END AS label FROM fx_btext"))
 def text_error_labels(spark, d):
     """Good or bad per text; a user's model can stand in for the rule."""
-    return fixture(spark, d, "fx_btext").select(*KEY, F.when(detect_bad_text(F.col("text")), "bad").otherwise("good").alias("label"))
+    return op.text_error_labels(fixture(spark, d, "fx_btext")).select(*KEY, "label")

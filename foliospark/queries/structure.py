@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..operators import structure as op
+from ..operators.layout import ocr_placeholders as ocr_placeholders_of
 from ..sources.fixtures import fixture, oracle
 from .registry import query
 
@@ -139,11 +140,8 @@ def ocr_work_items(spark, d):
 @query("ocr_placeholders", oracle("fx_lines fx_pages", "SELECT l.doc_id, l.page_id, row_number() OVER (PARTITION BY l.doc_id, l.page_id ORDER BY round_even(l.y0/2/1.25,0), l.x0/2, line_no)::INT AS place, round(l.x0/2,6) AS x0, round(l.y0/2,6) AS y0 FROM fx_lines l JOIN fx_pages p ON p.doc_id=l.doc_id AND p.page_id=l.page_id AND p.method='ocr'"))
 def ocr_placeholders(spark, d):
     """Detected boxes of pages that are read become empty lines in reading order, in page scale."""
-    from ..operators.layout import reading_order
-
-    lines, pages = fx(spark, d, "lines", "pages")
-    x = lines.join(pages.where("method = 'ocr'").select(*PAGE), PAGE, "left_semi").withColumns({"x0": F.col("x0") / 2, "y0": F.col("y0") / 2})
-    return reading_order(x).select(*PAGE, "place", F.round("x0", 6).alias("x0"), F.round("y0", 6).alias("y0"))
+    x = ocr_placeholders_of(*fx(spark, d, "lines", "pages"))
+    return x.select(*PAGE, "place", F.round("x0", 6).alias("x0"), F.round("y0", 6).alias("y0"))
 
 
 @query("apply_ocr", oracle("fx_lines", "SELECT doc_id, page_id, line_no, CASE WHEN line_no%3=0 AND line_no%2=1 THEN 'read' ELSE text END AS text, CASE WHEN line_no%3=0 AND line_no%2=1 THEN 'ocr' ELSE 'embedded' END AS method FROM fx_lines"))
