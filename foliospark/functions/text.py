@@ -254,12 +254,13 @@ def font_name_formats(font: Column, flags: Column) -> Column:
 WORD = 62
 
 
-def indel_ratio(a: Column, b: Column) -> Column:
+def indel_ratio(a: Column | str, b: Column | str) -> Column:
     """100 * 2 LCS / (both lengths), 100 for two empty texts; null counts as empty.
 
     The longest common subsequence is found with a bit for each character of `a`, as longs: each character of `b` adds
     the words of its own places to the row, with a carry from word to word, and the bits that end as 0 are the length.
     """
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
     x, y = (F.split(F.coalesce(c, F.lit("")), "") for c in (a, b))
     x, y = F.array_remove(x, ""), F.array_remove(y, "")
     words = lambda chars: F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(chars) / WORD).cast("int") - 1))
