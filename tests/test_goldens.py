@@ -111,7 +111,7 @@ def test_answers_by_kind(spark):
     assert answer("form", "```html\n<p>new text</p>\n```") == (0, "<p>new text</p>", None)
     assert answer("complex", "No corrections") == (0, None, None) and answer("form", "No corrections") == (0, "No corrections", None)
     assert answer("math", "") == (1, None, None) and answer("math", "a" * 12) == (0, "a" * 12, None)
-    assert answer("handwriting", "no corrections needed") == (0, "no corrections needed", None)
+    assert answer("handwriting", "no corrections needed") == (0, "<p>no corrections needed</p>", None)
     assert answer("equation", "a" * 6) == (1, None, None) and answer("equation", "a" * 7) == (0, "a" * 7, None)
     assert answer("equation", "<math>a</math><math>") == (1, None, None)
     assert answer("image_description", "a" * 9) == (1, None, None) and answer("image_description", "a" * 10) == (0, None, "a" * 10)
@@ -136,7 +136,7 @@ def test_trees_and_lines(spark):
     rows = [(1, 0, 9, "ListGroup", None, 0.0, 0.0, 2.0, 2.0, None, 0), (1, 0, 4, "ListItem", "a &lt;", 0.0, 0.0, 2.0, 1.0, 9, 1), (1, 0, 3, "ListItem", "b", 0.0, 1.0, 2.0, 2.0, 9, 2), (1, 0, 1, "Text", "t &lt;", 0.0, 3.0, 2.0, 4.0, None, 5)]
     blocks = spark.createDataFrame(rows, schema)
     chunks = render.render_chunks(blocks).orderBy("id").collect()
-    assert [(c.id, c.html) for c in chunks] == [("/page/0/ListGroup/9", "a <b"), ("/page/0/Text/1", "t &lt;")]
+    assert [(c.id, c.html) for c in chunks] == [("/page/0/ListGroup/9", "a &lt;b"), ("/page/0/Text/1", "t &lt;")]
     pages = spark.createDataFrame([(1, 0, 10.0, 10.0), (1, 1, 10.0, 10.0)], "doc_id int, page_id int, width double, height double")
     tree = json.loads(render.render_json(blocks, pages).first().json)
     assert [p["id"] for p in tree["children"]] == ["/page/0", "/page/1"] and tree["children"][1]["children"] == []
