@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions import text as t
 from ..operators import aggregates as agg, render as op, trees
-from ..sources.fixtures import fixture, oracle
+from ..sources.fixtures import fixture, on_written, oracle
 from .registry import query
 
 PAGE = op.PAGE
@@ -165,7 +165,7 @@ JSON_DOCS = """SELECT doc_id, '{"children":['||string_agg(j, ',' ORDER BY page_i
 
 
 def _tree(spark, d):
-    x = fixture(spark, d, "fx_tree")
+    x = on_written(spark, d, "fx_tree1", "fx_tree")[1]
     return x.withColumn("section_hierarchy", F.when(F.col("below"), F.create_map(F.lit("1"), F.concat("page_ref", F.lit("SectionHeader/0")))))
 
 

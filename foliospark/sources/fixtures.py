@@ -7,9 +7,12 @@ differ by dialect only in the name of the function.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .outputs import shared_folder
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
@@ -107,6 +110,14 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
 
 
+def on_written(spark: SparkSession, sf_dir: str, base: str, *names: str) -> list[DataFrame]:
+    """base, made once and written to the shared folder, and fixtures that are made from it alone."""
+    path = f"{shared_folder(spark)}/{base}-{uuid.uuid4().hex}"
+    fixture(spark, sf_dir, base).write.parquet(path)
+    first = spark.read.parquet(path)
+    return [first, *(spark.sql(re.sub(rf"\b{base}\b", f"{{{base}}}", fixtures("spark")[name]), **{base: first}) for name in names)]
+
+
 def oracle(names: str, sql: str) -> str:
     """Oracle text: fixtures, then the rule; sql may start with further table expressions and a comma."""
     head = chain("duckdb", *names.split())
