@@ -454,6 +454,78 @@ def test_passages_brute_force(spark):
         assert r.identity == 1.0 and a == b
 
 
+def parts(nodes, edges):
+    """Sets of nodes that edges connect."""
+    root = {x: x for x in nodes}
+    for a, b in edges:
+        low, high = sorted((root[a], root[b]))
+        root = {x: low if r == high else r for x, r in root.items()}
+    return {frozenset(x for x in nodes if root[x] == r) for r in root.values()}
+
+
+@pytest.mark.parametrize("size", [20, 80])
+def test_passages_of_edited_copies(spark, size):
+    """Copies of a passage, each edited apart in 5 % of its words: all members are found, a group is one part."""
+    rnd, rows, group = random.Random(size), [], {}
+    for i in range(160):
+        words = [f"e{rnd.randrange(10**6)}" if rnd.random() < 0.05 else w for w in prose(9900 + i // size, 60).split()]
+        group.setdefault(i // size, set()).add(i)
+        rows.append((i, f"{prose(20000 + i, 30)} {' '.join(words)} {prose(30000 + i, 30)}"))
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    edges = {(r.doc_id, r.partner_id) for r in got}
+    assert len({r.doc_id for r in got}) >= 0.98 * len(rows)
+    assert edges == {(b, a) for a, b in edges}
+    assert {p for p in parts(range(160), edges) if len(p) > 1} <= {p for p in parts(range(160), edges) if len(p) >= 0.98 * size}
+    assert all(a // size == b // size for a, b in edges)
+
+
+@pytest.mark.parametrize("bent", [False, True])
+def test_connected_loses_no_link(bent):
+    """Parts are those of a brute force over all pairs; blocks compared apart give the same; also with words left out."""
+    rnd = random.Random(5)
+    K, reach, width = substring_dedup.K, substring_dedup.REACH, substring_dedup.WIDTH
+    rows = []
+    for i in range(90):
+        line = random.Random(i % 5).sample(range(1, 10**6), width)
+        left, seed, right = line[:reach], list(range(1, K + 1)), line[reach + K :]
+        edit = lambda x, near: [w if k < near else rnd.randrange(1, 10**6) if rnd.random() < 0.18 else w for k, w in enumerate(x)]
+        short = rnd.choice([8, 16, 60])  # some share a line alone
+        left, right = edit(left[::-1], 4)[::-1], edit(right, 4)[:short] + [rnd.randrange(1, 10**6) for _ in right[short:]]
+        if bent and i % 2:
+            del right[6]
+            right.append(rnd.randrange(1, 10**6))
+        rows.append(left + seed + right)
+    win, doc, pos = np.array(rows, np.int32), np.arange(90), np.full(90, 100, np.int32)
+    grams = [[tuple(r[p : p + K]) for p in range(width - K + 1)] for r in rows]
+
+    def linked(i, j):
+        if substring_dedup.passages(win[i], win[j], [reach], [reach], None):
+            return True
+        runs = [(p, o) for p, k in enumerate(grams[i]) for o, m in enumerate(grams[j]) if k == m]
+        return any(e - s >= 40 and m >= 0.8 * (e - s) for c in substring_dedup.chains(*zip(*runs, strict=True)) for s, e, _, m in [substring_dedup.align(win[i], win[j], [runs[k][0] for k in c], [runs[k][1] for k in c])]) if runs else False
+
+    want = parts(range(90), [(i, j) for i in range(90) for j in range(i) if linked(i, j)])
+    assert 5 <= len(want) < 90 and sum(len(p) > 2 for p in want) > 2
+    whole = substring_dedup.connected(doc, pos, win)
+    side = doc % 2 == 1
+    dealt = [x for keep in (side, ~side) for x in substring_dedup.connected(doc[keep], pos[keep], win[keep])] + substring_dedup.connected(doc, pos, win, side)
+    for got in (whole, dealt):
+        assert parts(range(90), [(a, b) for a, _, b, _ in got]) == want
+
+
+def test_connections_over_blocks(spark, monkeypatch):
+    """Blocks of few places connect what one block does."""
+    rnd = random.Random(8)
+    width = substring_dedup.WIDTH
+    lines = [rnd.sample(range(1, 10**6), width) for _ in range(4)]
+    rows = [(s, 50, 50 * s + i, 7, [w if k < 15 or rnd.random() > 0.1 else rnd.randrange(1, 10**6) for k, w in enumerate(lines[(i + s) % 4])]) for s in range(3) for i in range(50)]
+    df = spark.createDataFrame(rows, "seed long, n long, doc long, pos int, win array<int>")
+    want = parts(range(150), [(r.doc, r.partner) for r in substring_dedup.connections(df).collect()])
+    monkeypatch.setattr(substring_dedup, "BLOCK", 9)
+    assert parts(range(150), [(r.doc, r.partner) for r in substring_dedup.connections(df).collect()]) == want
+    assert len(want) == 12
+
+
 @pytest.mark.parametrize("adaptive", ["true", "false"])
 def test_links_over_partitions(spark, adaptive):
     """Each place is linked to the one before it and to a closer one after it, also over the edges of partitions."""
