@@ -1,6 +1,6 @@
 """Source divergence audit: how the sources of each language differ in their use of terms.
 
-Strings come late. Only 64-bit digests of terms are counted and shuffled, one row for each group and digest. Digests of
+Strings come late. Only 63-bit digests of terms are counted and shuffled, one row for each group and digest. Digests of
 terms that are frequent enough get their smallest and their largest string; where these differ, two terms share the
 digest, and it is split by counting its terms as strings. Texts are joined back to the rows that are given out alone.
 
@@ -26,27 +26,32 @@ SENT = 1 << 20
 
 
 def _terms(docs: DataFrame) -> DataFrame:
-    text = F.array_remove(F.split(ascii_lower(F.col("text")), BETWEEN), "")
-    return docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")), text.alias("terms"))
+    """(lang, source, terms); the list of terms can have empty strings at its ends, which are none."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    # texts of ASCII alone have no other letters that could change
+    low = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(ascii_lower(text))
+    return docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")), F.split(low, BETWEEN).alias("terms"))
 
 
 def _digest(term: Column, bits: int) -> Column:
-    return _cut(F.xxhash64(term), bits)
+    return _cut(F.shiftrightunsigned(F.xxhash64(term), 1), bits)
 
 
 def _cut(digest: Column, bits: int) -> Column:
-    return digest if bits == 64 else digest.bitwiseAND(F.lit((1 << bits) - 1))
+    return digest if bits == 63 else digest.bitwiseAND(F.lit((1 << bits) - 1))
 
 
 def _counted(words: DataFrame, bits: int, least: int) -> DataFrame:
     """(lang, source, d, n) of digests in at least `least` documents of their language; n occurrences.
 
-    A document gives two lists, its digests and its different digests, and both are counted in one pass.
+    The digests of a document come sorted, and the first of equal ones has 1 in the bit below, so that one row for each
+    occurrence counts documents, too.
     """
-    digests = words.select("lang", "source", F.transform("terms", lambda t: F.xxhash64(t)).alias("ds"))
-    lists = digests.select("lang", "source", F.posexplode(F.array("ds", F.array_distinct("ds"))).alias("first", "ds"))
-    rows = lists.select("lang", "source", "first", F.explode("ds").alias("d")).withColumn("d", _cut(F.col("d"), bits))
-    counts = rows.groupBy("lang", "source", "d").agg(F.sum(1 - F.col("first")).alias("n"), F.sum("first").alias("docs"))
+    digests = words.select("lang", "source", F.sort_array(F.transform("terms", lambda t: F.when(t != "", _digest(t, 63)))).alias("ds"))
+    marked = digests.select("lang", "source", F.expr("transform(ds, (v, i) -> shiftleft(v, 1) + if(v <=> get(ds, i - 1), 0L, 1L))").alias("ds"))
+    rows = marked.select("lang", "source", F.explode("ds").alias("v")).where("v is not null")
+    rows = rows.select("lang", "source", _cut(F.shiftrightunsigned("v", 1), bits).alias("d"), F.col("v").bitwiseAND(F.lit(1)).alias("first"))
+    counts = rows.groupBy("lang", "source", "d").agg(F.count("*").alias("n"), F.sum("first").alias("docs"))
     # a term has one row for each source here
     return counts.withColumn("docs", F.sum("docs").over(Window.partitionBy("lang", "d"))).where(F.col("docs") >= least).drop("docs")
 
@@ -54,7 +59,7 @@ def _counted(words: DataFrame, bits: int, least: int) -> DataFrame:
 def _with_digest(words: DataFrame, wanted: DataFrame, bits: int, each: str) -> DataFrame:
     """(lang, source, doc's row, d, term) of the terms whose digest is wanted; each: all terms of a document, or different ones."""
     terms = F.array_distinct("terms") if each == "different" else F.col("terms")
-    rows = words.select("lang", "source", F.explode(terms).alias("term")).withColumn("d", _digest(F.col("term"), bits))
+    rows = words.select("lang", "source", F.explode(terms).alias("term")).where("term <> ''").withColumn("d", _digest(F.col("term"), bits))
     few = wanted.limit(SENT + 1).count() <= SENT
     return rows.join(F.broadcast(wanted) if few else wanted.hint("merge"), "d", "left_semi")
 
@@ -63,7 +68,7 @@ def _kept(words: DataFrame, bits: int, least: int) -> tuple[DataFrame, DataFrame
     """(lang, source, d, k, n) of kept terms, and (d, k, term): k tells terms of one digest apart, and is 0 where there is one."""
     counts = stored(_counted(words, bits, least))
     digests = stored(counts.select("d").distinct())
-    texts = _with_digest(words, digests, bits, "different").select("d", "term").distinct()
+    texts = _with_digest(words, digests, bits, "all").select("d", "term").distinct()
     texts = stored(texts.groupBy("d").agg(F.min("term").alias("low"), F.max("term").alias("high")))
     shared = stored(texts.where("low <> high").select("d"))
     k = F.lit(0).cast("int").alias("k")
@@ -116,7 +121,7 @@ def _pairs(counts: DataFrame, groups: DataFrame) -> DataFrame:
     return sums.where("source <> item").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
 
 
-def audit(docs: DataFrame, least: int = LEAST_DOCS, listed: int = LISTED, bits: int = 64) -> DataFrame:
+def audit(docs: DataFrame, least: int = LEAST_DOCS, listed: int = LISTED, bits: int = 63) -> DataFrame:
     """(lang, source, part, item, value, rank) over docs (text, lang, source).
 
     Part `pair`: for each source of a language every other one with the sum of the differences of their shares over the
@@ -125,9 +130,9 @@ def audit(docs: DataFrame, least: int = LEAST_DOCS, listed: int = LISTED, bits:
 
     Null text, lang and source are empty strings; each row is a document, repeated ones too; ids and other columns are
     not read. Groups without kept terms stand in the pairs, with a value of 0 if their language keeps none. Very long
-    texts count whole. An empty table gives an empty result. `bits` of the digest are 64; tests take few to make collisions.
+    texts count whole. An empty table gives an empty result. `bits` of the digest are 63; tests take few to make collisions.
     """
-    words = _terms(docs)
+    words, bits = _terms(docs), min(bits, 63)
     counts, texts = _kept(words, bits, least)
     groups = words.select("lang", "source").distinct()
     kept = counts.select("lang", "d", "k").distinct().groupBy("lang").agg(F.count("*").alias("kept"))
