@@ -513,6 +513,38 @@ def test_connected_loses_no_link(bent):
         assert parts(range(90), [(a, b) for a, _, b, _ in got]) == want
 
 
+def test_connected_ends_with_the_text():
+    """Places beyond two short texts are no common words: 37 words with one more in between are no passage of 40."""
+    K, reach, width = substring_dedup.K, substring_dedup.REACH, substring_dedup.WIDTH
+    words = list(range(1, 38))
+    rows = [[0] * reach + w + [0] * (width - reach - len(w)) for w in (words, words[: K + 8] + [99] + words[K + 8 :])]
+    for other_side in (None, np.array([False, True])):
+        assert substring_dedup.connected(np.arange(2), np.zeros(2, np.int32), np.array(rows, np.int32), other_side) == []
+
+
+def test_connected_aligns_few(monkeypatch):
+    """A line that stands twice, at distances that differ, is no reason to align all pairs of its places."""
+    rnd = random.Random(6)
+    reach, width = substring_dedup.REACH, substring_dedup.WIDTH
+    line, calls, bent = rnd.sample(range(1, 10**6), 12), [], substring_dedup._bent
+    monkeypatch.setattr(substring_dedup, "_bent", lambda *x: calls.append(1) or bent(*x))
+    rows = []
+    for i in range(60):
+        row = [rnd.randrange(1, 10**6) for _ in range(width)]
+        row[reach : reach + 12] = line
+        row[50 + i % 10 : 62 + i % 10] = line
+        rows.append(row)
+    assert substring_dedup.connected(np.arange(60), np.zeros(60, np.int32), np.array(rows, np.int32)) == []
+    assert not calls
+
+
+def test_windows_where_passages_can_be():
+    """A period of words around a place leaves no passage; 40 words that count do, also beside a period."""
+    width = substring_dedup.WIDTH
+    rows = [[1, 2] * (width // 2) + [1], [0] * 36 + list(range(1, width - 35)), [5] * 35 + list(range(10, 50)), [5] * 45 + list(range(10, 40))]
+    assert substring_dedup._lively(np.array(rows, np.int32)).tolist() == [False, True, True, False]
+
+
 def test_connections_over_blocks(spark, monkeypatch):
     """Blocks of few places connect what one block does."""
     rnd = random.Random(8)
