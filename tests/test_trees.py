@@ -142,3 +142,22 @@ def test_one_file_a_document(spark):
     listed = outputs.scan_files(spark, f"{folder}/c", head=2).orderBy("name").collect()
     assert [(r.name, r.size, r.head_hex) for r in listed] == [("c_meta.json", 2, "7B7D")]
     assert outputs.scan_files(spark, folder).count() == 0 and outputs.scan_files(spark, folder, recursive=True).count() == 3
+
+
+def test_written_documents_are_read_by_their_folders(spark):
+    folder = f"{outputs.shared_folder(spark)}/test-{uuid.uuid4().hex}"
+    docs = spark.createDataFrame([("a b", "md", "Grün", None, {"_page_0.jpeg": bytearray(b"\xff\xd8x")}), ("c", "txt", "", '{"n": 1}', None)], "name string, ext string, text string, metadata string, images map<string,binary>")
+    outputs.write_documents(docs, folder)
+    pathlib.Path(folder.removeprefix("file:"), "a b", ".a b.md.1").write_bytes(b"half")
+    names = docs.select("name").union(docs.select("name")).union(spark.createDataFrame([("none",)], "name string"))
+    got = sorted((r.doc, r.name, bytes(r.content)) for r in outputs.read_documents(names, folder).collect())
+    assert got == [("a b", "_page_0.jpeg", b"\xff\xd8x"), ("a b", "a b.md", "Grün".encode()), ("a b", "a b_meta.json", b"{}"), ("c", "c.txt", b""), ("c", "c_meta.json", b'{\n  "n": 1\n}')]
+
+
+def test_no_list_of_all_written_files_is_made(spark, tmp_path):
+    """Files are found by tasks: the plan of write_outputs holds no listed files."""
+    from foliospark.queries import QUERIES
+
+    from .conftest import SF
+
+    assert "binaryFile" not in QUERIES["write_outputs"](spark, SF)._jdf.queryExecution().toString()
