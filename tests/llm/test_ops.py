@@ -6,6 +6,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -735,3 +736,28 @@ def test_pipeline_run_brute_force(spark, tmp_path):
     assert sum(size for size, _, _ in by.values()) == sum(len((t or "").split()) for _, t in clean)
     assert all(abs(taken - target) <= 2 * mixing.BLOCK for _, target, taken in by.values())
     assert 300 < len(clean) < 450 and len(got) > 0.6 * len(clean)
+
+
+def test_passages_with_a_single_common_seed(spark):
+    """Passages edited so that two texts share one seed alone, with other words within the next 32, are found, also over a gap."""
+    rnd = random.Random(17)
+    word = lambda: f"w{rnd.randrange(10**9)}"
+
+    def seeds(text):
+        h = next(substring_dedup.word_hashes(pa.array([text])))[2]
+        return set(substring_dedup._seeds_of(h, np.array([0, len(h)]))[0].tolist())
+
+    texts, found = [], 0
+    while found < 12:
+        bent = found % 2 == 1
+        passage = [word() for _ in range(46)]
+        edited = [w if 18 <= i < 28 or i % 5 else word() for i, w in enumerate(passage)]
+        if bent:
+            edited = [*edited[:30], word(), *passage[30:37], *edited[37:]]
+        pair = [" ".join([word() for _ in range(30)] + p + [word() for _ in range(30)]) for p in (passage, edited)]
+        if len(seeds(pair[0]) & seeds(pair[1])) == 1:
+            texts += pair
+            found += 1
+    got = substring_dedup.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.partner_id) for r in got} == {(i, i ^ 1) for i in range(len(texts))}
+    assert all(r.n_words >= 40 and r.identity >= 0.8 for r in got)
