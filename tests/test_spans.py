@@ -53,5 +53,18 @@ def test_tokens_move_once(spark):
     assert "Window" not in p and p.count("Exchange hashpartitioning") == 1
 
 
+def test_links_move_by_line(spark):
+    p = plan(QUERIES["link_reinsert"](spark, SF))
+    assert p.count("Exchange hashpartitioning") == 2
+
+
 def test_spans_are_cut_in_their_row(spark):
     assert "Exchange" not in plan(fixture(spark, SF, "fx_spans"))
+
+
+def test_links_of_one_text(spark):
+    """Of links with one text the first span gives the place and the last the url."""
+    new = spark.createDataFrame([(1, 0, "x b a b")], "key int, span_id int, text string")
+    old = spark.createDataFrame([(1, 0, "b", "u0"), (1, 1, "a", "u1"), (1, 2, "b", "u2"), (1, 3, "", "u3"), (1, 4, "x", None)], "key int, span_id int, text string, url string")
+    got = [(r.text, r.url) for r in markup.link_reinsert(new, old, ["key"]).orderBy("seq").collect()]
+    assert got == [("x ", None), ("b", "u2"), (" ", None), ("a", "u1"), (" b", None)]
