@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..functions.text import indel_ratio as indel
+from ..functions.text import indel_ratios as indel
 from ..operators import aggregates as agg, layout, processors as op
 from ..sources.fixtures import fixture, oracle
 from .registry import query
